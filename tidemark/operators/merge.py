@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Hashable-key guard: NULL keys never match, so their rows are spread instead of piling
-# up in the one partition that NULL hashes to.
+# NULL keys never match, so their rows are spread over this many buckets instead of
+# piling up in the one partition that NULL hashes to.
 SPREAD = 1024
 
 
@@ -28,30 +28,21 @@ def _any_null(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
 
 
-def _spread(df: DataFrame, keys: Sequence[str]) -> Column:
+def _with_spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     hashable = [
         f.name
         for f in df.schema.fields
         if not isinstance(f.dataType, (T.MapType, T.VariantType))
     ]
     spread = F.pmod(F.xxhash64(*hashable), F.lit(SPREAD)).cast("int")
-    return F.when(_any_null(keys), spread).otherwise(F.lit(0))
+    return df.withColumn("_spread", F.when(_any_null(keys), spread).otherwise(F.lit(0)))
 
 
-def _packed(df: DataFrame, alias: str, keys: Sequence[str]) -> DataFrame:
-    """The row as one struct beside its keys, so that presence is one NULL test."""
-    return df.select(
-        *[F.col(k).alias(f"{alias}_{k}") for k in keys],
-        _spread(df, keys).alias(f"{alias}_spread"),
-        F.struct(*df.columns).alias(alias),
-    )
+def _checked(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Fail on a second row with the same non-NULL key; ``df`` carries ``_spread``.
 
-
-def unique_on(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The same rows; the query fails when two of them share a non-NULL key.
-
-    The check is a streaming row number over the partitioning that the merge join needs
-    anyway, so it adds no shuffle of its own.
+    The row number streams over the partitioning and order that the merge join needs
+    anyway, so the check adds no shuffle and buffers no group.
     """
     window = Window.partitionBy(*keys, "_spread").orderBy(*keys)
     duplicate = (F.row_number().over(window) > 1) & ~_any_null(keys)
@@ -60,14 +51,26 @@ def unique_on(df: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.lit("merge source has several rows for key"),
         *[F.col(k).cast("string") for k in keys],
     )
-    checked = F.when(F.col("_duplicate"), F.raise_error(message).cast("boolean")).otherwise(
-        F.lit(True)
-    )
+    passes = F.when(F.col("_duplicate"), F.raise_error(message).cast("boolean"))
     return (
-        df.withColumn("_spread", _spread(df, keys))
-        .withColumn("_duplicate", duplicate)
-        .filter(checked)
-        .drop("_spread", "_duplicate")
+        df.withColumn("_duplicate", duplicate)
+        .filter(passes.otherwise(F.lit(True)))
+        .drop("_duplicate")
+    )
+
+
+def unique_on(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same rows; the query fails when two of them share a non-NULL key."""
+    return _checked(_with_spread(df, keys), keys).drop("_spread")
+
+
+def _packed(df: DataFrame, alias: str, keys: Sequence[str]) -> DataFrame:
+    """The row as one struct beside its keys, so that presence is one NULL test."""
+    columns = [c for c in df.columns if c != "_spread"]
+    return df.select(
+        *[F.col(k).alias(f"{alias}_{k}") for k in keys],
+        F.col("_spread").alias(f"{alias}_spread"),
+        F.struct(*columns).alias(alias),
     )
 
 
@@ -100,7 +103,7 @@ def merge_upsert(
     """
     columns = target_df.columns
     types = {f.name: f.dataType for f in target_df.schema.fields}
-    source_unique = unique_on(source_df, keys)
+    checked_source = _checked(_with_spread(source_df, keys), keys)
 
     def inserted(name: str, alias: str) -> Column:
         if insert_values and name in insert_values:
@@ -116,17 +119,16 @@ def merge_upsert(
         return target_df
     if not updates:
         fresh = (
-            source_unique.alias("_s")
+            checked_source.alias("_s")
             .join(target_df.select(*keys), list(keys), "left_anti")
             .select(*[inserted(c, "_s").alias(c) for c in columns])
         )
         return target_df.unionByName(fresh)
 
-    left = _packed(target_df, "_t", keys)
-    right = _packed(source_unique, "_s", keys)
-    on = left["_t_spread"] == right["_s_spread"]
-    for k in keys:
-        on = on & (left[f"_t_{k}"] == right[f"_s_{k}"])
+    left = _packed(_with_spread(target_df, keys), "_t", keys)
+    right = _packed(checked_source, "_s", keys)
+    same = [left[f"_t_{k}"] == right[f"_s_{k}"] for k in (*keys, "spread")]
+    on = reduce(lambda a, b: a & b, same)
     joined = left.join(right, on, "full_outer" if insert else "left")
 
     in_target = F.col("_t").isNotNull()

@@ -60,7 +60,14 @@ def inline_values(
     control tables made of literals join by broadcast. Rows handed to Spark as Python
     objects would count as unboundedly large.
     """
-    columns = {f.name: [row[i] for row in rows] for i, f in enumerate(schema.fields)}
+    columns = {}
+    for i, f in enumerate(schema.fields):
+        values = [row[i] for row in rows]
+        if isinstance(f.dataType, T.MapType):  # a dict alone would become a struct
+            pairs = [None if v is None else list(v.items()) for v in values]
+            columns[f.name] = pa.array(pairs, pa.map_(pa.string(), pa.string()))
+        else:
+            columns[f.name] = values
     return spark.createDataFrame(pa.table(columns), schema)
 
 
