@@ -13,11 +13,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.merge import merge_upsert, unique_on, update_all
-from tidemark.sources.files import path_exists
-
-POINTER_SCHEMA = "published_ns BIGINT, version STRING, row_count BIGINT, strategy STRING"
+from tidemark.sources.files import inline_values, path_exists
+
+POINTER_SCHEMA = T.StructType(
+    [
+        T.StructField("published_ns", T.LongType()),
+        T.StructField("version", T.StringType()),
+        T.StructField("row_count", T.LongType()),
+        T.StructField("strategy", T.StringType()),
+    ]
+)
 
 # Published marts, their merge keys (none: replaced) and source tables.
 DATASETS = (
@@ -72,9 +80,8 @@ def write_version(
     if staged != expected:
         raise RuntimeError(f"staged {staged} of {expected} rows at {mart}/{version}")
     pointer = [(time.time_ns(), version, expected, strategy)]
-    spark.createDataFrame(pointer, POINTER_SCHEMA).coalesce(1).write.mode("append").json(
-        f"{mart}/_versions"
-    )
+    record = inline_values(spark, pointer, POINTER_SCHEMA)
+    record.coalesce(1).write.mode("append").json(f"{mart}/_versions")
     return expected
 
 
