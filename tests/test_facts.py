@@ -148,6 +148,28 @@ def test_latest_run_agrees_with_the_rolling_window(spark, folder):
     assert latest.exceptAll(rolling).isEmpty()
 
 
+@pytest.mark.parametrize("block", ["hour", "day", "year"])
+def test_blocks_do_not_change_the_rolling_count(rows, block):
+    """Brute force over uneven gaps: many runs in some blocks, few or one in others."""
+    history, at = [], AT
+    for i in range(400):
+        at += timedelta(minutes=[1, 7, 600, 3000][(i * i) % 4 if i % 40 < 30 else 0])
+        source = "hot" if i % 5 else "cold"
+        history.append((source, f"{i:04}", at, "FAILED" if i % 3 == 0 else "SUCCESS"))
+    df = rows(
+        "tenant_id STRING, source_id STRING, run_id STRING, completed_at TIMESTAMP, "
+        "status STRING",
+        *[("t", *h) for h in history],
+    )
+    got = {r.run_id: r.failed_runs_last_24 for r in health.failed_runs(df, block).collect()}
+    expected = {}
+    for name in ("hot", "cold"):
+        own = [h for h in history if h[0] == name]
+        for i, h in enumerate(own):
+            expected[h[1]] = sum(x[3] == "FAILED" for x in own[max(0, i - 23) : i + 1])
+    assert got == expected
+
+
 def test_quota_day_follows_the_reset_zone(rows):
     usage = rows(
         "tenant_id STRING, source_id STRING, bucket STRING, used_at TIMESTAMP, units BIGINT",

@@ -129,15 +129,47 @@ def source_health(
     )
 
 
-def failed_runs(runs: DataFrame) -> DataFrame:
-    """Rolling count of failures among each run and the 23 runs before it."""
-    recent = (
-        Window.partitionBy("tenant_id", "source_id")
-        .orderBy("completed_at", "run_id")
-        .rowsBetween(1 - FAILURE_WINDOW_RUNS, Window.currentRow)
+def failed_runs(runs: DataFrame, block: str = "day") -> DataFrame:
+    """Rolling count of failures among each run and the 23 runs before it.
+
+    Runs are counted inside time blocks, so that a source with most of the history is
+    spread over many tasks. The 23 runs before a block come from the ends of the earlier
+    blocks: every block keeps its last 23 runs, and only those meet per source.
+    """
+    source = ["tenant_id", "source_id"]
+    before = FAILURE_WINDOW_RUNS - 1
+    oldest_first = ["completed_at", "run_id"]
+    failed = F.when(F.col("status") == "FAILED", F.lit(1)).otherwise(F.lit(0))
+    blocked = runs.withColumn("_block", F.date_trunc(block, "completed_at"))
+
+    ends = top_per_group(
+        blocked.select(*source, "_block", *oldest_first, failed.alias("_failed")),
+        [*source, "_block"],
+        [F.desc(c) for c in oldest_first],
+        before,
+    )
+    preceding = (
+        Window.partitionBy(*source).orderBy(*oldest_first).rowsBetween(-before, -1)
+    )
+    carried = (
+        ends.withColumn("_carried", F.collect_list("_failed").over(preceding))
+        .groupBy(*source, "_block")
+        .agg(F.max_by("_carried", "_rank").alias("_carried"))
+    )
+
+    in_block = Window.partitionBy(*source, "_block").orderBy(*oldest_first)
+    own = F.sum(failed).over(in_block.rowsBetween(-before, Window.currentRow))
+    counted = blocked.withColumns({"_own": own, "_position": F.row_number().over(in_block)})
+    missing = F.least(
+        F.size("_carried"), F.greatest(F.lit(0), F.lit(FAILURE_WINDOW_RUNS) - F.col("_position"))
     )
-    return runs.withColumn(
-        "failed_runs_last_24", F.count_if(F.col("status") == "FAILED").over(recent)
+    newest = F.slice("_carried", -missing, missing)
+    carried_failures = F.when(
+        missing > 0, F.aggregate(newest, F.lit(0), lambda total, x: total + x)
+    ).otherwise(F.lit(0))
+    return counted.join(carried, [*source, "_block"], "left").select(
+        *runs.columns,
+        (F.col("_own") + carried_failures).cast("bigint").alias("failed_runs_last_24"),
     )
 
 

@@ -4,6 +4,7 @@ from tidemark.queries import (  # noqa: F401 - importing registers the queries
     decisions,
     delivery,
     facts,
+    packs,
     provider_feeds,
     serving,
 )

@@ -404,56 +404,31 @@ def experiment_result(spark, folder):
     )
 
 
-@query(
-    "experiment_performance",
-    """SELECT e.tenant_id, e.experiment_id, e.recommendation_id, r.opportunity_id,
-      r.product_id, e.status, e.control_revenue, e.treatment_revenue, l.outcome,
-      l.measured_lift_pct, l.contribution_margin
-    FROM experiments_v e JOIN recommendations_v r USING (recommendation_id)
-    LEFT JOIN (SELECT * FROM learnings_v WHERE outcome = 'WIN') l
-      ON l.experiment_id = e.experiment_id""",
-)
-def experiment_performance(spark, folder):
-    rows = lifecycle.experiment_performance(
+def performance(spark, folder):
+    """Experiments whose wins are recorded already."""
+    return lifecycle.experiment_performance(
         t.experiments(spark, folder),
         t.recommendations(spark, folder),
         _learnings(spark, folder).filter("outcome = 'WIN'"),
     )
-    return rows.select(
+
+
+@query(
+    "experiment_performance",
+    """SELECT tenant_id, experiment_id, recommendation_id, opportunity_id, product_id, status,
+      control_revenue, treatment_revenue, outcome, measured_lift_pct, contribution_margin
+    FROM performance_v""",
+)
+def experiment_performance(spark, folder):
+    return performance(spark, folder).select(
         "tenant_id", "experiment_id", "recommendation_id", "opportunity_id", "product_id",
         "status", "control_revenue", "treatment_revenue", "outcome", "measured_lift_pct",
         "contribution_margin",
     )
 
 
-@query(
-    "pilot_scorecard",
-    """SELECT tenant_id, opportunities_detected, opportunities_open,
-      opportunities_needing_mapping, recommendations_total, recommendations_adopted,
-      recommendations_rejected,
-      round(100.0::DOUBLE * recommendations_adopted / recommendations_total, 2)
-        AS recommendation_adoption_rate_pct,
-      experiments_total, experiments_completed, learnings_total, winning_experiments,
-      round(100.0::DOUBLE * winning_experiments / learnings_total, 2)
-        AS experiment_win_rate_pct,
-      round(avg_lift, 6) AS avg_measured_lift_pct, incremental_revenue
-    FROM (SELECT tenant_id, count(*) AS opportunities_detected,
-        count(*) FILTER (status = 'OPEN') AS opportunities_open,
-        count(*) FILTER (status = 'NEEDS_MAPPING') AS opportunities_needing_mapping
-      FROM opportunities_v GROUP BY tenant_id)
-    JOIN (SELECT tenant_id, count(*) AS recommendations_total,
-        count(*) FILTER (status NOT IN ('PROPOSED', 'REJECTED')) AS recommendations_adopted,
-        count(*) FILTER (status = 'REJECTED') AS recommendations_rejected
-      FROM recommendations_v GROUP BY tenant_id) USING (tenant_id)
-    JOIN (SELECT tenant_id, count(*) AS experiments_total,
-        count(*) FILTER (status = 'COMPLETED') AS experiments_completed
-      FROM experiments_v GROUP BY tenant_id) USING (tenant_id)
-    JOIN (SELECT tenant_id, count(*) AS learnings_total,
-        count(*) FILTER (outcome = 'WIN') AS winning_experiments,
-        avg(measured_lift_pct) AS avg_lift, sum(incremental_revenue) AS incremental_revenue
-      FROM learnings_v GROUP BY tenant_id) USING (tenant_id)""",
-)
-def pilot_scorecard(spark, folder):
+def scorecard(spark, folder):
+    """Scorecard with the margin in whole units: a sum of fractions depends on its order."""
     card = lifecycle.pilot_scorecard(
         opportunity_table(spark, folder),
         t.recommendations(spark, folder),
@@ -461,7 +436,12 @@ def pilot_scorecard(spark, folder):
         _learnings(spark, folder),
         t.AS_OF,
     )
-    return t.plain(card.drop("evaluated_at", "contribution_margin"))
+    return card.withColumn("contribution_margin", F.round("contribution_margin", 0))
+
+
+@query("pilot_scorecard", "SELECT * FROM scorecard_v")
+def pilot_scorecard(spark, folder):
+    return t.plain(scorecard(spark, folder))
 
 
 _REQUESTED = """CASE p_partkey % 5 WHEN 0 THEN 'approved' WHEN 1 THEN ' RUNNING '

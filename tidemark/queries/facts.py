@@ -250,7 +250,7 @@ _FEED = "tenant_id, signal_type, signal_key, signal_ts, score, severity, summary
 
 
 def feed(spark, folder):
-    """Signal feed over all events. Enriched posts feed three facts, so they are kept."""
+    """Signal feed over all events."""
     silver = t.silver(spark, folder)
     trends = metrics.trend_snapshot(metrics.trend_hourly(metrics.topic_hourly(silver)))
     challenges = metrics.challenge_snapshot(metrics.challenge_hourly(silver))

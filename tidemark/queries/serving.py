@@ -1,4 +1,4 @@
-"""Serving reads, read packs, row counts, marts, projections and streams."""
+"""Serving reads, row counts, marts, projections and streams."""
 
 from __future__ import annotations
 
@@ -6,10 +6,8 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.operators import metrics, serving
-from tidemark.plans import read_packs
-from tidemark.queries import decisions, facts
+from tidemark.queries import decisions
 from tidemark.queries import tables as t
-from tidemark.queries.oracles import six
 from tidemark.queries.registry import query
 from tidemark.sources import files, marts
 from tidemark.streaming import ingest
@@ -139,70 +137,6 @@ def evidence_missing(spark, folder):
     return missing.select("tenant_id", "opportunity_id", "evidence_id")
 
 
-# --- read packs ----------------------------------------------------------------------
-
-
-@query(
-    "dashboard_trend_lifecycle",
-    f"""SELECT hour_ts, topic, trend_score, post_count, engagements, {six('velocity_z')}
-    FROM trend_hourly_v WHERE tenant_id = 't0'""",
-)
-def dashboard_trend_lifecycle(spark, folder):
-    trends = metrics.trend_hourly(metrics.topic_hourly(t.silver(spark, folder)))
-    read = read_packs.DASHBOARD["trend_lifecycle"]
-    return t.plain(read.over({"gold_trend_hourly": trends}, t.TENANT))
-
-
-@query(
-    "dashboard_brand_health",
-    f"""SELECT CAST(metric_date AS VARCHAR) AS metric_date, brand, mentions, unique_authors,
-      views, engagements,
-      {six('avg_engagement_rate', 'positive_share', 'negative_share', 'net_sentiment')},
-      high_risk_mentions FROM brand_daily_v WHERE tenant_id = 't0'""",
-)
-def dashboard_brand_health(spark, folder):
-    brand = metrics.brand_daily(t.silver(spark, folder))
-    read = read_packs.DASHBOARD["brand_health"]
-    return t.plain(read.over({"gold_brand_daily": brand}, t.TENANT))
-
-
-@query(
-    "analyst_topic_performance",
-    f"""SELECT hour_ts, topic, post_count, creator_count, platform_count, views, engagements,
-      {six('avg_engagement_rate', 'positive_share', 'negative_share')} FROM topic_hourly_v""",
-)
-def analyst_topic_performance(spark, folder):
-    hourly = metrics.topic_hourly(t.silver(spark, folder))
-    read = read_packs.ANALYST["topic_performance"]
-    return t.plain(read.over({"gold_topic_hourly": hourly}))
-
-
-@query(
-    "analyst_recommendations",
-    """SELECT recommendation_id, opportunity_id, product_id, hypothesis, creative_brief,
-      confidence_score, status, updated_at FROM recommendations_v""",
-)
-def analyst_recommendations(spark, folder):
-    read = read_packs.ANALYST["recommendations"]
-    rows = read.over({"decision_recommendations": t.recommendations(spark, folder)})
-    return t.plain(
-        rows.select(
-            "recommendation_id", "opportunity_id", "product_id", "hypothesis",
-            "creative_brief", "confidence_score", "status", "updated_at",
-        )
-    )
-
-
-@query(
-    "dataset_signal_feed",
-    """SELECT signal_type, signal_key, score, severity, evidence_count FROM feed_v
-    WHERE tenant_id = 't0'""",
-)
-def dataset_signal_feed(spark, folder):
-    read = read_packs.DATASETS["signal_feed"]
-    return t.plain(read.over({"gold_signal_feed": facts.feed(spark, folder)}, t.TENANT))
-
-
 # --- tables, marts, projections and streams ------------------------------------------
 
 
