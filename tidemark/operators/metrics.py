@@ -205,14 +205,20 @@ def executive_kpis(posts: DataFrame) -> DataFrame:
     """Ten measures per tenant over the 24 hours up to the tenant's own newest post.
 
     The per-tenant cutoffs are settled first, so that the raw posts meet them in a
-    broadcast join and are filtered before any shuffle.
+    broadcast join and are filtered before any shuffle. The earliest cutoff is one value
+    that reaches the scan, which then skips the older row groups.
     """
     cutoffs = settled(
         posts.groupBy("tenant_id").agg(
             (F.max("created_at") - F.expr(TRAILING_WINDOW)).alias("start_at")
         )
     )
-    recent = posts.join(cutoffs, "tenant_id").filter(F.col("created_at") >= F.col("start_at"))
+    earliest = cutoffs.agg(F.min("start_at")).scalar()
+    recent = (
+        posts.filter(F.col("created_at") >= earliest)
+        .join(cutoffs, "tenant_id")
+        .filter(F.col("created_at") >= F.col("start_at"))
+    )
     return recent.groupBy("tenant_id").agg(
         F.max("created_at").alias("data_through"),
         F.count(F.lit(1)).alias("posts_24h"),

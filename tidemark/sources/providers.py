@@ -17,7 +17,7 @@ from tidemark.functions.identity import is_blank, strip
 from tidemark.functions.scoring import nonneg_int
 from tidemark.functions.text import extract_hashtags
 from tidemark.operators.envelope import build_envelope
-from tidemark.operators.rows import as_timestamp, latest_per_group
+from tidemark.operators.rows import latest_per_group
 
 PAGE_KEYS = ("tenant_id", "source_id", "rule_id", "page_no", "collected_at")
 PAYLOAD_FIELDS = tuple(schemas.POST_PAYLOAD.names)
@@ -74,27 +74,43 @@ def next_page_token(body: Column) -> Column:
     return found
 
 
+def _raw_items(pages: DataFrame, items: str, positions: bool = False) -> DataFrame:
+    """One row per object text of the pages' ``items`` array; the other columns stay."""
+    kept = [c for c in pages.columns if c != "body"]
+    texts = F.from_json("body", f"{items} ARRAY<STRING>")[items]
+    if positions:
+        return pages.select(*kept, F.posexplode(texts).alias("_pos", "raw"))
+    return pages.select(*kept, F.explode(texts).alias("raw"))
+
+
+def _parse_once(rows: DataFrame, object_schema: str) -> DataFrame:
+    """Add the parsed ``item``. As a generator the parse is not repeated by filters."""
+    parsed = F.from_json("raw", object_schema)
+    return rows.select("*", F.explode(F.array(parsed)).alias("item"))
+
+
 def explode_provider_pages(
     pages: DataFrame, items: str, object_schema: str, object_id: str
 ) -> DataFrame:
     """One row per provider object, the first occurrence of an id per rule.
 
     ``items`` is the page's array field (``data`` or ``items``), ``object_id`` the path of
-    the id inside an object. Adds ``item`` (parsed), ``object_id`` and ``raw``.
+    the id inside an object. Adds ``object_id``, ``raw`` and the parsed ``item``. Only the
+    id is read before the shuffle and only ``raw`` travels; the objects that stay are
+    parsed behind it.
     """
-    raw_items = F.from_json("body", f"{items} ARRAY<STRING>")[items]
-    exploded = pages.select(
-        *[c for c in pages.columns if c != "body"],
-        F.posexplode(raw_items).alias("_pos", "raw"),
-    )
-    parsed = exploded.withColumn("item", F.from_json("raw", object_schema)).withColumn(
-        "object_id", strip(F.col(f"item.{object_id}"))
+    key = strip(F.get_json_object("raw", f"$.{object_id}"))
+    keyed = (
+        _raw_items(pages, items, positions=True)
+        .select("*", F.explode(F.array(key)).alias("object_id"))
+        .filter(~is_blank(F.col("object_id")))
     )
-    return latest_per_group(
-        parsed.filter(~is_blank(F.col("object_id"))),
+    first = latest_per_group(
+        keyed,
         ["tenant_id", "source_id", "rule_id", "object_id"],
         [F.asc("page_no"), F.asc("_pos")],
-    ).drop("_pos")
+    )
+    return first.drop("_pos").withColumn("item", F.from_json("raw", object_schema))
 
 
 def _canonical(
@@ -178,16 +194,12 @@ def rank_trends(trends: DataFrame, keys: Sequence[str], top_n: int) -> DataFrame
 
 def map_x_trends(pages: DataFrame, top_n: int = 20) -> DataFrame:
     """Trend pages (with ``woeid`` and ``location`` columns) to ranked trend payloads."""
-    raw_items = F.from_json("body", "data ARRAY<STRING>")["data"]
     rows = (
-        pages.select(
-            "tenant_id", "source_id", "rule_id", "collected_at", "woeid", "location",
-            F.explode(raw_items).alias("raw"),
-        )
-        .withColumn("item", F.from_json("raw", X_TREND))
+        _parse_once(_raw_items(pages, "data"), X_TREND)
         .withColumn("trend_name", strip(F.col("item.trend_name")))
         .filter(~is_blank(F.col("trend_name")))
         .withColumn("tweet_count", nonneg_int(F.col("item.tweet_count")))
+        .drop("item")
     )
     ranked = rank_trends(rows, ["tenant_id", "source_id", "woeid", "collected_at"], top_n)
     name_hash = F.substring(F.sha2(F.lower("trend_name"), 256), 1, 20)
@@ -288,13 +300,8 @@ def map_youtube_comments(
     thread_pages: DataFrame, language: str = "en", region: str = "US"
 ) -> DataFrame:
     """Comment-thread pages to one canonical post per top-level comment."""
-    raw_items = F.from_json("body", "items ARRAY<STRING>")["items"]
-    rows = (
-        thread_pages.select(
-            *[c for c in thread_pages.columns if c != "body"], F.explode(raw_items).alias("raw")
-        )
-        .withColumn("item", F.from_json("raw", YOUTUBE_THREAD))
-        .filter(~is_blank(F.col("item.snippet.topLevelComment.id")))
+    rows = _parse_once(_raw_items(thread_pages, "items"), YOUTUBE_THREAD).filter(
+        ~is_blank(F.col("item.snippet.topLevelComment.id"))
     )
     snippet = F.col("item.snippet")
     fields = _comment_fields(
@@ -313,13 +320,8 @@ def map_youtube_replies(
     reply_pages: DataFrame, language: str = "en", region: str = "US"
 ) -> DataFrame:
     """Reply pages (with a ``video_id`` column) to canonical posts."""
-    raw_items = F.from_json("body", "items ARRAY<STRING>")["items"]
-    rows = (
-        reply_pages.select(
-            *[c for c in reply_pages.columns if c != "body"], F.explode(raw_items).alias("raw")
-        )
-        .withColumn("item", F.from_json("raw", YOUTUBE_COMMENT))
-        .filter(~is_blank(F.col("item.id")))
+    rows = _parse_once(_raw_items(reply_pages, "items"), YOUTUBE_COMMENT).filter(
+        ~is_blank(F.col("item.id"))
     )
     fields = _comment_fields(F.col("item"), F.lit(0).cast("bigint"), language, region)
     attributes = _delivery(
