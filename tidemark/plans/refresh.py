@@ -38,7 +38,9 @@ def refresh_bronze(w: Warehouse) -> None:
 def refresh_facts(w: Warehouse, as_of) -> None:
     """Canonical posts and every fact, snapshot and signal derived from them."""
     silver = w.replace(
-        "silver_social_posts", posts.silver_posts(w.table("bronze_social_posts"))
+        "silver_social_posts",
+        posts.silver_posts(w.table("bronze_social_posts")),
+        sort_by=("tenant_id", "created_at"),
     )
     w.replace(
         "gold_trending_topics", metrics.trending_topics(w.table("bronze_social_trends"), as_of)

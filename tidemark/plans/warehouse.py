@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,8 +41,14 @@ class Warehouse:
         """A control, decision or label table; empty before its first version."""
         return self.table_or_empty(name, schemas.DURABLE_TABLES[name])
 
-    def replace(self, name: str, df: DataFrame) -> DataFrame:
-        """Write the next version (an empty result too) and return it."""
+    def replace(self, name: str, df: DataFrame, sort_by: Sequence[str] = ()) -> DataFrame:
+        """Write the next version (an empty result too) and return it.
+
+        ``sort_by`` orders the rows inside each file, without a shuffle, so that filters
+        on those columns skip row groups and pages by their statistics.
+        """
+        if sort_by:
+            df = df.sortWithinPartitions(*sort_by)
         marts.write_version(df, self.path(name), "refresh", keep_when_empty=False)
         return self.table(name)
 

@@ -40,14 +40,14 @@ def _sources(spark, folder):
 
 
 @query(
-    "sources_upsert",
+    "upsert_sources",
     """SELECT 't' || (c_custkey % 3) AS tenant_id, 'src-' || c_custkey AS source_id,
       CASE WHEN o_custkey IS NULL THEN c_mktsegment ELSE 'orders' END AS platform,
       CASE WHEN o_custkey IS NULL THEN c_custkey % 2 = 0 ELSE true END AS enabled,
       'key-' || c_custkey AS secret_key
     FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) ON o_custkey = c_custkey""",
 )
-def sources_upsert(spark, folder):
+def upsert_sources(spark, folder):
     """Every ordering customer re-registers as an enabled source; secrets stay stored."""
     key = F.col("o_custkey")
     incoming = t.load(spark, folder, "orders").select("o_custkey").distinct().select(
@@ -108,7 +108,7 @@ def rules_upsert(spark, folder):
 
 
 @query(
-    "contracts_upsert",
+    "upsert_contracts",
     """SELECT coalesce(o.v, n.v) AS schema_version, coalesce(o.k, n.k) AS event_type,
       CASE WHEN n.k IS NULL THEN 'NONE' ELSE 'BACKWARD' END AS compatibility_mode,
       n.k IS NOT NULL AS active,
@@ -118,7 +118,7 @@ def rules_upsert(spark, folder):
     FULL JOIN (SELECT DISTINCT '1.0' AS v, event_type AS k FROM events
       WHERE event_type <> 'error') n ON o.v = n.v AND o.k = n.k""",
 )
-def contracts_upsert(spark, folder):
+def upsert_contracts(spark, folder):
     """Contracts of the event types: one is new, one is no longer offered, one time stays."""
     kinds = t.load(spark, folder, "events").select("event_type").distinct()
 
@@ -138,14 +138,14 @@ def contracts_upsert(spark, folder):
 
 
 @query(
-    "products_upsert",
+    "upsert_products",
     """SELECT 't' || (p_partkey % 3) AS tenant_id, CAST(p_partkey AS VARCHAR) AS product_id,
       p_name AS product_name, CASE WHEN sold THEN 'sold' ELSE p_type END AS category,
       CASE WHEN sold THEN 0.5::DOUBLE ELSE p_size / 100.0::DOUBLE END AS gross_margin_rate
     FROM (SELECT *, EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey
       AND l_returnflag = 'R' AND l_quantity > 45) AS sold FROM part)""",
 )
-def products_upsert(spark, folder):
+def upsert_products(spark, folder):
     """Parts returned in bulk get a new category and margin."""
     catalog = t.products(spark, folder)
     returned = (
@@ -162,7 +162,7 @@ def products_upsert(spark, folder):
 
 
 @query(
-    "signal_map_upsert",
+    "upsert_signal_map",
     """SELECT coalesce(o.tenant_id, n.tenant_id) AS tenant_id,
       coalesce(o.signal_key, n.signal_key) AS signal_key,
       coalesce(n.product_fit, o.product_fit) AS product_fit
@@ -171,7 +171,7 @@ def products_upsert(spark, folder):
     FULL JOIN (SELECT 't' || (p_partkey % 3) AS tenant_id, 'part-' || p_partkey AS signal_key,
         0.9::DOUBLE AS product_fit FROM part WHERE p_size > 20) n USING (tenant_id, signal_key)""",
 )
-def signal_map_upsert(spark, folder):
+def upsert_signal_map(spark, folder):
     """Maps of small parts, merged with maps of larger parts (they overlap)."""
     key = F.col("p_partkey")
 

@@ -129,6 +129,46 @@ def dead_letter(spark, folder):
     )
 
 
+@query(
+    "classify_deliveries",
+    """SELECT d.event_id, d.source_id, concat_ws(',', nullif(x.rejection_reasons, ''),
+      CASE WHEN d.n % 13 = 0 AND d.payload IS NOT NULL THEN 'unparseable_payload' END)
+      AS rejection_reasons
+    FROM deliveries_v d LEFT JOIN dead_letter_v x ON x.event_id = d.event_id""",
+)
+def classify_deliveries(spark, folder):
+    """All deliveries with their reasons; every thirteenth payload is cut off."""
+    number = F.col("source_object_id").cast("bigint")
+    broken = F.when(number % 13 == 0, F.left("payload", F.length("payload") - 1))
+    deliveries = t.deliveries(spark, folder).withColumn(
+        "payload", broken.when(number % 13 != 0, F.col("payload"))
+    )
+    rows = envelope.classify_deliveries(
+        deliveries, t.contracts(spark), t.registry(spark), reject_unparseable=True
+    )
+    return rows.select("event_id", "source_id", "rejection_reasons")
+
+
+@query(
+    "inline_values",
+    """SELECT r.tenant_id, r.source_id, r.enabled, count(p.post_id) AS posts
+    FROM registry_v r LEFT JOIN posts_v p
+      ON p.tenant_id = r.tenant_id AND p.source_id = r.source_id
+    GROUP BY ALL""",
+)
+def inline_registry(spark, folder):
+    """Posts per source of the literal registry, reduced before they meet it."""
+    posts_per_source = (
+        t.posts(spark, folder).groupBy("tenant_id", "source_id").agg(F.count("post_id").alias("posts"))
+    )
+    return (
+        t.registry(spark)
+        .join(posts_per_source, ["tenant_id", "source_id"], "left")
+        .fillna(0, ["posts"])
+        .select("tenant_id", "source_id", "enabled", "posts")
+    )
+
+
 def _accepted(spark, folder, full_payload=False):
     return envelope.accept_events(
         t.deliveries(spark, folder, full_payload), t.contracts(spark), t.registry(spark)

@@ -248,6 +248,20 @@ def since_watermark(spark, folder):
     return t.plain(fresh.select("tenant_id", "post_id", "created_at"))
 
 
+@query(
+    "watermarks",
+    f"""SELECT DISTINCT tenant_id, 'rule-' || (n % 3) AS rule_id, {_BOUND} AS lower_bound
+    FROM posts_v""",
+)
+def watermarks(spark, folder):
+    """Lower bounds of all rules that occur; a third of them have a cursor."""
+    rules = t.x_pages(spark, folder).select("tenant_id", "source_id", "rule_id").distinct()
+    bounds = cursors.watermarks(
+        rules, t.cursors(spark), t.AS_OF, lookback_hours=72, overlap_minutes=5
+    )
+    return t.plain(bounds.select("tenant_id", "rule_id", "lower_bound"))
+
+
 @query(
     "advance_cursors",
     """SELECT tenant_id, rule_id, CASE WHEN rule_id = 'rule-2' OR tenant_id = 't2'

@@ -228,6 +228,33 @@ def export_projection(spark, folder):
     return files.read_projection_snapshot(spark, path, totals.schema)
 
 
+@query(
+    "read_projection",
+    """SELECT tenant_id, CAST(metric_date AS VARCHAR) AS metric_date, brand, mentions
+    FROM brand_daily_v""",
+)
+def read_projection(spark, folder):
+    """Brand days behind a serving view; they stay below the projection's row limit."""
+    brand = metrics.brand_daily(t.silver(spark, folder))
+    brand.select("tenant_id", "metric_date", "brand", "mentions").createOrReplaceTempView(
+        "serving_metrics"
+    )
+    return t.plain(files.read_projection(spark, "metrics"))
+
+
+@query(
+    "land_ndjson",
+    """SELECT post_id, platform, views, created_at FROM posts_v""",
+)
+def land_ndjson(spark, folder):
+    """Post records landed as JSON lines in two batches and read as declared."""
+    landing = files.new_folder(spark, "posts-landing")
+    records = t.posts(spark, folder).select("post_id", "platform", "views", "created_at")
+    for batch in ("platform = 'reddit'", "platform <> 'reddit'"):
+        files.land_ndjson(records.filter(batch).withColumns(_iso("created_at")), landing)
+    return t.plain(spark.read.schema(records.schema).json(landing))
+
+
 @query(
     "stream_ingest",
     """SELECT event_id, tenant_id, source_id, event_type, occurred_at, collected_at,
