@@ -11,7 +11,6 @@ from tidemark.plans import read_packs, refresh
 from tidemark.plans.warehouse import Warehouse
 from tidemark.queries import tables as t
 from tidemark.sources import files, marts
-from tidemark.streaming import ingest
 
 AS_OF = datetime(2024, 1, 31)
 
@@ -21,12 +20,14 @@ def warehouse(spark, folder, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("warehouse"))
     w = Warehouse(spark, root)
     deliveries = t.deliveries(spark, folder, full_payload=True).drop("ingested_at")
-    files.land_ndjson(deliveries, f"{root}/landing", files=4)
-    bronze = ingest.read_event_stream(
-        spark, f"{root}/landing", f"{root}/checkpoint", path=f"{root}/bronze"
-    )
-    w.replace("bronze_social_events", bronze)
-    w.replace("bronze_connector_runs", t.runs(spark, folder))
+    files.land_ndjson(deliveries, f"{root}/landing/events", files=4)
+    files.land_ndjson(t.runs(spark, folder), f"{root}/landing/runs", files=2)
+    landed = {"events": f"{root}/landing/events", "runs": f"{root}/landing/runs"}
+    for _ in range(2):  # the second run finds nothing new
+        refresh.ingest_landed(w, **landed)
+    assert w.table("bronze_social_events").count() == deliveries.count()
+    with pytest.raises(ValueError):
+        w.replace("bronze_social_events", deliveries)
     w.replace("control_event_contracts", t.contracts(spark))
     w.replace("control_source_registry", t.registry(spark))
     w.replace("control_product_catalog", t.products(spark, folder))

@@ -26,6 +26,15 @@ RISK_DEFAULT = "none"
 HASHTAG_PATTERN = r"(?U)(?<!\w)#([\w-]+)"
 
 
+def fill(template: str, *values: Column | str) -> Column:
+    """The template with ``{}`` replaced by the values; NULL when a value is NULL."""
+    texts = template.split("{}")
+    parts: list[Column | str] = [F.lit(texts[0])]
+    for value, text in zip(values, texts[1:], strict=True):
+        parts += [value, F.lit(text)]
+    return F.concat(*parts)
+
+
 def first_match(text: Column, rules: Sequence[tuple[str, str]], default: str) -> Column:
     """Label of the first rule whose pattern occurs in ``text``."""
     label = F.when(F.lit(False), F.lit(default))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scoring
 from tidemark.functions.identity import is_blank, record_id, stable_decision_id, strip
+from tidemark.functions.text import fill
 from tidemark.operators.merge import merge_upsert, source, target
 from tidemark.operators.rows import as_timestamp, top_per_group
 
@@ -27,7 +28,26 @@ STATUS_OF_EXPERIMENT = {
     "COMPLETED": "COMPLETED",
     "CANCELLED": "CANCELLED",
 }
-# Texts and settings of generated records.
+# Texts and settings of generated records; {} marks inserted values.
+DEFEND_HYPOTHESIS = (
+    "Addressing {} with evidence-led guidance will reduce negative conversation."
+)
+GROW_HYPOTHESIS = (
+    "A {}-aligned creative for {} will outperform the current control with the target audience."
+)
+DEFEND_BRIEF = (
+    "Lead with the verified customer concern, the corrective action, and a measurable "
+    "support path. Evidence: {}"
+)
+GROW_BRIEF = (
+    "Build one control and one treatment around {}. Keep offer, audience, placement, and "
+    "budget constant. Evidence: {}"
+)
+REUSABLE_INSIGHT = (
+    "{} Outcome: {}. Reuse only for comparable product, audience, channel, and offer contexts."
+)
+DRAFT_HYPOTHESIS = "Promoting {} increases qualified demand."
+DRAFT_BRIEF = "Create a brand-safe variant grounded in the observed signal."
 CONTROL_DEFINITION = "Current best-performing eligible creative"
 GUARDRAIL_METRIC = "contribution_margin"
 TARGET_LIFT_PCT = 10.0
@@ -54,33 +74,11 @@ def proposals(opportunities: DataFrame, as_of) -> DataFrame:
         return F.when(defend, defending).otherwise(growing)
 
     hypothesis = by_type(
-        F.concat(
-            F.lit("Addressing "),
-            "signal_key",
-            F.lit(" with evidence-led guidance will reduce negative conversation."),
-        ),
-        F.concat(
-            F.lit("A "),
-            "signal_key",
-            F.lit("-aligned creative for "),
-            "product_name",
-            F.lit(" will outperform the current control with the target audience."),
-        ),
+        fill(DEFEND_HYPOTHESIS, "signal_key"),
+        fill(GROW_HYPOTHESIS, "signal_key", "product_name"),
     )
     brief = by_type(
-        F.concat(
-            F.lit(
-                "Lead with the verified customer concern, the corrective action, "
-                "and a measurable support path. Evidence: "
-            ),
-            "evidence_ref",
-        ),
-        F.concat(
-            F.lit("Build one control and one treatment around "),
-            "signal_key",
-            F.lit(". Keep offer, audience, placement, and budget constant. Evidence: "),
-            "evidence_ref",
-        ),
+        fill(DEFEND_BRIEF, "evidence_ref"), fill(GROW_BRIEF, "signal_key", "evidence_ref")
     )
     return opportunities.filter(
         (F.col("status") == "OPEN") & (F.col("opportunity_score") >= PROPOSAL_SCORE)
@@ -323,15 +321,7 @@ def measured_learnings(
                 control, treatment, F.col("gross_margin_rate"), F.col("actual_spend")
             ).alias("contribution_margin"),
             F.lit("DIRECTIONAL").alias("confidence_level"),
-            F.concat(
-                "hypothesis",
-                F.lit(" Outcome: "),
-                outcome,
-                F.lit(
-                    ". Reuse only for comparable product, audience, channel, "
-                    "and offer contexts."
-                ),
-            ).alias("reusable_insight"),
+            fill(REUSABLE_INSIGHT, "hypothesis", outcome).alias("reusable_insight"),
             as_timestamp(as_of).alias("recorded_at"),
             F.lit("decision-engine").alias("recorded_by"),
         )
@@ -534,12 +524,8 @@ def evidence_gated_draft(opportunities: DataFrame, task: str, limit: int = 5) ->
         chosen["opportunity_id"].alias("opportunity_id"),
         F.lit("PROMOTE").alias("action_type"),
         F.lit("PAID_SOCIAL").alias("channel"),
-        F.concat(F.lit("Promoting "), subject, F.lit(" increases qualified demand.")).alias(
-            "hypothesis"
-        ),
-        F.lit("Create a brand-safe variant grounded in the observed signal.").alias(
-            "creative_brief"
-        ),
+        fill(DRAFT_HYPOTHESIS, subject).alias("hypothesis"),
+        F.lit(DRAFT_BRIEF).alias("creative_brief"),
         F.lit("conversion_rate").alias("primary_metric"),
         chosen["opportunity_score"].alias("confidence_score"),
     )

@@ -32,7 +32,8 @@ def settled(df: DataFrame) -> DataFrame:
     Spark broadcasts the kept rows only when they measure below
     ``spark.sql.autoBroadcastJoinThreshold``; a bigger summary is joined by shuffle with
     adaptive skew splitting. Lost blocks are recomputed from lineage. Only for summaries
-    (one row per tenant or source), never for raw rows.
+    (one row per tenant or place), never for raw rows; they stay until the session's
+    cache is cleared.
     """
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     kept.count()

@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scoring
 from tidemark.functions.identity import record_id
-
+from tidemark.functions.text import fill
+
+# Texts of signals and opportunities; {} marks inserted values.
+TREND_SUMMARY = "Topic {} trend score {}"
+CHALLENGE_SUMMARY = "Challenge {} score {}"
+BRAND_SUMMARY = "{}: {} high-risk mentions"
+DEFEND_TITLE = "Protect {}: {}"
+GROW_TITLE = "Test {}: {}"
 # Fits and channel of signals that no product is mapped to.
 DEFAULT_FIT = 0.20
 DEFAULT_CHANNEL = "analyst-review"
@@ -45,7 +52,7 @@ def latest_brand_day(brand: DataFrame) -> DataFrame:
 
 def trend_signals(snapshot: DataFrame) -> DataFrame:
     score = F.col("trend_score")
-    summary = F.concat(F.lit("Topic "), "topic", F.lit(" trend score "), score.cast("string"))
+    summary = fill(TREND_SUMMARY, "topic", score.cast("string"))
     return _feed(
         snapshot, "trend", "topic", F.col("hour_ts"), score, scoring.severity(score), summary,
         "post_count", "gold_trend_snapshot",
@@ -54,9 +61,7 @@ def trend_signals(snapshot: DataFrame) -> DataFrame:
 
 def challenge_signals(snapshot: DataFrame) -> DataFrame:
     score = F.col("challenge_score")
-    summary = F.concat(
-        F.lit("Challenge "), "challenge_name", F.lit(" score "), score.cast("string")
-    )
+    summary = fill(CHALLENGE_SUMMARY, "challenge_name", score.cast("string"))
     return _feed(
         snapshot, "challenge", "challenge_name", F.col("hour_ts"), score,
         scoring.severity(score), summary, "participation_count", "gold_challenge_snapshot",
@@ -65,7 +70,7 @@ def challenge_signals(snapshot: DataFrame) -> DataFrame:
 
 def brand_risk_signals(brand: DataFrame) -> DataFrame:
     negative, risky = F.col("negative_share"), F.col("high_risk_mentions")
-    summary = F.concat("brand", F.lit(": "), risky.cast("string"), F.lit(" high-risk mentions"))
+    summary = fill(BRAND_SUMMARY, "brand", risky.cast("string"))
     return _feed(
         latest_brand_day(brand), "brand_risk", "brand", F.col("metric_date").cast("timestamp"),
         scoring.brand_risk_score(negative, risky), scoring.brand_severity(negative, risky),
@@ -112,6 +117,7 @@ def opportunities(
         )
     )
     defend = F.col("signal_type") == "brand_risk"
+    subject = F.coalesce("product_name", "signal_key")
     inputs = [F.col(c) for c in ("score", "evidence_count", "product_fit", "commercial_fit")]
     stamp = F.current_timestamp() if refreshed_at is None else F.lit(refreshed_at)
     lifetime = F.when(defend, F.expr("INTERVAL 2 DAYS")).otherwise(F.expr("INTERVAL 7 DAYS"))
@@ -139,12 +145,9 @@ def opportunities(
         scoring.opportunity_score(*inputs).alias("opportunity_score"),
         scoring.confidence_score(*inputs).alias("confidence_score"),
         scoring.opportunity_status(F.col("product_id"), F.col("score")).alias("status"),
-        F.concat(
-            F.when(defend, F.lit("Protect ")).otherwise(F.lit("Test ")),
-            F.coalesce("product_name", "signal_key"),
-            F.lit(": "),
-            "summary",
-        ).alias("title"),
+        F.when(defend, fill(DEFEND_TITLE, subject, "summary"))
+        .otherwise(fill(GROW_TITLE, subject, "summary"))
+        .alias("title"),
         F.to_json(
             F.struct("signal_type", "signal_key", "signal_ts", "source_table", "evidence_count")
         ).alias("evidence_ref"),

@@ -1,4 +1,4 @@
-"""The scheduled runs: analytics refresh, governance and decision loop.
+"""The scheduled runs: ingestion, analytics refresh, governance and decision loop.
 
 Stages communicate through stored tables, as separate jobs would: enriched posts are
 computed once and read by six consumers, and no stage recomputes the lineage of another.
@@ -8,6 +8,23 @@ from __future__ import annotations
 
 from tidemark.operators import envelope, health, lifecycle, metrics, posts, signals
 from tidemark.plans.warehouse import Warehouse
+from tidemark.streaming import ingest
+
+
+def ingest_landed(
+    w: Warehouse, events: str | None = None, runs: str | None = None, max_files: int | None = None
+) -> None:
+    """Append everything newly landed to the bronze tables; each file exactly once."""
+    if events:
+        name = "bronze_social_events"
+        ingest.read_event_stream(
+            w.spark, events, w.checkpoint(name), path=w.path(name), max_files_per_trigger=max_files
+        )
+    if runs:
+        name = "bronze_connector_runs"
+        ingest.read_run_metric_stream(
+            w.spark, runs, w.checkpoint(name), path=w.path(name), max_files_per_trigger=max_files
+        )
 
 
 def refresh_bronze(w: Warehouse) -> None:

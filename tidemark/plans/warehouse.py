@@ -12,6 +12,10 @@ from tidemark import schemas
 from tidemark.sources import files, marts
 
 
+# Tables that streams append to; they are read where the stream writes, never copied.
+APPENDED = ("bronze_social_events", "bronze_connector_runs")
+
+
 @dataclass(frozen=True)
 class Warehouse:
     """Tables under one shared root; each replacement is a new, atomically named version.
@@ -26,10 +30,17 @@ class Warehouse:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def checkpoint(self, name: str) -> str:
+        return f"{self.root}/_checkpoints/{name}"
+
     def exists(self, name: str) -> bool:
+        if name in APPENDED:
+            return files.path_exists(self.spark, self.path(name))
         return marts.current_version(self.spark, self.path(name)) is not None
 
     def table(self, name: str) -> DataFrame:
+        if name in APPENDED:
+            return self.spark.read.parquet(self.path(name))
         return marts.read_mart(self.spark, self.path(name))
 
     def table_or_empty(self, name: str, schema: T.StructType) -> DataFrame:
@@ -47,6 +58,8 @@ class Warehouse:
         ``sort_by`` orders the rows inside each file, without a shuffle, so that filters
         on those columns skip row groups and pages by their statistics.
         """
+        if name in APPENDED:
+            raise ValueError(f"{name} only grows; streams append to it")
         if sort_by:
             df = df.sortWithinPartitions(*sort_by)
         marts.write_version(df, self.path(name), "refresh", keep_when_empty=False)

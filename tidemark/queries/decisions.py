@@ -207,6 +207,15 @@ def upsert_signal_map(spark, folder):
       preferred_channel AS channel, target_audience,
       CASE opportunity_type WHEN 'DEFEND' THEN 'negative_share' ELSE 'conversion_rate' END
         AS primary_metric,
+      CASE opportunity_type WHEN 'DEFEND' THEN 'Addressing ' || signal_key
+          || ' with evidence-led guidance will reduce negative conversation.'
+        ELSE 'A ' || signal_key || '-aligned creative for ' || product_name
+          || ' will outperform the current control with the target audience.' END AS hypothesis,
+      CASE opportunity_type WHEN 'DEFEND' THEN 'Lead with the verified customer concern, the '
+          || 'corrective action, and a measurable support path. Evidence: ' || evidence_ref
+        ELSE 'Build one control and one treatment around ' || signal_key || '. Keep offer, '
+          || 'audience, placement, and budget constant. Evidence: ' || evidence_ref END
+        AS creative_brief,
       confidence_score, 'PROPOSED' AS status
     FROM opportunities_v WHERE status = 'OPEN' AND opportunity_score >= 45""",
 )
@@ -214,7 +223,8 @@ def proposals(spark, folder):
     rows = lifecycle.proposals(opportunity_table(spark, folder), t.AS_OF)
     return rows.select(
         "recommendation_id", "tenant_id", "opportunity_id", "product_id", "action_type",
-        "channel", "target_audience", "primary_metric", "confidence_score", "status",
+        "channel", "target_audience", "primary_metric", "hypothesis", "creative_brief",
+        "confidence_score", "status",
     )
 
 
