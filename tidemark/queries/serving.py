@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.operators import metrics, serving
+from tidemark.operators.envelope import envelope_to_record
 from tidemark.queries import decisions
 from tidemark.queries import tables as t
 from tidemark.queries.registry import query
@@ -251,7 +252,7 @@ def land_ndjson(spark, folder):
     landing = files.new_folder(spark, "posts-landing")
     records = t.posts(spark, folder).select("post_id", "platform", "views", "created_at")
     for batch in ("platform = 'reddit'", "platform <> 'reddit'"):
-        files.land_ndjson(records.filter(batch).withColumns(_iso("created_at")), landing)
+        files.land_ndjson(records.filter(batch), landing)
     return t.plain(spark.read.schema(records.schema).json(landing))
 
 
@@ -266,7 +267,7 @@ def stream_ingest(spark, folder):
     checkpoint = files.new_folder(spark, "stream-checkpoint")
     bronze = files.new_folder(spark, "bronze")
     records = t.deliveries(spark, folder).drop("ingested_at")
-    files.land_ndjson(records.withColumns(_iso("occurred_at", "collected_at")), landing)
+    files.land_ndjson(envelope_to_record(records), landing)
     for _ in range(2):
         rows = ingest.read_event_stream(spark, landing, checkpoint, path=bronze)
     return t.plain(
@@ -277,12 +278,6 @@ def stream_ingest(spark, folder):
     )
 
 
-def _iso(*names):
-    from tidemark.functions.identity import utc_text
-
-    return {name: utc_text(F.col(name)) for name in names}
-
-
 @query(
     "stream_runs",
     """SELECT run_id, tenant_id, source_id, completed_at, status, search_calls_remaining
@@ -291,8 +286,7 @@ def _iso(*names):
 def stream_runs(spark, folder):
     """All run records landed and drained in bounded micro-batches."""
     landing = files.new_folder(spark, "run-landing")
-    records = t.runs(spark, folder).withColumns(_iso("started_at", "completed_at"))
-    files.land_ndjson(records, landing)
+    files.land_ndjson(t.runs(spark, folder), landing)
     rows = ingest.read_run_metric_stream(
         spark,
         landing,

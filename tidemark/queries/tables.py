@@ -153,10 +153,7 @@ def deliveries(spark: SparkSession, folder: str, full_payload: bool = False) ->
     if full_payload:
         # As the output of a generator the JSON is opaque to constraint inference, which
         # would otherwise substitute its eighteen aliased columns in every combination.
-        text = F.to_json(
-            F.struct(*schemas.POST_PAYLOAD.names),
-            {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"},
-        )
+        text = F.to_json(F.struct(*schemas.POST_PAYLOAD.names), schemas.JSON_TIMES)
         base = base.select("*", F.explode(F.array(text)).alias("_payload"))
         payload = F.col("_payload")
     first = base.select(

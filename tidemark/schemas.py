@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+# JSON writers cut timestamps to milliseconds unless told otherwise.
+JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
 _TYPES = {
     "STRING": T.StringType(),
     "STRINGS": T.ArrayType(T.StringType()),

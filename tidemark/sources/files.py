@@ -86,7 +86,8 @@ def land_ndjson(
     ``files`` bounds the number of files of a small batch; left out, every task writes
     its own file and the batch size sets the parallelism.
     """
-    (records.coalesce(files) if files else records).write.mode(mode).json(path)
+    batch = records.coalesce(files) if files else records
+    batch.write.mode(mode).options(**schemas.JSON_TIMES).json(path)
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -173,9 +174,8 @@ def read_projection(
 def projection_document(projection: DataFrame) -> DataFrame:
     """One JSON document ``{"items": [...]}`` of at most 1000 projection rows."""
     page = projection.limit(PROJECTION_LIMIT)
-    return page.agg(
-        F.to_json(F.struct(F.collect_list(F.struct(*page.columns)).alias("items"))).alias("value")
-    )
+    document = F.struct(F.collect_list(F.struct(*page.columns)).alias("items"))
+    return page.agg(F.to_json(document, schemas.JSON_TIMES).alias("value"))
 
 
 def export_projection(projection: DataFrame, path: str, single_document: bool = True) -> None:
@@ -183,7 +183,7 @@ def export_projection(projection: DataFrame, path: str, single_document: bool =
     if single_document:
         projection_document(projection).write.mode("overwrite").text(path)
     else:
-        projection.write.mode("overwrite").json(path)
+        projection.write.mode("overwrite").options(**schemas.JSON_TIMES).json(path)
 
 
 def read_projection_snapshot(

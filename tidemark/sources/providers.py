@@ -24,7 +24,6 @@ PAYLOAD_FIELDS = tuple(schemas.POST_PAYLOAD.names)
 TREND_FIELDS = tuple(schemas.TREND_PAYLOAD.names)
 POST_EVENT = "social.post.observed"
 TREND_EVENT = "social.trend.observed"
-JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 X_POST = """
     id STRING, text STRING, author_id STRING, created_at TIMESTAMP, lang STRING,
@@ -400,7 +399,7 @@ def post_envelopes(mapped: DataFrame) -> DataFrame:
         source_object_id=F.col("post_id"),
         occurred_at=F.col("created_at"),
         collected_at=F.col("collected_at"),
-        payload=F.to_json(F.struct(*payload), JSON_TIMES),
+        payload=F.to_json(F.struct(*payload), schemas.JSON_TIMES),
         attributes=F.col("attributes"),
     )
 
@@ -416,7 +415,7 @@ def trend_envelopes(mapped: DataFrame) -> DataFrame:
         source_object_id=F.col("source_object_id"),
         occurred_at=F.col("observed_at"),
         collected_at=F.col("observed_at"),
-        payload=F.to_json(F.struct(*TREND_FIELDS), JSON_TIMES),
+        payload=F.to_json(F.struct(*TREND_FIELDS), schemas.JSON_TIMES),
         attributes=F.col("attributes"),
     )
 
