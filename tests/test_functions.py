@@ -107,6 +107,15 @@ def test_utc_text_does_not_depend_on_the_session_zone(spark, rows):
     assert value == "2024-01-01T12:00:00+00:00"
 
 
+@pytest.mark.parametrize(
+    ("micros", "expected"),
+    [(0, "2024-01-01T00:00:05+00:00"), (120, "2024-01-01T00:00:05.000120+00:00")],
+)
+def test_iso_text(one, micros, expected):
+    at = datetime(2024, 1, 1, 0, 0, 5, micros)
+    assert one(identity.iso_text(F.col("at")), "at TIMESTAMP", at) == expected
+
+
 def test_stable_decision_id(one):
     a = one(identity.stable_decision_id(L(" Demo "), L("OPP")))
     assert a == sha("demo|opp") == one(identity.stable_decision_id(L("demo"), L("opp ")))

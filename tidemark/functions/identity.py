@@ -31,6 +31,12 @@ def utc_text(ts: Column, fraction_digits: int = 6) -> Column:
     return F.concat(F.date_format(utc, pattern), F.lit("+00:00"))
 
 
+def iso_text(ts: Column) -> Column:
+    """UTC ISO text that shows microseconds only where there are some."""
+    whole = F.date_trunc("second", ts) == ts
+    return F.when(whole, utc_text(ts, 0)).otherwise(utc_text(ts))
+
+
 def idempotency_key(
     tenant_id: Column,
     platform: Column,

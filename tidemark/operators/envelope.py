@@ -131,8 +131,8 @@ def envelope_to_record(events: DataFrame) -> DataFrame:
         payload = F.to_json(payload)
     return events.withColumns(
         {
-            "occurred_at": ids.utc_text(F.col("occurred_at")),
-            "collected_at": ids.utc_text(F.col("collected_at")),
+            "occurred_at": ids.iso_text(F.col("occurred_at")),
+            "collected_at": ids.iso_text(F.col("collected_at")),
             "payload": payload,
         }
     )
@@ -156,14 +156,14 @@ def to_cloudevent(
         source.alias("source"),
         F.col("event_type").alias("type"),
         F.concat_ws("/", platform, encode(F.col("source_object_id"))).alias("subject"),
-        ids.utc_text(F.col("occurred_at")).alias("time"),
+        ids.iso_text(F.col("occurred_at")).alias("time"),
         F.lit("application/json").alias("datacontenttype"),
         F.lit(data_schema).alias("dataschema"),
         F.col("tenant_id").alias("tenantid"),
         F.col("source_id").alias("sourceid"),
         F.col("correlation_id").alias("correlationid"),
         F.col("idempotency_key").alias("idempotencykey"),
-        ids.utc_text(F.col("collected_at")).alias("collectedat"),
+        ids.iso_text(F.col("collected_at")).alias("collectedat"),
         F.col("schema_version").alias("schemaversion"),
         F.struct("schema_version", "payload", "attributes").alias("data"),
     )

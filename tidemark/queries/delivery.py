@@ -17,6 +17,13 @@ def _iso(column: str) -> str:
     return f"strftime({column}, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00'"
 
 
+def _short_iso(column: str) -> str:
+    return (
+        f"CASE WHEN date_trunc('second', {column}) = {column} "
+        f"THEN strftime({column}, '%Y-%m-%dT%H:%M:%S') || '+00:00' ELSE {_iso(column)} END"
+    )
+
+
 @query(
     "idempotency_key",
     f"""SELECT post_id, sha256(concat_ws('|', lower(tenant_id), platform, post_id,
@@ -82,8 +89,8 @@ def validate_envelope(spark, folder):
 
 @query(
     "envelope_to_record",
-    f"""SELECT event_id, {_iso('occurred_at')} AS occurred_at,
-    {_iso('collected_at')} AS collected_at, payload FROM deliveries_v""",
+    f"""SELECT event_id, {_short_iso('occurred_at')} AS occurred_at,
+    {_short_iso('collected_at')} AS collected_at, payload FROM deliveries_v""",
 )
 def envelope_to_record(spark, folder):
     rows = envelope.envelope_to_record(t.deliveries(spark, folder))
@@ -95,9 +102,9 @@ def envelope_to_record(spark, folder):
     f"""SELECT '1.0' AS specversion, event_id AS id,
       'urn:audience-signals:' || tenant_id || ':' || platform || ':' || source_id AS source,
       event_type AS type, platform || '/' || source_object_id || '%20~%2A%2F' AS subject,
-      {_iso('occurred_at')} AS time, 'application/json' AS datacontenttype,
+      {_short_iso('occurred_at')} AS time, 'application/json' AS datacontenttype,
       tenant_id AS tenantid, source_id AS sourceid, correlation_id AS correlationid,
-      idempotency_key AS idempotencykey, {_iso('collected_at')} AS collectedat,
+      idempotency_key AS idempotencykey, {_short_iso('collected_at')} AS collectedat,
       schema_version AS schemaversion, payload
     FROM accepted_v""",
 )
