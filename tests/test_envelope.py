@@ -151,10 +151,14 @@ def test_validation(spark):
 
 
 def test_cloudevent(spark):
-    row = envelope.to_cloudevent(events(spark, event(tenant="de mo"))).first()
+    sent = envelope.to_cloudevent(events(spark, event(tenant="de mo")))
+    row = sent.withColumn("data", F.to_json("data")).first()
     assert row.source.endswith(":de%20mo:x:src") and row.source.startswith("urn:")
     assert row.subject == "x/obj" and row.time == "2026-08-08T11:55:00+00:00"
-    assert row.data.payload and row.data.attributes == {"trend_rank": "1"}
+    assert json.loads(row.data) == {
+        "schema_version": "1.0", "payload": {"post_id": "p1", "views": 5},
+        "attributes": {"trend_rank": "1"},
+    }
 
 
 def test_record_sorts_struct_payload(spark):

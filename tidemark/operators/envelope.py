@@ -143,7 +143,11 @@ def to_cloudevent(
     data_schema: str = DEFAULT_DATA_SCHEMA,
     urn_prefix: str = DEFAULT_URN_PREFIX,
 ) -> DataFrame:
-    """CloudEvents 1.0 structured form: URN source, lower-case extensions, nested data."""
+    """CloudEvents 1.0 structured form: URN source, lower-case extensions, nested data.
+
+    The payload is a VARIANT, so that ``to_json`` of an event nests it as an object
+    instead of quoting its text.
+    """
     encode = ids.percent_encode
     platform = encode(F.lower("platform"))
     source = F.concat(
@@ -165,7 +169,11 @@ def to_cloudevent(
         F.col("idempotency_key").alias("idempotencykey"),
         ids.iso_text(F.col("collected_at")).alias("collectedat"),
         F.col("schema_version").alias("schemaversion"),
-        F.struct("schema_version", "payload", "attributes").alias("data"),
+        F.struct(
+            "schema_version",
+            F.try_parse_json(F.col("payload")).alias("payload"),
+            "attributes",
+        ).alias("data"),
     )
 
 

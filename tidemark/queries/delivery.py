@@ -105,7 +105,9 @@ def envelope_to_record(spark, folder):
       {_short_iso('occurred_at')} AS time, 'application/json' AS datacontenttype,
       tenant_id AS tenantid, source_id AS sourceid, correlation_id AS correlationid,
       idempotency_key AS idempotencykey, {_short_iso('collected_at')} AS collectedat,
-      schema_version AS schemaversion, payload
+      schema_version AS schemaversion,
+      '{{"schema_version":"1.0","payload":' || replace(payload, ': ', ':')
+        || ',"attributes":{{"delivery_mode":"batch"}}}}' AS data
     FROM accepted_v""",
 )
 def to_cloudevent(spark, folder):
@@ -115,7 +117,7 @@ def to_cloudevent(spark, folder):
     events = envelope.to_cloudevent(accepted)
     return events.select(
         *[c for c in events.columns if c not in ("data", "dataschema")],
-        F.col("data.payload").alias("payload"),
+        F.to_json("data").alias("data"),
     )
 
 
