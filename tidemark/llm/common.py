@@ -56,19 +56,21 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def keyed(docs: DataFrame, *columns: str | Column) -> DataFrame:
-    """``doc_id`` and the columns asked for, behind a key that is derived from the row itself.
+def key() -> list[Column]:
+    """The key of a row, derived from its doc_id and text alone.
 
-    Rows that share a key are equal in doc_id and text, so a result found for the key holds for
-    each of them. Columns of the caller never clash: only the named ones are read.
+    Rows that share a key are equal in both, so a result found for the key holds for each of them.
     """
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(
+    return [
         F.coalesce(doc_id, F.lit(-1)).alias(KEY[0]),
         F.xxhash64(doc_id.isNull(), F.col("text")).alias(KEY[1]),
-        doc_id.alias("doc_id"),
-        *columns,
-    )
+    ]
+
+
+def keyed(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """Key, ``doc_id`` and the columns asked for. The caller's other columns cannot clash."""
+    return docs.select(*key(), F.col("doc_id").cast("long").alias("doc_id"), *columns)
 
 
 def texts() -> Column:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import KEY, keyed, settle, texts
+from tidemark.llm.common import KEY, key, keyed, settle, texts
 
 WINDOW = 10
 BROADCAST_ROWS = 1 << 19
@@ -141,11 +141,7 @@ def removed_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def _apply(docs: DataFrame, benchmark: DataFrame, window: int, spans: bool) -> DataFrame:
     found = contamination(docs, benchmark, window).filter(F.size("hits") > 0)
     found = settle(found.select(F.struct(*KEY).alias("_key"), F.col("hits").alias("_hits")).dropDuplicates(["_key"]))
-    doc_id = F.col("doc_id").cast("long")
-    key = F.struct(
-        F.coalesce(doc_id, F.lit(-1)).alias(KEY[0]), F.xxhash64(doc_id.isNull(), F.col("text")).alias(KEY[1])
-    )
-    rows = docs.withColumn("_key", key)
+    rows = docs.withColumn("_key", F.struct(*key()))
     if not spans:
         return rows.join(found, "_key", "left_anti").select(docs.columns)
     kept = F.filter(words(F.col("text")), lambda w, i: ~F.array_contains(F.col("_hits"), i))

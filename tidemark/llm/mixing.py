@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import KEY, keyed, settle, texts
+from tidemark.llm.common import KEY, key, keyed, settle, texts
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -166,17 +166,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST_COPIES, gr
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs`, all columns, each as often as the mix takes it."""
-    rows = docs.withColumn("_key", F.struct(*(F.col(c) for c in _key_of(docs))))
+    rows = docs.withColumn("_key", F.struct(*key(), F.col("source").cast("string").alias("source")))
     taken = mix(docs, **options).groupBy(F.struct(*KEY, "source").alias("_key")).agg(F.sum("copies").alias("_copies"))
     taken = settle(taken.filter("_copies > 0"))
     repeat = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
     return rows.dropDuplicates(["_key"]).join(taken, "_key").withColumn("_copy", repeat).select(docs.columns)
-
-
-def _key_of(docs: DataFrame) -> list:
-    doc_id = F.col("doc_id").cast("long")
-    return [
-        F.coalesce(doc_id, F.lit(-1)).alias(KEY[0]),
-        F.xxhash64(doc_id.isNull(), F.coalesce("text", F.lit(""))).alias(KEY[1]),
-        F.col("source").cast("string").alias("source"),
-    ]

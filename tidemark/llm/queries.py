@@ -8,7 +8,18 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, language, line_dedup, mixing, secret_scan, token_files
+from tidemark.llm import (
+    decontaminate,
+    exact_dedup,
+    hmm_scoring,
+    language,
+    line_dedup,
+    mixing,
+    near_join,
+    secret_scan,
+    substring_dedup,
+    token_files,
+)
 from tidemark.llm.common import documents
 
 TOKENIZER_FILES = "/opt/tokenizers"
@@ -57,12 +68,24 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, sf_dir), with_text=False)
 
 
+@_query("op2_hmm_scoring")
+def op2_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hidden-Markov scores of all documents, learned outside of the held-out fold."""
+    return hmm_scoring.scores(documents(spark, sf_dir))
+
+
 @_query("op3_token_files")
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents through directly addressable files."""
     return token_files.tokenised(documents(spark, sf_dir), tokenizer_path())
 
 
+@_query("op4_near_join")
+def op4_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups and links of all documents."""
+    return near_join.near_groups(documents(spark, sf_dir))
+
+
 @_query("op5_secret_scan")
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents by the combined automaton."""
@@ -142,3 +165,27 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of all documents that bring the sources to their weights."""
     mixed = mixing.mix(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query(
+    "op10_substring_dedup",
+    r"""
+    WITH docs AS (
+      SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    spots AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35),
+    grams AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS g FROM spots),
+    repeated AS (SELECT g FROM grams GROUP BY g HAVING count(*) > 1),
+    gone AS (
+      SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS pos FROM grams WHERE g IN (SELECT g FROM repeated)),
+    placed AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM docs),
+    kept AS (
+      SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS t
+      FROM placed ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+      sha256(coalesce(t, '')) AS kept_sha256
+    FROM docs LEFT JOIN kept USING (doc_id)
+    """,
+)
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of all documents removed."""
+    return substring_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept_text")
