@@ -44,7 +44,7 @@ FREQUENT = 1 << 15
 BUCKETS = 1 << 12
 STRETCH = 1024
 PIECE = 1024
-PRIOR = 50.0
+PRIOR = 1.0
 SEED = 11
 
 BLOCKS = (
@@ -275,7 +275,10 @@ def _step(blocks: DataFrame, symbols: Alphabet, model: Model) -> tuple[Model, fl
     head, loglik = head[:-1].reshape(states + 1, states), float(head[-1])
     emitted = np.concatenate([sums[n] for n in sorted(sums)]).reshape(-1, states)
     smooth = lambda x: (x + 1) / (x + 1).sum(-1, keepdims=True)
-    emits = (emitted + PRIOR * _base(symbols)[:, None]) / (emitted.sum(0) + PRIOR)
+    # PRIOR pseudo-counts per symbol, drawn towards the unigram: much in a small corpus, little in a large one.
+    share = emitted.sum(0)
+    prior = PRIOR * len(emitted) * share / share.sum()
+    emits = (emitted + prior * _base(symbols)[:, None]) / (share + prior)
     return Model(smooth(head[0]), smooth(emitted.sum(0)), smooth(head[1:]), emits), loglik
 
 

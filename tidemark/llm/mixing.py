@@ -7,10 +7,10 @@ method: the vector of probabilities moves through the null space of the balancin
 until only as many documents as constraints are undecided.
 
 The flight runs in groups of at most `GROUP` documents of one source, so a source with a third of
-all rows is many tasks. Each group leaves two documents undecided; these meet in the next round,
-in groups again, until one group per source is left. Its two last documents and `LANDING` that
-did not fly are the landing problem: all outcomes are compared and the one nearest to the source's
-token target is taken. Every group orders its rows by
+all rows is many tasks. Each group leaves two documents undecided and `LANDING` that did not fly;
+these meet in the next round, in groups again, until one group per source is left. What is open
+then is the landing problem: all outcomes are compared and the one nearest to the source's token
+target is taken. Every group orders its rows by
 content and seeds its generator by its own number, so reruns and retried tasks decide alike.
 """
 
@@ -97,28 +97,31 @@ def landing(chance: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def settle_last(chance: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """A source's last group: LANDING documents of all sizes wait while the others fly, then all land.
+def fly_group(chance: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Flight of a group in which LANDING documents of all sizes wait on the ground.
 
-    Two documents that the flight leaves open may be the longest of all; with the others the
-    landing can make up for them.
+    Two documents that the flight leaves open may be the longest of all; with those that waited, the
+    next round, and the landing at last, can make up for them.
     """
     open_ = np.flatnonzero((chance > 0) & (chance < 1))
+    if len(open_) <= LANDING + 2:
+        return chance
     ranked = open_[np.argsort(size[open_], kind="stable")]
-    waiting = np.unique(ranked[np.linspace(0, max(0, len(ranked) - 1), LANDING).astype(int)]) if len(ranked) else ranked
+    waiting = np.unique(ranked[np.linspace(0, len(ranked) - 1, LANDING).astype(int)])
     held = chance.copy()
     held[waiting] = 0
     out = flight(held, size, rng)
     out[waiting] = chance[waiting]
-    return landing(out, size)
+    return out
 
 
 def _round(units: DataFrame, number: int, blocks: DataFrame) -> DataFrame:
     def decide(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["order", *KEY, "size"], kind="stable")
         rng = np.random.default_rng([SEED, number, int(rows.src.iloc[0]), int(rows.block.iloc[0])])
-        decide_all = settle_last if rows.blocks.iloc[0] == 1 else flight
-        return rows.assign(p=decide_all(rows.p.to_numpy(), rows["size"].to_numpy(), rng))[columns]
+        size = rows["size"].to_numpy()
+        p = fly_group(rows.p.to_numpy(), size, rng)
+        return rows.assign(p=landing(p, size) if rows.blocks.iloc[0] == 1 else p)[columns]
 
     columns = units.columns
     block = F.pmod(F.xxhash64(F.lit(number), *KEY), F.col("blocks")).alias("block")

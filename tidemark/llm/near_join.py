@@ -306,7 +306,7 @@ def near_labels(
         F.when(known, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("copy_id"),
         F.coalesce("copies", F.lit(1)).alias("n_copies"),
         F.coalesce(F.col("docs") + F.col("copies") - 1, F.lit(0)).alias("n_links"),
-        F.coalesce(F.struct(*KEY) == F.struct(*(F.col(f"class.{k}") for k in KEY)), F.lit(True)).alias("is_first"),
+        (~known | (F.struct(*KEY) == F.struct(*(F.col(f"class.{k}") for k in KEY)))).alias("is_first"),
     )
 
 
