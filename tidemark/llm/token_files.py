@@ -13,8 +13,11 @@ dataset follow from the segments' totals.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,9 @@ from tidemark.llm.common import shared_folder, sliced, texts
 
 CHUNK_BITS = 8
 RANK_BLOCK = 512
-SEGMENT_BYTES = 4 << 20
-CACHED_WORDS = 400_000
+SEGMENT_BYTES = 2 << 20
+CACHED_WORDS = 600_000
+BATCH = 2_000
 END_ID = 1
 
 SEGMENT = (
@@ -85,27 +89,60 @@ class Levels:
 class WordEncoder:
     """The tokenizer over whole texts, asked once for each distinct word.
 
-    Its pre-tokenizer drops white space and no token, normalisation or merge reaches across it, so
-    the ids of a text are those of its words between blanks and line ends, in order. The cache
-    is bounded; what lies beyond starts a new one.
+    Its pre-tokenizer drops white space, and no token, normalisation or merge reaches across it, so
+    the ids of a text are those of its words between blanks and line ends, in order. Nor does
+    one reach from a letter to a full stop or comma behind it, and ASCII letters are lowered
+    first; so a word is asked for as its lowered core and its tail. Many cores go in one call, kept apart
+    by a special token, which splits a text before anything else. The caches are bounded.
     """
 
+    BETWEEN = "<|startoftext|>"
+
     def __init__(self, path: str):
+        # A task has one core; the library would start a thread per core of the machine.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.between = self.tokenizer.token_to_id(self.BETWEEN)
         self._reset()
 
     def _reset(self) -> None:
         self.number: dict[str, int] = {}
+        self.cores: dict[str, tuple[int, ...]] = {}
         self.flat, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    @staticmethod
+    def _parts(word: str) -> tuple[str, str]:
+        core = word.rstrip(".,")
+        if not core or not core[-1].isalpha():
+            core = word
+        return core.lower() if core.isascii() else core, word[len(core) :]
+
+    def _ask(self, words: list[str]) -> None:
+        odd = [w for w in words if "<|" in w]
+        plain = [w for w in words if "<|" not in w] if odd else words
+        for w in odd:
+            self.cores[w] = tuple(self.tokenizer.encode(w, add_special_tokens=False).ids)
+        for i in range(0, len(plain), BATCH):
+            own = plain[i : i + BATCH]
+            found = self.tokenizer.encode_batch_fast([self.BETWEEN.join(own)], add_special_tokens=False)[0].ids
+            ids = np.array(found, np.uint32)
+            cuts = np.flatnonzero(ids == self.between)
+            starts, ends = np.append(0, cuts + 1).tolist(), np.append(cuts, len(ids)).tolist()
+            self.cores.update((w, tuple(found[a:b])) for w, a, b in zip(own, starts, ends))
+
     def _learn(self, words: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
         self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
-        self.flat = np.concatenate([self.flat, *(np.array(x, np.uint32) for x in found)])
-        lengths = np.array([len(x) for x in found], np.int64)
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths)])
+        parts = list(map(self._parts, words))
+        self._ask([c for c in dict.fromkeys(x for both in parts for x in both) if c not in self.cores])
+        flat, lengths, cores = array("I"), [], self.cores
+        for core, tail in parts:
+            ids = cores[core] + cores[tail] if tail else cores[core]
+            flat.extend(ids)
+            lengths.append(len(ids))
+        self.flat = np.concatenate([self.flat, np.frombuffer(flat, np.uint32)])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths, dtype=np.int64)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by END_ID, and the offset behind each text."""
@@ -113,10 +150,10 @@ class WordEncoder:
             self._reset()
         split = [x.replace("\n", " ").split(" ") for x in texts]
         counts = np.array([len(x) for x in split], np.int64)
-        if new := [w for w in dict.fromkeys(w for words in split for w in words) if w not in self.number]:
+        if new := list(set(chain.from_iterable(split)).difference(self.number)):
             self._learn(new)
-        get = self.number.__getitem__
-        numbers = np.fromiter((n for words in split for n in map(get, words)), np.int64, int(counts.sum()))
+        numbers = map(self.number.__getitem__, chain.from_iterable(split))
+        numbers = np.fromiter(numbers, np.int64, int(counts.sum()))
         lengths = np.diff(self.start)[numbers]
         behind = np.cumsum(lengths)
         ids = self.flat[np.repeat(self.start[numbers] - behind + lengths, lengths) + np.arange(int(behind[-1]))]
