@@ -15,8 +15,8 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -30,7 +30,7 @@ from tidemark.llm.common import shared_folder, sliced, texts
 CHUNK_BITS = 8
 RANK_BLOCK = 512
 SEGMENT_BYTES = 2 << 20
-CACHED_WORDS = 600_000
+CACHED_WORDS = 500_000
 BATCH = 2_000
 END_ID = 1
 
@@ -86,31 +86,49 @@ class Levels:
         return values
 
 
+class _Pieces:
+    """Id sequences end to end, with the number of each key's sequence."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.flat, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def add(self, keys: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.number.update(zip(keys, range(len(self.number), len(self.number) + len(keys))))
+        self.flat = np.concatenate([self.flat, flat])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths, dtype=np.int64)])
+
+    def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sequences of these numbers, end to end, and their lengths."""
+        lengths = np.diff(self.start)[numbers]
+        behind = np.cumsum(lengths)
+        total = int(behind[-1]) if len(behind) else 0
+        return self.flat[np.repeat(self.start[numbers] - behind + lengths, lengths) + np.arange(total)], lengths
+
+
 class WordEncoder:
     """The tokenizer over whole texts, asked once for each distinct word.
 
     Its pre-tokenizer drops white space, and no token, normalisation or merge reaches across it, so
     the ids of a text are those of its words between blanks and line ends, in order. Nor does
-    one reach from a letter to a full stop or comma behind it, and ASCII letters are lowered
-    first; so a word is asked for as its lowered core and its tail. Many cores go in one call, kept apart
-    by a special token, which splits a text before anything else. The caches are bounded.
+    one reach from a letter to a full stop or comma behind it; so a word is asked for as a core and
+    a tail. Cores of ASCII letters are lowered here and have nothing left to normalise or split: many
+    of them go in one call to the same model. All others take the whole tokenizer. The caches live
+    as long as the Python worker and are bounded.
     """
 
-    BETWEEN = "<|startoftext|>"
-
     def __init__(self, path: str):
         # A task has one core; the library would start a thread per core of the machine.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.between = self.tokenizer.token_to_id(self.BETWEEN)
+        self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self._reset()
 
     def _reset(self) -> None:
-        self.number: dict[str, int] = {}
-        self.cores: dict[str, tuple[int, ...]] = {}
-        self.flat, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.words, self.cores = _Pieces(), _Pieces()
 
     @staticmethod
     def _parts(word: str) -> tuple[str, str]:
@@ -119,53 +137,52 @@ class WordEncoder:
             core = word
         return core.lower() if core.isascii() else core, word[len(core) :]
 
-    def _ask(self, words: list[str]) -> None:
-        odd = [w for w in words if "<|" in w]
-        plain = [w for w in words if "<|" not in w] if odd else words
-        for w in odd:
-            self.cores[w] = tuple(self.tokenizer.encode(w, add_special_tokens=False).ids)
-        for i in range(0, len(plain), BATCH):
-            own = plain[i : i + BATCH]
-            found = self.tokenizer.encode_batch_fast([self.BETWEEN.join(own)], add_special_tokens=False)[0].ids
-            ids = np.array(found, np.uint32)
-            cuts = np.flatnonzero(ids == self.between)
-            starts, ends = np.append(0, cuts + 1).tolist(), np.append(cuts, len(ids)).tolist()
-            self.cores.update((w, tuple(found[a:b])) for w, a, b in zip(own, starts, ends))
+    def _ask(self, cores: list[str]) -> None:
+        simple = [c for c in cores if c.isascii() and c.isalpha()]
+        for i in range(0, len(simple), BATCH):
+            own = simple[i : i + BATCH]
+            found = self.letters.encode(" ".join(own), add_special_tokens=False)
+            lengths = np.bincount(np.array(found.word_ids, np.int64), minlength=len(own))
+            self.cores.add(own, np.array(found.ids, np.uint32), lengths)
+        rest = [c for c in cores if not (c.isascii() and c.isalpha())]
+        for i in range(0, len(rest), BATCH):
+            own = rest[i : i + BATCH]
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
+            flat = np.array(list(chain.from_iterable(ids)), np.uint32)
+            self.cores.add(own, flat, np.array([len(x) for x in ids], np.int64))
 
     def _learn(self, words: list[str]) -> None:
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
-        parts = list(map(self._parts, words))
-        self._ask([c for c in dict.fromkeys(x for both in parts for x in both) if c not in self.cores])
-        flat, lengths, cores = array("I"), [], self.cores
-        for core, tail in parts:
-            ids = cores[core] + cores[tail] if tail else cores[core]
-            flat.extend(ids)
-            lengths.append(len(ids))
-        self.flat = np.concatenate([self.flat, np.frombuffer(flat, np.uint32)])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths, dtype=np.int64)])
+        parts = list(chain.from_iterable(map(self._parts, words)))
+        self._ask(list(set(parts).difference(self.cores.number)))
+        numbers = np.fromiter(map(self.cores.number.__getitem__, parts), np.int64, len(parts))
+        flat, lengths = self.cores.joined(numbers)
+        self.words.add(words, flat, lengths.reshape(-1, 2).sum(1))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by END_ID, and the offset behind each text."""
-        if len(self.number) > CACHED_WORDS:
+        if len(self.words.number) > CACHED_WORDS:
             self._reset()
         split = [x.replace("\n", " ").split(" ") for x in texts]
         counts = np.array([len(x) for x in split], np.int64)
-        if new := list(set(chain.from_iterable(split)).difference(self.number)):
+        if new := list(set(chain.from_iterable(split)).difference(self.words.number)):
             self._learn(new)
-        numbers = map(self.number.__getitem__, chain.from_iterable(split))
-        numbers = np.fromiter(numbers, np.int64, int(counts.sum()))
-        lengths = np.diff(self.start)[numbers]
-        behind = np.cumsum(lengths)
-        ids = self.flat[np.repeat(self.start[numbers] - behind + lengths, lengths) + np.arange(int(behind[-1]))]
-        ends = behind[np.cumsum(counts) - 1]
+        numbers = map(self.words.number.__getitem__, chain.from_iterable(split))
+        ids, lengths = self.words.joined(np.fromiter(numbers, np.int64, int(counts.sum())))
+        ends = np.cumsum(lengths)[np.cumsum(counts) - 1]
         return np.insert(ids, ends, END_ID).astype(np.uint32), ends + np.arange(1, len(texts) + 1)
 
 
+@cache
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder per Python worker: the tasks that follow know its words already."""
+    return WordEncoder(path)
+
+
 def _segments(tokenizer_path: str, segment_bytes: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, seq = WordEncoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        encoder, part, seq = word_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for piece in sliced(batches, "text", segment_bytes):
             ids, ends = encoder.encode(piece.column("text").to_pylist())
             code = Levels.encode(ids)
