@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, settle, sliced, texts
+from tidemark.llm.common import KEY, held_out, key, settle, sliced, texts
 
 PER_LANGUAGE = 400
+PARTS = 64
 GROUPS = (2, 3, 4)
 BITS = 13
 SCALE = 40.0
@@ -145,10 +146,18 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Fit on labelled documents (text, lang); rows with a null label or text are no examples."""
     spark = docs.sparkSession
     labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col("lang").cast("string").alias("lang")
+        *key(), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text"
     )
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    sample = settle(labelled.withColumn("n", rank).filter(F.col("n") <= per_language).drop("n"))
+    # Ranked by keys alone, in parts of each language first, so that a frequent one is many groups.
+    order = [F.xxhash64("doc_id"), "doc_id", KEY[1]]
+    part = F.pmod(F.xxhash64(*KEY), F.lit(PARTS))
+    ranked = labelled.drop("text").distinct()
+    for group in (["lang", part], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        ranked = ranked.withColumn("n", rank).filter(F.col("n") <= per_language).drop("n")
+    # At most `per_language` keys of each language.
+    chosen = F.broadcast(settle(ranked.select(*KEY, "lang")))
+    sample = settle(labelled.join(chosen, [*KEY, "lang"]).select("doc_id", "lang", "text").distinct())
     languages = sorted(r.lang for r in sample.select("lang").distinct().collect())
     names = machines(languages)
     if not names:
