@@ -166,6 +166,24 @@ def test_record_sorts_struct_payload(spark):
     assert envelope.envelope_to_record(df).first().payload == '{"a":"é","b":1}'
 
 
+@pytest.mark.parametrize(
+    ("payload", "expected"),
+    [
+        ('{"b": {"d": 1, "c": [{"z": null, "y": 2}]}, "a": 0}', '{"a":0,"b":{"c":[{"y":2,"z":null}],"d":1}}'),
+        ("no json", "no json"),
+        (None, None),
+    ],
+)
+def test_record_sorts_all_levels_of_text(spark, payload, expected):
+    df = events(spark, event()).withColumn("payload", F.lit(payload).cast("string"))
+    assert envelope.envelope_to_record(df).first().payload == expected
+
+
+def test_record_sorts_maps(spark):
+    df = events(spark, event()).withColumn("payload", F.create_map(F.lit("b"), F.lit(1), F.lit("a"), F.lit(2)))
+    assert envelope.envelope_to_record(df).first().payload == '{"a":2,"b":1}'
+
+
 def test_built_envelopes_are_valid_and_repeatable(spark):
     def build():
         return envelope.build_envelope(

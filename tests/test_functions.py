@@ -71,7 +71,7 @@ def test_experiment_result(one):
 
 @pytest.mark.parametrize(
     ("value", "expected"),
-    [("12500", 12500), ("-4", 0), ("12.5", 0), ("n/a", 0), (None, 0), ("", 0)],
+    [("12500", 12500), ("-4", 0), ("12.5", 12), ("1.9e1", 19), ("-0.5", 0), ("1e30", 0), ("n/a", 0), (None, 0), ("", 0)],
 )
 def test_nonneg_int(one, value, expected):
     assert one(scoring.nonneg_int(F.col("x")), "x STRING", value) == expected

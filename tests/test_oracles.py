@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tidemark.queries import ORACLES, QUERIES
 
 spec = importlib.util.spec_from_file_location(
     "check_oracles", Path(__file__).resolve().parents[1] / "tools" / "check_oracles.py"
@@ -23,7 +24,7 @@ def duck(folder):
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, folder, duck, name):
     df = entry.queries()[name](spark, folder)
     cursor = duck.execute(entry.oracle_sql()[name])
@@ -33,7 +34,8 @@ def test_query_matches_sql(spark, folder, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):

@@ -98,17 +98,26 @@ def test_identifiers_are_checked(name):
 
 def test_projection_reads(spark, rows, tmp_path):
     spark.range(1500).createOrReplaceTempView("serving_metrics")
-    assert files.read_projection(spark, "metrics").count() == 1000
+    assert files.read_projection(spark, "metrics").count() == 1500
     with pytest.raises(ValueError):
         files.read_projection(spark, "secrets")
     with pytest.raises(ValueError):
         files.read_projection(spark, "metrics", view="a; b")
     df = rows("tenant_id STRING, metric_name STRING, value DOUBLE", ("t", "m", 1.5), ("t", "n", None))
-    for single in (True, False):
-        path = str(tmp_path / f"export-{single}")
-        files.export_projection(df, path, single_document=single)
+    for order in (None, [F.asc("metric_name")]):
+        path = str(tmp_path / f"export-{order is None}")
+        files.export_projection(df, path, page_order=order)
         back = files.read_projection_snapshot(spark, path, df.schema)
         assert sorted(tuple(r) for r in back.collect()) == [("t", "m", 1.5), ("t", "n", None)]
+    page = json.loads(files.projection_document(df, [F.desc("metric_name")], 1).first().value)
+    assert [i["metric_name"] for i in page["items"]] == ["n"]
+    assert page["available"] == 2 and page["has_more"] is True
+    many = spark.range(5000).toDF("id")
+    paths = files.export_projections({"metrics": many, "evidence": many}, str(tmp_path / "all"))
+    assert sorted(paths) == ["evidence", "metrics"]
+    assert files.read_projection_snapshot(spark, paths["metrics"], many.schema).count() == 5000
+    with pytest.raises(ValueError):
+        files.export_projections({"secrets": many}, str(tmp_path / "no"))
     absent = files.read_projection_snapshot(spark, str(tmp_path / "none"), df.schema)
     assert absent.isEmpty() and absent.schema == df.schema
     Path(tmp_path, "list").mkdir()

@@ -71,8 +71,10 @@ def score(value: Column) -> Column:
 
 
 def nonneg_int(value: Column) -> Column:
-    """Integer >= 0; NULL and text that is no integer give 0."""
-    return F.greatest(F.lit(0).cast("bigint"), F.coalesce(value.try_cast("bigint"), F.lit(0)))
+    """Integer >= 0; fractions are cut off, NULL and text that is no number give 0."""
+    cut = value.try_cast("decimal(38,9)").try_cast("bigint")
+    number = F.coalesce(value.try_cast("bigint"), cut, F.lit(0).cast("bigint"))
+    return F.greatest(F.lit(0).cast("bigint"), number)
 
 
 def engagements(likes: Column, comments: Column, shares: Column, saves: Column) -> Column:

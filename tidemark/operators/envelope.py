@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tidemark import schemas
 from tidemark.functions import identity as ids
+from tidemark.functions.text import sorted_json
 
 # Fixed values of the envelope contract, version 1.0.
 SCHEMA_VERSION = "1.0"
@@ -121,14 +122,14 @@ def validate_envelope(events: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def envelope_to_record(events: DataFrame) -> DataFrame:
-    """JSON-safe landing record: UTC ISO text times, payload as key-sorted JSON text."""
-    payload_type = events.schema["payload"].dataType
+    """JSON-safe landing record: UTC ISO text times, payload as JSON text.
+
+    Object keys are in order on every level; text that is no JSON stays as it is.
+    """
     payload = F.col("payload")
-    if isinstance(payload_type, T.StructType):
-        ordered = [payload[name].alias(name) for name in sorted(payload_type.names)]
-        payload = F.to_json(F.struct(*ordered), {"ignoreNullFields": "false"})
-    elif not isinstance(payload_type, T.StringType):
-        payload = F.to_json(payload)
+    if not isinstance(events.schema["payload"].dataType, T.StringType):
+        payload = F.to_json(payload, {"ignoreNullFields": "false"})
+    payload = sorted_json(payload)
     return events.withColumns(
         {
             "occurred_at": ids.iso_text(F.col("occurred_at")),

@@ -277,7 +277,7 @@ _PUBLIC_TEXTS = ("run_id", "source_id", "platform", "runtime")
 
 
 def public_status(runs: DataFrame, as_of) -> DataFrame:
-    """Sanitised latest run per source: no paths, no payload, no tenant data.
+    """Sanitised latest run per tenant's source: no paths, no payload, no tenant data.
 
     Incomplete records are left out; a run that reported healthy but is older than three
     hours reads as stale.
@@ -303,7 +303,9 @@ def public_status(runs: DataFrame, as_of) -> DataFrame:
     for name in ("started_at", "completed_at"):
         complete = complete & F.col(name).isNotNull()
     latest = latest_per_group(
-        runs.filter(complete), ["source_id"], [F.desc("completed_at"), F.desc("run_id")]
+        runs.filter(complete),
+        ["tenant_id", "source_id"],
+        [F.desc("completed_at"), F.desc("run_id")],
     )
     return (
         latest.withColumn("run_age_minutes", age)

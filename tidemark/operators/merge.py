@@ -118,9 +118,11 @@ def merge_upsert(
     if not updates and not insert:
         return target_df
     if not updates:
+        # On keys and spread, as the check is dealt: the source is shuffled once, NULL keys apart.
+        known = _with_spread(target_df.select(*keys), keys)
         fresh = (
             checked_source.alias("_s")
-            .join(target_df.select(*keys), list(keys), "left_anti")
+            .join(known, [*keys, "_spread"], "left_anti")
             .select(*[inserted(c, "_s").alias(c) for c in columns])
         )
         return target_df.unionByName(fresh)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring
-from tidemark.operators.rows import latest_per_group, settled
+from tidemark.operators.rows import latest_per_group
 
 BASELINE_ROWS = 24
 TRAILING_WINDOW = "INTERVAL 24 HOURS"
@@ -204,14 +204,12 @@ def brand_daily(posts: DataFrame) -> DataFrame:
 def executive_kpis(posts: DataFrame) -> DataFrame:
     """Ten measures per tenant over the 24 hours up to the tenant's own newest post.
 
-    The per-tenant cutoffs are settled first, so that the raw posts meet them in a
-    broadcast join and are filtered before any shuffle. The earliest cutoff is one value
-    that reaches the scan, which then skips the older row groups.
+    The per-tenant cutoffs are one row per tenant, which Spark broadcasts while they measure
+    small; the raw posts are then filtered before any shuffle. The earliest cutoff is one
+    value that reaches the scan, which then skips the older row groups.
     """
-    cutoffs = settled(
-        posts.groupBy("tenant_id").agg(
-            (F.max("created_at") - F.expr(TRAILING_WINDOW)).alias("start_at")
-        )
+    cutoffs = posts.groupBy("tenant_id").agg(
+        (F.max("created_at") - F.expr(TRAILING_WINDOW)).alias("start_at")
     )
     earliest = cutoffs.agg(F.min("start_at")).scalar()
     recent = (
@@ -313,11 +311,12 @@ def trending_topics(trends: DataFrame, refreshed_at=None) -> DataFrame:
     rows of one hot place are never sorted together in a single window partition.
     """
     place = ["tenant_id", "source_id", "platform", "woeid"]
-    newest = settled(trends.groupBy(*place).agg(F.max("observed_at").alias("observed_at")))
+    newest = trends.groupBy(*place).agg(F.max("observed_at").alias("observed_at"))
+    newest = newest.toDF(*[f"_{name}" for name in newest.columns])
     stamp = F.current_timestamp() if refreshed_at is None else F.lit(refreshed_at)
-    same = trends["observed_at"] == newest["observed_at"]
+    same = F.col("observed_at") == F.col("_observed_at")
     for name in place:
-        same = same & trends[name].eqNullSafe(newest[name])
+        same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
     return trends.join(newest, same, "left_semi").select(
         *place,
         "location",

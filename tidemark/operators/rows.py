@@ -1,10 +1,9 @@
-"""Row-level helpers shared by the operators: latest row, top rows, size checks."""
+"""Row-level helpers shared by the operators: latest row and top rows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,20 +25,6 @@ def latest_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column]
     return top_per_group(df, keys, order, 1).drop("_rank")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Compute a summary once and keep it, so that joins are planned on its real size.
-
-    Spark broadcasts the kept rows only when they measure below
-    ``spark.sql.autoBroadcastJoinThreshold``; a bigger summary is joined by shuffle with
-    adaptive skew splitting. Lost blocks are recomputed from lineage. Only for summaries
-    (one row per tenant or place), never for raw rows; they stay until the session's
-    cache is cleared.
-    """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    kept.count()
-    return kept
-
-
 def as_timestamp(value) -> Column:
     """Literal or Column as TIMESTAMP; NULL-safe ``as_of`` arguments."""
     return value if isinstance(value, Column) else F.lit(value).cast("timestamp")

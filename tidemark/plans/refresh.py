@@ -12,7 +12,10 @@ from tidemark.streaming import ingest
 
 
 def ingest_landed(
-    w: Warehouse, events: str | None = None, runs: str | None = None, max_files: int | None = None
+    w: Warehouse,
+    events: str | None = None,
+    runs: str | None = None,
+    max_files: int = ingest.FILES_PER_TRIGGER,
 ) -> None:
     """Append everything newly landed to the bronze tables; each file exactly once."""
     if events:

@@ -90,10 +90,18 @@ def validate_envelope(spark, folder):
 @query(
     "envelope_to_record",
     f"""SELECT event_id, {_short_iso('occurred_at')} AS occurred_at,
-    {_short_iso('collected_at')} AS collected_at, payload FROM deliveries_v""",
+    {_short_iso('collected_at')} AS collected_at,
+    '{{"a":[{{"c":1,"d":2}}],"z":{{"b":null,"y":' || replace(payload, ': ', ':') || '}}}}'
+      AS payload FROM deliveries_v""",
 )
 def envelope_to_record(spark, folder):
-    rows = envelope.envelope_to_record(t.deliveries(spark, folder))
+    """Payloads nested below keys that are out of order on every level."""
+    nested = F.concat(
+        F.lit('{"z": {"y": '), F.col("payload"), F.lit(', "b": null}, "a": [{"d": 2, "c": 1}]}')
+    )
+    rows = envelope.envelope_to_record(
+        t.deliveries(spark, folder).withColumn("payload", nested)
+    )
     return rows.select("event_id", "occurred_at", "collected_at", "payload")
 
 
@@ -332,7 +340,7 @@ def connector_operations(spark, folder):
           THEN 'QUOTA_GUARD'
         WHEN {minutes('completed_at', RUNS_AS_OF)} > 180 THEN 'STALE'
         ELSE 'HEALTHY' END AS operational_status
-    FROM runs_v QUALIFY row_number() OVER (PARTITION BY source_id
+    FROM runs_v QUALIFY row_number() OVER (PARTITION BY tenant_id, source_id
       ORDER BY completed_at DESC, run_id DESC) = 1""",
 )
 def public_status(spark, folder):

@@ -19,22 +19,32 @@ _COUNTS = "created_at, views, likes, comments"
 @query(
     "explode_provider_pages",
     """SELECT tenant_id, post_id AS object_id, 'rule-' || (n % 3) AS rule_id,
-      n // 100 AS page_no FROM posts_v""",
+      n // 100 + 7 * later AS page_no, TIMESTAMP '2024-01-31' + to_days(later) AS collected_at
+    FROM posts_v CROSS JOIN (VALUES (0), (1)) AS b(later)""",
 )
 def explode_provider_pages(spark, folder):
-    """Every page is landed twice, as page n and again much later; the first one wins."""
+    """Every page is landed twice in one batch, and the next day in a batch of its own.
+
+    The first page of a batch wins inside of it; both batches are observations.
+    """
     pages = t.x_pages(spark, folder)
     again = pages.withColumn("page_no", F.col("page_no") + 1_000_000)
+    later = pages.withColumns(
+        {
+            "page_no": F.col("page_no") + 7,
+            "collected_at": F.col("collected_at") + F.expr("INTERVAL 1 DAY"),
+        }
+    )
     rows = providers.explode_provider_pages(
-        pages.unionByName(again), "data", providers.X_POST, "id"
+        pages.unionByName(again).unionByName(later), "data", providers.X_POST, "id"
     )
-    return rows.select("tenant_id", "object_id", "rule_id", "page_no")
+    return t.plain(rows.select("tenant_id", "object_id", "rule_id", "page_no", "collected_at"))
 
 
 @query(
     "map_x_posts",
-    f"""SELECT {_HEAD}, author_id, content_text || ' #Daily #Moments' AS content_text,
-      CASE WHEN audio_id IS NOT NULL THEN 'GlowUpChallenge,TryThis' ELSE 'Daily,Moments' END
+    f"""SELECT {_HEAD}, author_id, content_text || ' #Kiln #Letters' AS content_text,
+      CASE WHEN audio_id IS NOT NULL THEN 'GlowUpChallenge,BalconyWeek' ELSE 'Kiln,Letters' END
         AS hashtags,
       {_COUNTS}, shares + 2 AS shares, saves, 'en' AS language FROM posts_v""",
 )
@@ -87,7 +97,7 @@ _TITLE = "content_text || ' #' || hashtags[1]"
       CASE WHEN known THEN likes ELSE 0 END AS likes,
       CASE WHEN known THEN comments ELSE 0 END AS comments,
       0::BIGINT AS shares, 0::BIGINT AS saves, 'en' AS language
-    FROM (SELECT *, geography NOT LIKE 'US%' AS known FROM posts_v)""",
+    FROM (SELECT *, geography NOT LIKE 'PT%' AS known FROM posts_v)""",
 )
 def map_youtube_videos(spark, folder):
     rows = providers.map_youtube_videos(
@@ -99,7 +109,7 @@ def map_youtube_videos(spark, folder):
 @query(
     "attach_video_stats",
     """SELECT tenant_id, post_id AS object_id,
-      CASE WHEN geography NOT LIKE 'US%' THEN CAST(views AS VARCHAR) END AS view_count
+      CASE WHEN geography NOT LIKE 'PT%' THEN CAST(views AS VARCHAR) END AS view_count
     FROM posts_v""",
 )
 def attach_video_stats(spark, folder):
@@ -271,10 +281,19 @@ def watermarks(spark, folder):
     WHERE NOT (rule_id = 'rule-0' AND tenant_id = 't2')""",
 )
 def advance_cursors(spark, folder):
-    """Rule 0 never reaches its last page, so its cursor stays where it was."""
+    """The newest batch of rule 0 ends before its last page, so its cursor stays.
+
+    An older batch with higher page numbers, read to its end, does not speak for it.
+    """
     unread = F.replace(F.col("body"), F.lit('{"data"'), F.lit('{"meta":{"next_token":"n"},"data"'))
     pages = t.x_pages(spark, folder).withColumn(
         "body", F.when(F.col("rule_id") == "rule-0", unread).otherwise(F.col("body"))
     )
-    moved = cursors.advance_cursors(t.cursors(spark), pages, t.AS_OF)
+    older = t.x_pages(spark, folder).withColumns(
+        {
+            "page_no": F.col("page_no") + 1_000_000,
+            "collected_at": F.col("collected_at") - F.expr("INTERVAL 1 DAY"),
+        }
+    )
+    moved = cursors.advance_cursors(t.cursors(spark), pages.unionByName(older), t.AS_OF)
     return t.plain(moved.select("tenant_id", "rule_id", "cursor_at"))

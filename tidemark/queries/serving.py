@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import schemas
 from tidemark.operators import metrics, serving
-from tidemark.operators.envelope import envelope_to_record
+from tidemark.operators.envelope import dead_letter, envelope_to_record
 from tidemark.queries import decisions
 from tidemark.queries import tables as t
 from tidemark.queries.registry import query
@@ -213,20 +216,31 @@ def publish_merge(spark, folder):
 
 @query(
     "export_projection",
-    """SELECT tenant_id, topic, post_count FROM (
-      SELECT tenant_id, topic, sum(post_count)::BIGINT AS post_count FROM topic_hourly_v
-      GROUP BY ALL)""",
+    """SELECT tenant_id, post_id, platform, views FROM posts_v""",
 )
 def export_projection(spark, folder):
-    """A projection exported as one ``{"items": [...]}`` page and read back."""
-    totals = (
-        metrics.topic_hourly(t.silver(spark, folder))
-        .groupBy("tenant_id", "topic")
-        .agg(F.sum("post_count").alias("post_count"))
+    """A projection with a row per post, exported completely and read back."""
+    rows = t.posts(spark, folder).select("tenant_id", "post_id", "platform", "views")
+    paths = files.export_projections({"evidence": rows}, files.new_folder(spark, "projection"))
+    return files.read_projection_snapshot(spark, paths["evidence"], rows.schema)
+
+
+@query(
+    "projection_page",
+    """SELECT tenant_id, post_id, views, (SELECT count(*) FROM posts_v) AS available,
+      (SELECT count(*) FROM posts_v) > 500 AS has_more
+    FROM posts_v ORDER BY views DESC, post_id LIMIT 500""",
+)
+def projection_page(spark, folder):
+    """The first ordered page of the same projection as one document."""
+    rows = t.posts(spark, folder).select("tenant_id", "post_id", "views")
+    order = [F.desc("views"), F.asc("post_id")]
+    page = files.projection_document(rows, order, 500)
+    shape = "items ARRAY<STRUCT<tenant_id: STRING, post_id: STRING, views: LONG>>"
+    parsed = page.select(F.from_json("value", f"{shape}, available LONG, has_more BOOLEAN").alias("d"))
+    return parsed.select(F.explode("d.items").alias("i"), "d.available", "d.has_more").select(
+        "i.*", "available", "has_more"
     )
-    path = files.new_folder(spark, "projection")
-    files.export_projection(totals, path)
-    return files.read_projection_snapshot(spark, path, totals.schema)
 
 
 @query(
@@ -235,7 +249,7 @@ def export_projection(spark, folder):
     FROM brand_daily_v""",
 )
 def read_projection(spark, folder):
-    """Brand days behind a serving view; they stay below the projection's row limit."""
+    """All brand days behind a serving view."""
     brand = metrics.brand_daily(t.silver(spark, folder))
     brand.select("tenant_id", "metric_date", "brand", "mentions").createOrReplaceTempView(
         "serving_metrics"
@@ -259,7 +273,7 @@ def land_ndjson(spark, folder):
 @query(
     "stream_ingest",
     """SELECT event_id, tenant_id, source_id, event_type, occurred_at, collected_at,
-      idempotency_key, payload FROM deliveries_v""",
+      idempotency_key, replace(payload, ': ', ':') AS payload FROM deliveries_v""",
 )
 def stream_ingest(spark, folder):
     """All deliveries landed as JSON lines and drained into bronze; run twice, read once."""
@@ -300,3 +314,84 @@ def stream_runs(spark, folder):
             "search_calls_remaining",
         )
     )
+
+
+@query(
+    "stream_malformed",
+    """SELECT 'missing_event_id,missing_idempotency_key,missing_tenant_id,missing_source_id,'
+      || 'missing_payload,unsupported_contract,disabled_or_unregistered_source' AS rejection_reasons, count(*) AS lines FROM posts_v WHERE n % 10 = 0""",
+)
+def stream_malformed(spark, folder):
+    """Every tenth delivery also lands as a line cut short; all of them reach the quarantine."""
+    landing = files.new_folder(spark, "broken-landing")
+    records = t.deliveries(spark, folder).drop("ingested_at")
+    files.land_ndjson(envelope_to_record(records), landing)
+    broken = t.posts(spark, folder).filter("event_id % 10 = 0")
+    broken.select(F.concat(F.lit('{"event_id": "'), "event_id").alias("value")).write.mode("append").text(landing)
+    bronze = ingest.read_event_stream(
+        spark,
+        landing,
+        files.new_folder(spark, "broken-checkpoint"),
+        path=files.new_folder(spark, "broken-bronze"),
+    )
+    rejected = dead_letter(bronze, t.contracts(spark), t.registry(spark)).filter("event_id IS NULL")
+    return rejected.groupBy("rejection_reasons").agg(F.count("*").alias("lines"))
+
+
+@query(
+    "ensure_columns",
+    """SELECT run_id, status, completed_at, CASE WHEN later THEN search_calls_remaining END
+      AS search_calls_remaining
+    FROM runs_v CROSS JOIN (VALUES (false), (true)) AS b(later)""",
+)
+def ensure_columns(spark, folder):
+    """Run records of an older, narrower table stay beside those written after it grew."""
+    table = _managed(spark, "runs")
+    runs = t.runs(spark, folder)
+    narrow = T.StructType([f for f in schemas.CONNECTOR_RUN.fields if "calls" not in f.name])
+    for declared in (narrow, schemas.CONNECTOR_RUN):
+        files.ensure_columns(spark, table, declared)
+        columns = spark.table(table).columns
+        files.conform(runs, declared).select(*columns).write.insertInto(table)
+    return t.plain(
+        spark.table(table).select("run_id", "status", "completed_at", "search_calls_remaining")
+    )
+
+
+@query(
+    "refresh_table",
+    """SELECT tenant_id, CAST(metric_date AS VARCHAR) AS metric_date, brand, mentions
+    FROM brand_daily_v""",
+)
+def refresh_table(spark, folder):
+    """Brand days that replace an earlier state of their table."""
+    table = _managed(spark, "brand")
+    brand = metrics.brand_daily(t.silver(spark, folder)).select(
+        "tenant_id", "metric_date", "brand", "mentions"
+    )
+    for rows in (brand.filter("mentions > 1"), brand):
+        files.refresh_table(rows, table, "brand days", partition_by=["tenant_id"])
+    return t.plain(spark.table(table).select(*brand.columns))
+
+
+@query(
+    "init_tables",
+    """SELECT tenant_id, platform, post_id, 'kept' AS review_notes FROM posts_v""",
+)
+def init_tables(spark, folder):
+    """Labels written into the declared tables stay when the tables are declared again."""
+    database = _managed(spark, "labels").split(".")[0]
+    labels = t.posts(spark, folder).select("tenant_id", "platform", "post_id")
+    labels = labels.withColumn("review_notes", F.lit("kept"))
+    for _ in range(2):
+        if "silver_human_labels" in " ".join(files.init_tables(spark, database)):
+            conformed = files.conform(labels, schemas.HUMAN_LABELS)
+            conformed.write.insertInto(f"{database}.silver_human_labels")
+    return spark.table(f"{database}.silver_human_labels").select(*labels.columns)
+
+
+def _managed(spark, name: str) -> str:
+    """A table name in a new database of the session's warehouse."""
+    database = f"tidemark_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database}")
+    return f"{database}.{name}"

@@ -78,19 +78,19 @@ def _posts(spark: SparkSession, folder: str) -> DataFrame:
     platform = _pick(e % 3, (0, "youtube"), (1, "reddit"), other="tiktok")
     text = _pick(
         kind,
-        ("error", "Acme battery problem: overheating"),
-        ("signup", "Trying the glow up challenge"),
-        ("purchase", "Acme tips, a useful tutorial"),
-        other="A simple morning routine",
+        ("error", "Acme kettle issue: poor charging dock"),
+        ("signup", "Week two of our balcony glow up"),
+        ("purchase", "Acme setup notes that stay useful"),
+        other="Rain on the harbour before noon",
     )
     hashtags = (
-        F.when(kind == "signup", _strings("GlowUpChallenge", "TryThis"))
-        .when(kind == "purchase", _strings("AcmeTips", "HowTo"))
-        .otherwise(_strings("DailyMoments"))
+        F.when(kind == "signup", _strings("GlowUpChallenge", "BalconyWeek"))
+        .when(kind == "purchase", _strings("KettleNotes", "SlowMornings"))
+        .otherwise(_strings("HarbourWalks"))
     )
     place = _pick(
-        F.col("user_id") % 5, (0, "US-CA"), (1, "US-NY"), (2, "US-TX"), (3, "GB-LND"),
-        other="CA-ON",
+        F.col("user_id") % 5, (0, "PT-11"), (1, "PT-13"), (2, "PT-15"), (3, "NO-46"),
+        other="IE-G",
     )
     return load(spark, folder, "events").select(
         e.cast("string").alias("event_id"),
@@ -103,7 +103,7 @@ def _posts(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(0).cast("bigint").alias("author_followers"),
         text.alias("content_text"),
         hashtags.alias("hashtags"),
-        F.when(kind == "signup", F.lit("audio_1")).alias("audio_id"),
+        F.when(kind == "signup", F.lit("audio_kiln")).alias("audio_id"),
         F.col("ts").alias("created_at"),
         (F.col("ts") + seconds(e % 600)).alias("collected_at"),
         F.floor(F.col("value") * 100).alias("views"),
@@ -451,7 +451,7 @@ def _provider_base(spark: SparkSession, folder: str, source: str) -> DataFrame:
 
 def x_pages(spark: SparkSession, folder: str) -> DataFrame:
     """X search pages; posts of the signup kind carry entity tags, others only text."""
-    text = F.concat("content_text", F.lit(" #Daily #Moments"))
+    text = F.concat("content_text", F.lit(" #Kiln #Letters"))
     item = F.struct(
         F.col("post_id").alias("id"),
         text.alias("text"),
@@ -507,7 +507,7 @@ def youtube_search_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def youtube_statistics_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Statistics of the videos that have a place outside the US (others are unknown)."""
+    """Statistics of the videos that have a place outside of PT (others are unknown)."""
     item = F.struct(
         F.col("post_id").alias("id"),
         F.struct(
@@ -516,7 +516,7 @@ def youtube_statistics_pages(spark: SparkSession, folder: str) -> DataFrame:
             F.col("comments").cast("string").alias("commentCount"),
         ).alias("statistics"),
     )
-    known = _provider_base(spark, folder, "yt-main").filter(~F.col("geography").startswith("US"))
+    known = _provider_base(spark, folder, "yt-main").filter(~F.col("geography").startswith("PT"))
     return _pages(known.withColumn("item", item), F.struct(F.collect_list("item").alias("items")))
 
 
@@ -540,10 +540,12 @@ def instagram_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 def instagram_account_pages(spark: SparkSession) -> DataFrame:
     rows = [
-        (t, "ig-main", f'{{"instagram_business_account":{{"id":"acct-{t}","username":"u-{t}"}}}}')
+        (t, "ig-main", 0, AS_OF, f'{{"instagram_business_account":{{"id":"acct-{t}","username":"u-{t}"}}}}')
         for t in ("t0", "t1", "t2")
     ]
-    schema = T.StructType.fromDDL("tenant_id STRING, source_id STRING, body STRING")
+    schema = T.StructType.fromDDL(
+        "tenant_id STRING, source_id STRING, page_no INT, collected_at TIMESTAMP, body STRING"
+    )
     return inline_values(spark, rows, schema)
 
 

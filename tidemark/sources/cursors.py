@@ -48,11 +48,13 @@ def advance_cursors(
 ) -> DataFrame:
     """Move the cursor of every rule whose last page was read to the batch start.
 
-    A rule whose last landed page still names a next page keeps its cursor, so that the
-    next run reads the gap again. ``guard=False`` always advances.
+    The newest batch of a rule decides, by its last page: while that names a next page,
+    the cursor stays and the next run reads the gap again. ``guard=False`` always advances.
     """
     now = as_timestamp(as_of)
-    read_to_end = F.max_by(next_page_token(F.col("body")).isNull(), "page_no")
+    read_to_end = F.max_by(
+        next_page_token(F.col("body")).isNull(), F.struct("collected_at", "page_no")
+    )
     done = pages.groupBy(*RULE).agg(read_to_end.alias("_complete"))
     if guard:
         done = done.filter("_complete")

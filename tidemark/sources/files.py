@@ -9,7 +9,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,21 +17,22 @@ from tidemark import schemas
 
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 PROJECTIONS = ("opportunities", "evidence", "metrics", "pipeline_status")
-PROJECTION_LIMIT = 1000
+PAGE_SIZE = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors see, as the cluster names it.
 
-    Read from ``spark.checkpoint.dir``; only a session without it (local tests) gets a
-    temporary folder of this machine.
+    Read from ``spark.checkpoint.dir``. Where a local session leaves it unset, it is set here,
+    once, to a new folder; a cluster has to name it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.gettempdir()
+    if not configured:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured.rstrip("/")
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
@@ -162,40 +163,76 @@ def table_row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
 def read_projection(
     spark: SparkSession, name: str, database: str | None = None, view: str | None = None
 ) -> DataFrame:
-    """At most 1000 rows of a serving projection; names must be plain identifiers."""
+    """All rows of a serving projection; names must be plain identifiers."""
     if name not in PROJECTIONS:
         raise ValueError(f"unknown projection: {name!r}")
     parts = [identifier(view or f"serving_{name}")]
     if database:
         parts.insert(0, identifier(database))
-    return spark.table(".".join(parts)).limit(PROJECTION_LIMIT)
+    return spark.table(".".join(parts))
 
 
-def projection_document(projection: DataFrame) -> DataFrame:
-    """One JSON document ``{"items": [...]}`` of at most 1000 projection rows."""
-    page = projection.limit(PROJECTION_LIMIT)
-    document = F.struct(F.collect_list(F.struct(*page.columns)).alias("items"))
-    return page.agg(F.to_json(document, schemas.JSON_TIMES).alias("value"))
+def projection_document(
+    projection: DataFrame, order: Sequence[Column], page_size: int = PAGE_SIZE
+) -> DataFrame:
+    """One JSON document: the first rows by ``order``, and whether rows remain.
 
+    ``{"items": [...], "available": n, "has_more": true}``; ``order`` should end in a row id.
+    Only the page's rows meet in one task.
+    """
+    columns = projection.columns
+    page = projection.orderBy(*order).limit(page_size).select(F.struct(*columns).alias("row"))
+    items = page.agg(F.collect_list("row").alias("items"))
+    available = projection.agg(F.count(F.lit(1))).scalar()
+    document = F.struct(
+        "items", available.alias("available"), (available > page_size).alias("has_more")
+    )
+    return items.select(F.to_json(document, schemas.JSON_TIMES).alias("value"))
 
-def export_projection(projection: DataFrame, path: str, single_document: bool = True) -> None:
-    """Export a projection as one ``{"items": [...]}`` page or as NDJSON of any size."""
-    if single_document:
-        projection_document(projection).write.mode("overwrite").text(path)
-    else:
+
+def export_projection(
+    projection: DataFrame,
+    path: str,
+    page_order: Sequence[Column] | None = None,
+    page_size: int = PAGE_SIZE,
+) -> None:
+    """Export all rows of a projection as NDJSON, each task its own file.
+
+    With ``page_order`` the export is the first page alone, as one document that says
+    whether rows remain.
+    """
+    if page_order is None:
         projection.write.mode("overwrite").options(**schemas.JSON_TIMES).json(path)
+    else:
+        page = projection_document(projection, page_order, page_size)
+        page.write.mode("overwrite").text(path)
+
+
+def export_projections(projections: Mapping[str, DataFrame], folder: str) -> dict[str, str]:
+    """Export every serving projection completely, each to its own folder; their paths."""
+    unknown = set(projections) - set(PROJECTIONS)
+    if unknown:
+        raise ValueError(f"unknown projections: {sorted(unknown)}")
+    paths = {name: f"{folder}/{name}" for name in PROJECTIONS if name in projections}
+    for name, path in paths.items():
+        export_projection(projections[name], path)
+    return paths
 
 
 def read_projection_snapshot(
-    spark: SparkSession, path: str, schema: T.StructType
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False
 ) -> DataFrame:
-    """Rows of an exported projection (array or ``{"items": [...]}``); absent → empty."""
+    """Rows of an exported projection; absent → empty.
+
+    A line is a row, an array of rows or an ``{"items": [...]}`` page. ``multi_line`` reads
+    files that are one such document over several lines.
+    """
     wrapped = T.StructType(
         [T.StructField("items", T.ArrayType(schema)), *schema.fields]
     )
     if not path_exists(spark, path):
         return inline_values(spark, [], schema)
-    documents = spark.read.schema(wrapped).json(path, multiLine=True)
+    documents = spark.read.schema(wrapped).json(path, multiLine=multi_line)
     names = [f.name for f in schema.fields]
     listed = documents.filter(F.col("items").isNotNull()).select(F.inline("items"))
     bare = documents.filter(

@@ -1,7 +1,9 @@
 """Provider JSON pages to canonical post and trend payloads.
 
 Landed pages have (tenant_id, source_id, rule_id, page_no, collected_at, body), one JSON
-response per row. Pages are exploded to raw object texts, so that every mapped row keeps
+response per row. The pages that one collection run of a rule landed share its
+``collected_at``: that is the batch. An object counts once per batch, and every batch is an
+observation of its own. Pages are exploded to raw object texts, so that every mapped row keeps
 its provider object whole in ``source_payload``.
 """
 
@@ -15,11 +17,12 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.functions.identity import is_blank, strip
 from tidemark.functions.scoring import nonneg_int
-from tidemark.functions.text import extract_hashtags
+from tidemark.functions.text import extract_hashtags, sorted_json
 from tidemark.operators.envelope import build_envelope
 from tidemark.operators.rows import latest_per_group
 
 PAGE_KEYS = ("tenant_id", "source_id", "rule_id", "page_no", "collected_at")
+BATCH = ["tenant_id", "source_id", "rule_id", "collected_at"]
 PAYLOAD_FIELDS = tuple(schemas.POST_PAYLOAD.names)
 TREND_FIELDS = tuple(schemas.TREND_PAYLOAD.names)
 POST_EVENT = "social.post.observed"
@@ -59,11 +62,6 @@ INSTAGRAM_MEDIA = """
 """
 
 
-def sorted_json(text: Column) -> Column:
-    """The same JSON with object keys in order; text that is no JSON stays as it is."""
-    return F.coalesce(F.to_json(F.try_parse_json(text)), text)
-
-
 def next_page_token(body: Column) -> Column:
     """Token of the unread next page of any provider; NULL on the last page."""
     paths = ("$.meta.next_token", "$.nextPageToken", "$.paging.cursors.after")
@@ -89,12 +87,12 @@ def _parse_once(rows: DataFrame, object_schema: str) -> DataFrame:
 
 
 def explode_provider_pages(
-    pages: DataFrame, items: str, object_schema: str, object_id: str
+    pages: DataFrame, items: str, object_schema: str, object_id: str, required: str | None = None
 ) -> DataFrame:
-    """One row per provider object, the first occurrence of an id per rule.
+    """One row per provider object and batch: the first occurrence of an id in it.
 
     ``items`` is the page's array field (``data`` or ``items``), ``object_id`` the path of
-    the id inside an object. Adds ``object_id``, ``raw`` and the parsed ``item``. Only the
+    the id inside an object; objects with a blank ``required`` path do not count. Adds ``object_id``, ``raw`` and the parsed ``item``. Only the
     id is read before the shuffle and only ``raw`` travels; the objects that stay are
     parsed behind it.
     """
@@ -104,10 +102,10 @@ def explode_provider_pages(
         .select("*", F.explode(F.array(key)).alias("object_id"))
         .filter(~is_blank(F.col("object_id")))
     )
+    if required:
+        keyed = keyed.filter(~is_blank(F.get_json_object("raw", f"$.{required}")))
     first = latest_per_group(
-        keyed,
-        ["tenant_id", "source_id", "rule_id", "object_id"],
-        [F.asc("page_no"), F.asc("_pos")],
+        keyed, [*BATCH, "object_id"], [F.asc("page_no"), F.asc("_pos"), F.asc("raw")]
     )
     return first.drop("_pos").withColumn("item", F.from_json("raw", object_schema))
 
@@ -229,13 +227,21 @@ def map_x_trends(pages: DataFrame, top_n: int = 20) -> DataFrame:
 
 
 def attach_video_stats(videos: DataFrame, statistics_pages: DataFrame) -> DataFrame:
-    """Exploded search rows with the statistics of their video; unknown ones stay."""
-    statistics = latest_per_group(
-        explode_provider_pages(statistics_pages, "items", YOUTUBE_STATISTICS, "id"),
-        ["tenant_id", "source_id", "object_id"],
-        [F.desc("page_no"), F.desc("rule_id")],
-    ).select("tenant_id", "source_id", "object_id", F.col("item.statistics").alias("statistics"))
-    return videos.join(statistics, ["tenant_id", "source_id", "object_id"], "left")
+    """Exploded search rows with the statistics of their video; unknown ones stay.
+
+    A row takes the statistics that its own batch collected. Without them it takes the
+    newest ones by time, then by page.
+    """
+    video = ["tenant_id", "source_id", "object_id"]
+    found = explode_provider_pages(statistics_pages, "items", YOUTUBE_STATISTICS, "id")
+    found = found.select(*video, "collected_at", "page_no", "rule_id", "item.statistics")
+    order = [F.desc("page_no"), F.desc("rule_id")]
+    own = latest_per_group(found, [*video, "collected_at"], order)
+    newest = latest_per_group(found, video, [F.desc("collected_at"), *order])
+    own = own.select(*video, "collected_at", F.col("statistics").alias("_own"))
+    newest = newest.select(*video, F.col("statistics").alias("_newest"))
+    rows = videos.join(own, [*video, "collected_at"], "left").join(newest, video, "left")
+    return rows.withColumn("statistics", F.coalesce("_own", "_newest")).drop("_own", "_newest")
 
 
 def map_youtube_videos(
@@ -333,30 +339,49 @@ def map_youtube_replies(
 
 
 def linked_accounts(account_pages: DataFrame) -> DataFrame:
-    """Business account behind each configured page; pages without one give no row."""
+    """Business account behind each configured page; pages without one give no row.
+
+    A source with several linked pages takes the newest, then the first page's account.
+    """
     account = F.from_json(
         "body", "instagram_business_account STRUCT<id: STRING, username: STRING>"
     )["instagram_business_account"]
-    return (
-        account_pages.select("tenant_id", "source_id", account.alias("account"))
+    linked = (
+        account_pages.select(
+            "tenant_id", "source_id", "collected_at", "page_no", account.alias("account")
+        )
         .filter(~is_blank(F.col("account.id")))
         .select(
             "tenant_id",
             "source_id",
             F.col("account.id").alias("account_id"),
             F.coalesce("account.username", F.lit("")).alias("username"),
+            "collected_at",
+            "page_no",
         )
-        .dropDuplicates(["tenant_id", "source_id"])
     )
+    order = [F.desc("collected_at"), F.asc("page_no"), F.asc("account_id"), F.asc("username")]
+    chosen = latest_per_group(linked, ["tenant_id", "source_id"], order)
+    return chosen.drop("collected_at", "page_no")
+
+
+def _media(media_pages: DataFrame) -> DataFrame:
+    return explode_provider_pages(media_pages, "data", INSTAGRAM_MEDIA, "id", "timestamp")
+
+
+def unlinked_media(media_pages: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Media of sources without a linked account: what ``map_instagram_media`` cannot map."""
+    rows = _media(media_pages).join(accounts, ["tenant_id", "source_id"], "left_anti")
+    reason = F.lit("missing_linked_account").alias("reason")
+    return rows.select(*PAGE_KEYS, "object_id", "raw", reason)
 
 
 def map_instagram_media(media_pages: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Media pages and their linked accounts to canonical posts with permalink and type."""
-    rows = (
-        explode_provider_pages(media_pages, "data", INSTAGRAM_MEDIA, "id")
-        .filter(~is_blank(F.col("item.timestamp")))
-        .join(accounts, ["tenant_id", "source_id"], "inner")
-    )
+    """Media pages and their linked accounts to canonical posts with permalink and type.
+
+    Media of sources without an account are left to ``unlinked_media``.
+    """
+    rows = _media(media_pages).join(accounts, ["tenant_id", "source_id"], "inner")
     item = F.col("item")
     caption = F.coalesce(item["caption"], F.lit(""))
     # Offsets come without a colon ("+0000"), which ISO parsing does not take.

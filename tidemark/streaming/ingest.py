@@ -15,17 +15,25 @@ from pyspark.sql import types as T
 from tidemark import schemas
 
 
+FILES_PER_TRIGGER = 10_000
+#: Bronze is laid out by day of ingestion, so that a run reads the days it lacks.
+DAY = "ingested_day"
+
+
 def read_json_stream(
     spark: SparkSession,
     path: str,
     schema: T.StructType,
-    max_files_per_trigger: int | None = None,
+    max_files_per_trigger: int = FILES_PER_TRIGGER,
 ) -> DataFrame:
-    """Stream of landed JSON lines with ``ingested_at``."""
-    reader = spark.readStream.schema(schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.json(path).withColumn("ingested_at", F.current_timestamp())
+    """Stream of landed JSON lines with ``ingested_at`` and its UTC day.
+
+    A micro-batch takes at most so many files.
+    """
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.json(path).withColumns(
+        {"ingested_at": F.current_timestamp(), DAY: F.to_date(F.current_timestamp())}
+    )
 
 
 def append_available(
@@ -48,6 +56,7 @@ def append_available(
         stream.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
         .format("parquet")
+        .partitionBy(*[c for c in (DAY,) if c in stream.columns])
         .trigger(**trigger)
     )
     return writer.toTable(table) if table else writer.start(path)
@@ -64,7 +73,7 @@ def read_event_stream(
     *,
     table: str | None = None,
     path: str | None = None,
-    max_files_per_trigger: int | None = None,
+    max_files_per_trigger: int = FILES_PER_TRIGGER,
 ) -> DataFrame:
     """Drain landed event envelopes into bronze; the bronze DataFrame."""
     stream = read_json_stream(spark, landing, schemas.EVENT_ENVELOPE, max_files_per_trigger)
@@ -79,7 +88,7 @@ def read_run_metric_stream(
     *,
     table: str | None = None,
     path: str | None = None,
-    max_files_per_trigger: int | None = None,
+    max_files_per_trigger: int = FILES_PER_TRIGGER,
 ) -> DataFrame:
     """Drain landed connector-run records into bronze; the bronze DataFrame."""
     stream = read_json_stream(spark, landing, schemas.CONNECTOR_RUN, max_files_per_trigger)
