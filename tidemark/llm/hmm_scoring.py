@@ -87,7 +87,7 @@ def corpus_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, out=None) ->
             flat = np.concatenate(ids)
             counts = np.bincount(flat[~np.repeat(held, lengths)], minlength=len(number))
             row = [(part << 32) + seq, piece.column("doc_id").to_pylist(), held.tolist(), lengths.tolist()]
-            row += [zstandard.ZstdCompressor(level=1).compress(flat.tobytes()), list(number), counts.tolist()]
+            row += [_packed(flat), list(number), counts.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
     out = held_out(7, 2) if out is None else out
@@ -95,8 +95,15 @@ def corpus_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, out=None) ->
     return settle(read.mapInArrow(encode, BLOCKS))
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    """Ids as compressed byte planes: all lowest bytes first, the nearly empty high ones last."""
+    planes = np.ascontiguousarray(ids.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
 def _tokens(ids: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(ids), np.int32)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(ids), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
 def word_totals(blocks: DataFrame) -> DataFrame:
@@ -300,7 +307,7 @@ def scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, block_by
 
     def score(block: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         row = block.iloc[0]
-        counts = np.zeros(len(row.words))
+        counts = np.array(row.counts, float)
         counts[known.place.to_numpy()] = known.c.to_numpy()
         lengths, tokens = np.asarray(row.lengths, np.int64), _tokens(row.ids)
         own = symbols.symbols(list(row.words))
@@ -318,9 +325,12 @@ def scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, block_by
             }
         )
 
-    spots = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    known = spots.join(totals.filter("c > 0"), "word").select(F.col("block").alias("at"), "place", "c")
+    # Most words stand in one block alone, which then knows their count itself.
+    spots = blocks.select(
+        F.col("block").alias("at"), F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x")
+    ).select("at", "place", F.col("x.words").alias("word"), F.col("x.counts").alias("own"))
+    known = spots.join(totals, "word").filter("c > own").select("at", "place", "c")
     schema = (
         "doc_id LONG, held_out BOOLEAN, n_tokens LONG, n_known LONG, train_tokens LONG, base_score DOUBLE, score DOUBLE"
     )
-    return blocks.drop("counts").groupBy("block").cogroup(known.groupBy("at")).applyInPandas(score, schema)
+    return blocks.groupBy("block").cogroup(known.groupBy("at")).applyInPandas(score, schema)
