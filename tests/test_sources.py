@@ -125,6 +125,25 @@ def test_projection_reads(spark, rows, tmp_path):
     assert files.read_projection_snapshot(spark, str(tmp_path / "list"), df.schema).count() == 1
 
 
+def test_a_second_writer_fails_and_old_versions_expire(spark, tmp_path):
+    mart = str(tmp_path / "contested")
+    rows = spark.range(3).toDF("id")
+    marts.publish_replace(rows, mart)
+    first = marts.current_version(spark, mart)
+    base = marts.newest_number(spark, mart)
+    marts.publish_merge(spark.range(5).toDF("id"), mart, ["id"])
+    with pytest.raises(RuntimeError, match="another writer"):
+        marts.write_version(rows, mart, "merge", base=base)
+    assert marts.read_mart(spark, mart).count() == 5 and marts.newest_number(spark, mart) == 2
+    assert marts.expire(spark, mart) == [] and Path(first).is_dir()
+    gone = marts.expire(spark, mart, keep_days=0)
+    assert Path(first).name in gone and len(gone) == 2 and not Path(first).exists()
+    assert [p.name for p in Path(mart).glob("v-*")] == [Path(marts.current_version(spark, mart)).name]
+    assert marts.read_mart(spark, mart).count() == 5
+    marts.publish_replace(rows, mart)
+    assert marts.newest_number(spark, mart) == 3 and marts.read_mart(spark, mart).count() == 3
+
+
 def test_mart_versions(spark, tmp_path):
     mart = str(tmp_path / "mart")
     assert marts.current_version(spark, mart) is None

@@ -1,22 +1,27 @@
-"""Versioned Parquet marts: staged write, verification, then one appended pointer.
+"""Versioned Parquet marts: staged write, verification, then one numbered pointer.
 
 A published version is a directory of its own and never changes. ``_versions`` holds one
-small JSON record per published version; readers follow the newest record, so a failed
-or half-written version is never visible and a run may read the mart it replaces.
+small JSON record per published version, named by its number; readers follow the highest
+one, so a failed or half-written version is never visible and a run may read the mart it
+replaces. A writer claims the number after the version it started from. Creating that file
+fails when another writer was faster, so no update is lost. Versions that were superseded, and
+staged folders that were never published, are removed after ``KEEP_DAYS``.
 """
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.merge import merge_upsert, unique_on, update_all
-from tidemark.sources.files import inline_values, path_exists
+from tidemark.sources.files import path_exists
 
 POINTER_SCHEMA = T.StructType(
     [
@@ -27,6 +32,9 @@ POINTER_SCHEMA = T.StructType(
     ]
 )
 
+KEEP_DAYS = 7
+DAY_NS = 86_400 * 10**9
+
 # Published marts, their merge keys (none: replaced) and source tables.
 DATASETS = (
     ("gold_topic_hourly", ("tenant_id", "hour_ts", "topic")),
@@ -45,13 +53,37 @@ DATASETS = (
 )
 
 
+def _file_system(spark: SparkSession, path: str):
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return location, location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _listed(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """Name and time of change in milliseconds of what lies in a folder."""
+    if not path_exists(spark, folder):
+        return []
+    location, system = _file_system(spark, folder)
+    return [(s.getPath().getName(), s.getModificationTime()) for s in system.listStatus(location)]
+
+
+def newest_number(spark: SparkSession, mart: str) -> int:
+    """Number of the newest published version; 0 before the first one."""
+    names = [name for name, _ in _listed(spark, f"{mart}/_versions")]
+    return max((int(n.split(".")[0]) for n in names if n.endswith(".json")), default=0)
+
+
+def _pointer_path(mart: str, number: int) -> str:
+    return f"{mart}/_versions/{number:012d}.json"
+
+
+def _pointer(spark: SparkSession, mart: str, number: int):
+    return spark.read.schema(POINTER_SCHEMA).json(_pointer_path(mart, number)).first()
+
+
 def current_version(spark: SparkSession, mart: str) -> str | None:
     """Directory of the newest published version; None before the first one."""
-    if not path_exists(spark, f"{mart}/_versions"):
-        return None
-    pointers = spark.read.schema(POINTER_SCHEMA).json(f"{mart}/_versions")
-    newest = pointers.orderBy(F.desc("published_ns"), F.desc("version")).limit(1).collect()
-    return f"{mart}/{newest[0].version}" if newest else None
+    number = newest_number(spark, mart)
+    return f"{mart}/{_pointer(spark, mart, number).version}" if number else None
 
 
 def read_mart(spark: SparkSession, mart: str) -> DataFrame:
@@ -62,14 +94,20 @@ def read_mart(spark: SparkSession, mart: str) -> DataFrame:
 
 
 def write_version(
-    df: DataFrame, mart: str, strategy: str, keep_when_empty: bool = True
+    df: DataFrame,
+    mart: str,
+    strategy: str,
+    keep_when_empty: bool = True,
+    base: int | None = None,
 ) -> int:
     """Stage, verify and point to a new version; the number of rows written.
 
     An empty result leaves the current version in place unless ``keep_when_empty`` is
-    off.
+    off. ``base`` is the number of the version that ``df`` was made from; when another one has
+    been published since, nothing is and the call fails.
     """
     spark = df.sparkSession
+    base = newest_number(spark, mart) if base is None else base
     version = f"v-{uuid.uuid4().hex}"
     observed = Observation()
     df.observe(observed, F.count(F.lit(1)).alias("n")).write.parquet(f"{mart}/{version}")
@@ -79,12 +117,62 @@ def write_version(
     staged = spark.read.parquet(f"{mart}/{version}").count()
     if staged != expected:
         raise RuntimeError(f"staged {staged} of {expected} rows at {mart}/{version}")
-    pointer = [(time.time_ns(), version, expected, strategy)]
-    record = inline_values(spark, pointer, POINTER_SCHEMA)
-    record.coalesce(1).write.mode("append").json(f"{mart}/_versions")
+    _point(spark, mart, base + 1, version, expected, strategy)
+    expire(spark, mart)
     return expected
 
 
+def _point(
+    spark: SparkSession, mart: str, number: int, version: str, rows: int, strategy: str
+) -> None:
+    record = {
+        "published_ns": time.time_ns(), "version": version, "row_count": rows, "strategy": strategy
+    }
+    location, system = _file_system(spark, _pointer_path(mart, number))
+    try:
+        stream = system.create(location, False)
+    except Py4JJavaError as error:
+        if not path_exists(spark, _pointer_path(mart, number)):
+            raise
+        raise RuntimeError(f"another writer published version {number} of {mart}") from error
+    try:
+        stream.write(bytearray(json.dumps(record).encode()))
+    finally:
+        stream.close()
+
+
+def expire(spark: SparkSession, mart: str, keep_days: float = KEEP_DAYS) -> list[str]:
+    """Remove versions superseded, and staged folders left over, for ``keep_days``; their names.
+
+    The newest version always stays, and a reader that began with an older one has
+    ``keep_days`` to finish.
+    """
+    limit = time.time_ns() - keep_days * DAY_NS
+    names = sorted(n for n, _ in _listed(spark, f"{mart}/_versions") if n.endswith(".json"))
+    pointers = [(n, _pointer(spark, mart, int(n.split(".")[0]))) for n in names]
+    gone = [
+        (name, old.version)
+        for (name, old), (_, new) in zip(pointers, pointers[1:])
+        if new.published_ns <= limit
+    ]
+    known = {pointer.version for _, pointer in pointers}
+    stray = [
+        n for n, at in _listed(spark, mart)
+        if n.startswith("v-") and n not in known and at * 10**6 <= limit
+    ]
+    for name, version in gone:
+        _remove(spark, f"{mart}/_versions/{name}")
+        _remove(spark, f"{mart}/{version}")
+    for version in stray:
+        _remove(spark, f"{mart}/{version}")
+    return [version for _, version in gone] + stray
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    location, system = _file_system(spark, path)
+    system.delete(location, True)
+
+
 def publish_replace(df: DataFrame, mart: str) -> int:
     """Replace a current-state mart; an empty source keeps the published version.
 
@@ -97,14 +185,14 @@ def publish_replace(df: DataFrame, mart: str) -> int:
 def publish_merge(df: DataFrame, mart: str, keys: Sequence[str]) -> int:
     """Merge facts into a mart by key: update all columns, insert new rows."""
     spark = df.sparkSession
-    current = current_version(spark, mart)
-    if current is None:
-        return write_version(unique_on(df, keys), mart, "merge")
+    base = newest_number(spark, mart)
+    if not base:
+        return write_version(unique_on(df, keys), mart, "merge", base=0)
     if df.isEmpty():
         return 0
-    target = spark.read.parquet(current)
+    target = spark.read.parquet(f"{mart}/{_pointer(spark, mart, base).version}")
     merged = merge_upsert(target, df, keys, when_matched=update_all(target.columns, keys))
-    return write_version(merged, mart, "merge")
+    return write_version(merged, mart, "merge", base=base)
 
 
 def publish(df: DataFrame, mart: str, keys: Sequence[str] = ()) -> int:
