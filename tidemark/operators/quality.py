@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.rows import as_timestamp
 
-# Alert thresholds and acceptance limits.
+# Alert thresholds and acceptance limits; below, the names and texts of the checks.
 ALERT_RULES = {
     "emerging_trend": (">=", 45.0),
     "brand_risk": (">=", 1.0),

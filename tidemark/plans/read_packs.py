@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators import metrics, quality
 
@@ -29,7 +30,16 @@ class Read:
         if tenant_id is not None:
             df = df.filter(F.col("tenant_id") == tenant_id)
         if self.order:
-            df = df.orderBy(*[F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in self.order])
+            named = [c.lstrip("-") for c in self.order]
+            # Equal keys are ordered by the other columns, so that every run reads alike.
+            rest = [
+                f.name
+                for f in df.schema.fields
+                if f.name not in named and not isinstance(f.dataType, (T.MapType, T.VariantType))
+            ]
+            df = df.orderBy(
+                *[F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in self.order], *rest
+            )
         return df.select(*self.columns) if self.columns else df
 
 

@@ -1,4 +1,7 @@
-"""Merges, the decision loop, checks and alerts."""
+"""Merges, the decision loop, checks and alerts.
+
+Fixed values in the SQL below: check names, states and generated texts that the results must match.
+"""
 
 from __future__ import annotations
 

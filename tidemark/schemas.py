@@ -1,4 +1,7 @@
-"""Declared schemas. Nothing in this library infers a schema from data."""
+"""Declared schemas. Nothing in this library infers a schema from data.
+
+Fixed values: names, types and order of the contract's columns.
+"""
 
 from __future__ import annotations
 
@@ -173,7 +176,8 @@ SOURCE_STATUS = _struct(
     "tenant_id STRING, source_id STRING, status STRING, last_success_at TIMESTAMP"
 )
 
-# Tables that are declared up front and never replaced by a refresh.
+# Tables that are declared up front. Refreshes leave control and label tables alone and write
+# new versions of the decision tables that carry every earlier record on.
 DURABLE_TABLES = {
     "control_source_registry": SOURCE_REGISTRY,
     "control_collection_rules": COLLECTION_RULES,
