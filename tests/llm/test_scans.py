@@ -199,7 +199,7 @@ def near_corpus(spark, corpus):
     return corpus.select("doc_id", "text").unionByName(more)
 
 
-@pytest.mark.parametrize("blocks", [(2048, 512), (16, 8)])
+@pytest.mark.parametrize("blocks", [(1536, 512), (16, 8)])
 def test_near_groups_match_brute_force(near_corpus, tuples, monkeypatch, blocks):
     monkeypatch.setattr(near_join, "NODE_BLOCK", blocks[0])
     monkeypatch.setattr(near_join, "GROUP_BLOCK", blocks[1])
