@@ -43,7 +43,7 @@ BLOCK_BYTES = 12 << 20
 SLICE_BYTES = 6 << 20
 ROUNDS = ("runs", "pairs", "pairs", "pairs", "pairs", "pairs")
 LONGEST = 12
-TESTED = 5
+TESTED = 3
 
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 _FAR = np.int64(1 << 40)
