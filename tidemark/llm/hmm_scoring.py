@@ -134,11 +134,20 @@ class Alphabet:
 
 
 def alphabet(totals: DataFrame, frequent: int = FREQUENT, buckets: int = BUCKETS) -> Alphabet:
-    """Chosen by exact counts; what comes to the driver is bounded by the two parameters."""
+    """Chosen by exact counts; what comes to the driver is bounded by the two parameters.
+
+    The frequent words are all those from some count on, as many as fit into `frequent`.
+    """
     spark = totals.sparkSession
     known = totals.filter("c > 0")
     sums = known.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    top = known.filter("word != X''").orderBy(F.desc("c"), "word").limit(frequent - 1).collect()
+    # A histogram of counts on a log scale shows from which count on the words are few enough.
+    scale = F.floor(F.log2("c") * 16)
+    bars = sorted(known.groupBy(scale.alias("b")).count().collect(), key=lambda r: -r.b)
+    ends = np.cumsum([r["count"] for r in bars])
+    edge = next((r.b for r, n in zip(bars[::-1], ends[::-1]) if n <= frequent), None)
+    top = known.filter("word != X''").filter(scale >= edge).collect() if edge is not None else []
+    top.sort(key=lambda r: (-r.c, bytes(r.word)))
     end = known.filter("word = X''").first()
     rows = [(b"", end.c if end else 0), *((bytes(r.word), r.c) for r in top)]
     named = spark.createDataFrame([(bytearray(w),) for w, _ in rows], "word BINARY")
