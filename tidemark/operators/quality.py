@@ -23,6 +23,8 @@ BRAND_ALERT_NEGATIVE_SHARE = 0.25
 BRAND_ALERT_MENTIONS = 10
 STALE_FEED_MINUTES = 30
 CHALLENGE_NAME = "glowupchallenge"
+# Bands from which a signal has an owner.
+OWNERSHIP_BANDS = {"trend": 45.0, "challenge": 50.0, "brand": 0.25}
 
 
 class QualityGateError(RuntimeError):
@@ -384,6 +386,36 @@ def alert_values(
     )
 
 
+def owned_signals(
+    trend_snapshot: DataFrame,
+    challenge_snapshot: DataFrame,
+    brand: DataFrame,
+    bands: Mapping[str, float] = OWNERSHIP_BANDS,
+) -> DataFrame:
+    """Signals in an ownership band: (tenant_id, signal, subject, value).
+
+    A brand day also needs a high-risk mention.
+    """
+
+    def owned(df: DataFrame, signal: str, subject: Column, value: str) -> DataFrame:
+        return df.filter(F.col(value) >= bands[signal]).select(
+            "tenant_id",
+            F.lit(signal).alias("signal"),
+            subject.alias("subject"),
+            F.col(value).cast("double").alias("value"),
+        )
+
+    risky = brand.filter(F.col("high_risk_mentions") > 0)
+    day = F.concat_ws(" ", "brand", F.col("metric_date").cast("string"))
+    return _union(
+        [
+            owned(trend_snapshot, "trend", F.col("topic"), "trend_score"),
+            owned(challenge_snapshot, "challenge", F.col("challenge_name"), "challenge_score"),
+            owned(risky, "brand", day, "negative_share"),
+        ]
+    )
+
+
 def evaluate_alerts(
     values: DataFrame, rules: Mapping[str, tuple[str, float]] = ALERT_RULES
 ) -> DataFrame:

@@ -827,6 +827,28 @@ def alerts(spark, folder):
     return quality.evaluate_alerts(values).drop("comparison")
 
 
+@query(
+    "owned_signals",
+    """SELECT tenant_id, 'trend' AS signal, topic AS subject, round(trend_score, 6) AS value
+      FROM trend_snapshot_v WHERE trend_score >= 20
+    UNION ALL SELECT tenant_id, 'challenge', challenge_name, round(challenge_score, 6)
+      FROM challenge_snapshot_v WHERE challenge_score >= 50
+    UNION ALL SELECT tenant_id, 'brand', brand || ' ' || CAST(metric_date AS VARCHAR),
+        round(negative_share, 6)
+      FROM brand_daily_v WHERE negative_share >= 0.25 AND high_risk_mentions > 0""",
+)
+def owned_signals(spark, folder):
+    """Signals in their ownership bands; trends under a lower band, which the data reach."""
+    silver = t.silver(spark, folder)
+    rows = quality.owned_signals(
+        metrics.trend_snapshot(metrics.trend_hourly(metrics.topic_hourly(silver))),
+        metrics.challenge_snapshot(metrics.challenge_hourly(silver)),
+        metrics.brand_daily(silver),
+        quality.OWNERSHIP_BANDS | {"trend": 20.0},
+    )
+    return rows.withColumn("value", F.round("value", 6))
+
+
 @query(
     "emerging_trend_alert",
     f"""SELECT topic, trend_score, {six('velocity_z', 'acceleration_pct')}, hour_ts
