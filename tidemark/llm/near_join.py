@@ -286,8 +286,9 @@ def near_labels(
     heads = settle(heads.select("v", "root", "size", "copies", *(F.col(f"first.{k}").alias(k) for k in KEY)))
     read = keyed(docs, texts()).drop("doc_id")
     keys = ["root", "lo", "hi"]
+    # Whole texts meet the groups in a shuffle at every size, and hot keys of it can be split.
     found = settle(
-        _dealt(heads.join(read, KEY).drop(*KEY), "root", GROUP_BLOCK).mapInArrow(
+        _dealt(heads.join(read.hint("merge"), KEY).drop(*KEY), "root", GROUP_BLOCK).mapInArrow(
             _verify(keys, threshold), "v LONG, b LONG, sets LONG, docs LONG"
         )
     )
