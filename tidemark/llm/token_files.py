@@ -14,6 +14,7 @@ dataset follow from the segments' totals.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -33,6 +34,8 @@ SEGMENT_BYTES = 2 << 20
 CACHED_WORDS = 500_000
 BATCH = 2_000
 END_ID = 1
+#: Letters that are in normal form and whose case has no exceptions.
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 SEGMENT = (
     "part INT, seq INT, n_tokens LONG, doc_ids ARRAY<LONG>, ends BINARY, "
@@ -112,9 +115,9 @@ class WordEncoder:
     Its pre-tokenizer drops white space, and no token, normalisation or merge reaches across it, so
     the ids of a text are those of its words between blanks and line ends, in order. Nor does
     one reach from a letter to a full stop or comma behind it; so a word is asked for as a core and
-    a tail. Cores of ASCII letters are lowered here and have nothing left to normalise or split: many
-    of them go in one call to the same model. All others take the whole tokenizer. The caches live
-    as long as the Python worker and are bounded.
+    a tail. Cores of Latin-1 letters are lowered here and have nothing left to normalise or split:
+    many of them go in one call to the same model. All others take the whole tokenizer. The caches
+    live as long as the Python worker and are bounded.
     """
 
     def __init__(self, path: str):
@@ -124,7 +127,8 @@ class WordEncoder:
 
         self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.letters.normalizer = None
-        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), as_bytes])
         self._reset()
 
     def _reset(self) -> None:
@@ -135,16 +139,16 @@ class WordEncoder:
         core = word.rstrip(".,")
         if not core or not core[-1].isalpha():
             core = word
-        return core.lower() if core.isascii() else core, word[len(core) :]
+        return core.lower() if core.isascii() or LATIN(core) else core, word[len(core) :]
 
     def _ask(self, cores: list[str]) -> None:
-        simple = [c for c in cores if c.isascii() and c.isalpha()]
+        simple = [c for c in cores if LATIN(c)]
         for i in range(0, len(simple), BATCH):
             own = simple[i : i + BATCH]
             found = self.letters.encode(" ".join(own), add_special_tokens=False)
             lengths = np.bincount(np.array(found.word_ids, np.int64), minlength=len(own))
             self.cores.add(own, np.array(found.ids, np.uint32), lengths)
-        rest = [c for c in cores if not (c.isascii() and c.isalpha())]
+        rest = [c for c in cores if not LATIN(c)]
         for i in range(0, len(rest), BATCH):
             own = rest[i : i + BATCH]
             ids = [x.ids for x in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
