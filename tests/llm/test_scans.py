@@ -310,3 +310,11 @@ def test_words_are_encoded_like_whole_texts():
     ids, ends = token_files.WordEncoder(tokenizer_path()).encode(texts)
     for text, a, b in zip(texts, [0, *ends], ends):
         assert ids[a:b].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_added_tokens_count_in_their_own_case_alone():
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    texts = ["<|ENDOFTEXT|>", "<|EndOfText|>.", "a<|STARTOFTEXT|>b", "x<|endoftext|>Y<|ENDOFTEXT|>", "<|A|> It's-NOT <|startoftext|>"]
+    ids, ends = token_files.WordEncoder(tokenizer_path()).encode(texts)
+    for text, a, b in zip(texts, [0, *ends], ends):
+        assert ids[a:b].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]

@@ -116,8 +116,9 @@ class WordEncoder:
     the ids of a text are those of its words between blanks and line ends, in order. Nor does
     one reach from a letter to a full stop or comma behind it; so a word is asked for as a core and
     a tail. Cores of Latin-1 letters are lowered here and have nothing left to normalise or split:
-    many of them go in one call to the same model. All others take the whole tokenizer. The caches
-    live as long as the Python worker and are bounded.
+    many of them go in one call to the same model. All others take the whole tokenizer: those of
+    ASCII lowered, unless an added token stands in them in any case, since the tokenizer looks for
+    added tokens before it lowers. The caches live as long as the Python worker and are bounded.
     """
 
     def __init__(self, path: str):
@@ -126,6 +127,8 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        added = (x.content for x in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE).search
         self.letters.normalizer = None
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), as_bytes])
@@ -134,12 +137,12 @@ class WordEncoder:
     def _reset(self) -> None:
         self.words, self.cores = _Pieces(), _Pieces()
 
-    @staticmethod
-    def _parts(word: str) -> tuple[str, str]:
+    def _parts(self, word: str) -> tuple[str, str]:
         core = word.rstrip(".,")
         if not core or not core[-1].isalpha():
             core = word
-        return core.lower() if core.isascii() or LATIN(core) else core, word[len(core) :]
+        tail = word[len(core) :]
+        return core.lower() if LATIN(core) or core.isascii() and not self.added(core) else core, tail
 
     def _ask(self, cores: list[str]) -> None:
         simple = [c for c in cores if LATIN(c)]
