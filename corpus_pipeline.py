@@ -14,16 +14,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common, decontaminate, language, mixing, near_join, queries, token_files
 
-#: Texts without a letter are rejected, and those whose language stays a guess.
-LEAST_SCORE = 0.2
-
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is determined; learns from the labels of its own input."""
+    """Keeps documents with letters, however sure their language; learns from the labels of its own input."""
     common.ship(spark)
     named = language.identify(docs, language.train(docs.filter(~common.held_out(5, 0))))
-    known = (F.col("_lang") != language.UNDETERMINED) & (F.col("_score") >= LEAST_SCORE)
-    return named.filter(known).select(docs.columns)
+    return named.filter(F.col("_lang") != language.UNDETERMINED).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

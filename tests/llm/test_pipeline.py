@@ -46,6 +46,15 @@ def test_stages_take_odd_rows_and_empty_tables(spark, corpus, nothing):
     assert decontaminate.removed_documents(corpus, items).count() == corpus.count()
 
 
+def test_documents_with_letters_stay_whatever_the_number_of_families(spark):
+    langs = [f"q{c}" for c in "abcdefghijkl"]
+    rows = [(40 * n + i, f"{x}{x} {x}o", x, "a") for n, x in enumerate(langs) for i in range(40)]
+    rows += [(9000 + i, x, None, "a") for i, x in enumerate(["ωψχ φυτ", "amber brook", "wvu", "12 !?", None])]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING, source STRING")
+    kept = corpus_pipeline.language_stage(spark, docs, SMALL)
+    assert sorted(r.doc_id for r in kept.collect()) == [r[0] for r in rows[:-2]]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
