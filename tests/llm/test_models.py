@@ -108,6 +108,37 @@ def test_symbol_probabilities_sum_to_one(spark, folder):
     assert np.allclose(sums + unseen, 1)
 
 
+def test_every_training_word_is_learned_by_state(spark, folder):
+    """Expected counts by word and state, gathered over blocks, equal those of the corpus as one block."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(200)
+    found = []
+    for size in (1 << 14, 1 << 30):
+        blocks = hmm_scoring.corpus_blocks(docs.coalesce(1), size)
+        totals = hmm_scoring.word_totals(blocks)
+        symbols = hmm_scoring.alphabet(totals, frequent=50, buckets=20)
+        known, model, fits = hmm_scoring.links(blocks), hmm_scoring.first_model(symbols), []
+        for _ in range(3):
+            model, fit = hmm_scoring.word_step(blocks, known, symbols, model)
+            fits.append(fit)
+        assert fits == sorted(fits) and np.allclose(model.moves.sum(1), 1)
+        news, learned, counts = model.counts.toPandas(), {}, {}
+        for _, block in blocks.toPandas().iterrows():
+            own, sums, _ = hmm_scoring._news(block, news[news["at"] == block.block], len(model.start))
+            learned.update(zip(map(bytes, block.words), sums))
+            counts.update(zip(map(bytes, block.words), own))
+        want = {bytes(r.word): r.c for r in totals.collect()}
+        assert counts == want and len(want) > 200
+        assert np.allclose([learned[w].sum() for w in want], list(want.values()), rtol=1e-4, atol=1e-4)
+        seen = [w for w in want if want[w]]
+        emits = hmm_scoring._word_emissions(
+            np.array([learned[w] for w in seen] + [np.zeros(len(model.start))]),
+            np.array([want[w] for w in seen] + [0]), model.share, symbols.tokens, symbols.distinct,
+        )
+        assert np.allclose(emits.sum(0), 1, rtol=1e-4)
+        found.append(np.array([learned[w] for w in sorted(want)]))
+    assert blocks.count() == 1 and np.allclose(*found, rtol=1e-2, atol=1e-2)
+
+
 def test_scores_repeat_and_empty_tables_have_none(corpus, nothing, tuples):
     assert tuples(hmm_scoring.scores(corpus)) == tuples(hmm_scoring.scores(corpus))
     assert hmm_scoring.scores(nothing).count() == 0

@@ -5,16 +5,17 @@ block, the token ids over the block's own vocabulary together with that vocabula
 counts. Words then meet their corpus-wide counts once per block that holds them, not once per
 token, and no task ever holds the vocabulary of the corpus.
 
-*Model.* A state emits a symbol: one of the `frequent` most frequent training words (the end of a text
-is one of them), or one of `buckets` hash classes of all other words; within a class a word has the
-probability (c + 1) / (C + V + 1) of its class, where one share is for words never seen. So the
-parameters are bounded while the vocabulary grows with the corpus, and every text has a proper
-probability.
-
-*Training.* Baum-Welch: every task runs the scaled forward-backward recursion over its blocks and
-sends the expected counts, as fixed-size pieces; these are added by piece and give the next
-parameters. All training documents take part in every round; long ones as stretches of
-`STRETCH` tokens, whose first state follows the overall occupancy of the states.
+*Model.* Every state has a probability of its own for every training word, and one for all words never
+seen: (E + p q) / (S + p) with E the expected count of the word in the state, S that of all words, q the
+word's share (c + 1) / (C + V + 1) and p pseudo-counts. The counts E are a table by word and state
+that grows with the vocabulary; just the start and move matrices and S pass the driver.
+
+*Training.* Baum-Welch: every task runs the scaled forward-backward recursion over its blocks. All training
+documents take part in every round; long ones as stretches of `STRETCH` tokens, whose first state follows
+the overall occupancy of the states. The first rounds part the states by a coarse model of fixed size, in
+which rare words share `BUCKETS` hash classes (`Alphabet`). The rounds that follow gather the counts of
+every word: a block keeps those of words that no other block holds, all others are added by word, in
+`links` that say which places of the blocks' vocabularies are the same word, and return to each block.
 
 *Score.* The scaled forward recursion over the whole text, end included: its exact log10 probability.
 
@@ -40,10 +41,13 @@ from tidemark.llm.common import held_out, settle, sliced, texts
 BLOCK_BYTES = 8 << 20
 STATES = 6
 ROUNDS = 3
+WORD_ROUNDS = 2
 FREQUENT = 1 << 15
 BUCKETS = 1 << 12
 STRETCH = 1024
 PIECE = 1024
+PART_WORDS = 1 << 19
+PARTS = 64
 PRIOR = 1.0
 SEED = 11
 
@@ -306,20 +310,194 @@ def train(blocks: DataFrame, symbols: Alphabet, states: int = STATES, rounds: in
     return model
 
 
-def scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def links(blocks: DataFrame) -> DataFrame:
+    """Words of several blocks: their places in each block's vocabulary, and a number of each word in its part.
+
+    `totals` has the training counts of these words over the corpus. A part holds about `PART_WORDS` places.
+    """
+    places = blocks.agg(F.sum(F.size("words")).alias("n")).first().n or 0
+    parts = max(PARTS, -(-places // PART_WORDS))
+    spots = blocks.select(F.col("block").alias("at"), F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x"))
+    part = F.pmod(F.xxhash64("x.words"), F.lit(parts)).cast("int").alias("part")
+    spots = spots.select(part, "at", "place", F.col("x.words").alias("word"), F.col("x.counts").alias("own"))
+
+    def number(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["at", "place"])
+        codes, _ = pd.factorize(rows.word)
+        totals = np.bincount(codes, rows.own).astype(np.int64)
+        shared = (np.bincount(codes)[codes] > 1) & (totals[codes] > 0)
+        codes, at, place = codes[shared], rows["at"].to_numpy()[shared], rows.place.to_numpy()[shared]
+        heads = np.flatnonzero(np.diff(at, prepend=-1)) if len(at) else []
+        cut = lambda x, kind: [p.astype(kind).tobytes() for p in np.split(x, heads[1:])] if len(at) else []
+        return pd.DataFrame(
+            {
+                "part": np.full(len(heads), rows.part.iloc[0], np.int32),
+                "at": at[heads] if len(at) else np.zeros(0, np.int64),
+                "codes": cut(codes, "<i4"),
+                "places": cut(place, "<i4"),
+                "totals": cut(totals[codes], "<i8"),
+            }
+        )
+
+    schema = "part INT, at LONG, codes BINARY, places BINARY, totals BINARY"
+    return settle(spots.groupBy("part").applyInPandas(number, schema))
+
+
+@dataclass(frozen=True)
+class WordModel:
+    """Start and moves, expected tokens per state, and the counts by word as messages to the blocks."""
+
+    start: np.ndarray
+    occupancy: np.ndarray
+    moves: np.ndarray
+    share: np.ndarray
+    counts: DataFrame  # at, part, places, totals, sums; part -1 has the words of this block alone
+
+
+NEWS = "at LONG, part INT, places BINARY, totals BINARY, sums BINARY"
+
+
+def _news(block: pd.Series, news: pd.DataFrame, states: int) -> tuple:
+    """Corpus-wide counts and expected counts of a block's vocabulary, and the places of each message."""
+    counts, places = np.array(block.counts, float), {}
+    sums, alone = np.zeros((len(counts), states), "<f4"), np.ones(len(counts), bool)
+    at_home = None
+    for row in news.itertuples():
+        if row.part < 0:
+            at_home = row.sums
+            continue
+        own = places[row.part] = np.frombuffer(row.places, "<i4")
+        counts[own], alone[own] = np.frombuffer(row.totals, "<i8"), False
+        if row.sums is not None:
+            sums[own] = np.frombuffer(row.sums, "<f4").reshape(-1, states)
+    places[-1] = np.flatnonzero(alone)
+    if at_home is not None:
+        sums[alone] = np.frombuffer(at_home, "<f4").reshape(-1, states)
+    return counts, sums, places
+
+
+def _word_emissions(sums: np.ndarray, counts: np.ndarray, share: np.ndarray, tokens: int, distinct: int) -> np.ndarray:
+    """Probability of each word in each state; all words never seen are one. PRIOR as in the coarse rounds."""
+    prior = PRIOR * (distinct + 1) * share / share.sum()
+    return (sums + np.outer((counts + 1) / (tokens + distinct + 1), prior)) / (share + prior)
+
+
+def _emissions_of(symbols: Alphabet, model: Model | WordModel):
+    """Function of (block, counts, sums) with the emissions of a block's vocabulary."""
+    if isinstance(model, Model):
+
+        def emissions(block: pd.Series, counts: np.ndarray, sums: np.ndarray) -> np.ndarray:
+            own = symbols.symbols(list(block.words))
+            return model.emits[own] * 10 ** symbols.within(own, counts)[:, None]
+
+        return emissions
+    share, tokens, distinct = model.share, symbols.tokens, symbols.distinct
+    return lambda block, counts, sums: _word_emissions(sums, counts, share, tokens, distinct)
+
+
+def _with_news(blocks: DataFrame, known: DataFrame, model: Model | WordModel, columns: list[str]):
+    """Blocks beside the messages for them. Only the coarse model has to see the words."""
+    if isinstance(model, Model):
+        columns = [*columns, "words"]
+        news = known.select("at", "part", "places", "totals", F.lit(None).cast("binary").alias("sums"))
+    else:
+        news = model.counts
+    return blocks.select("block", *columns).groupBy("block").cogroup(news.groupBy("at"))
+
+
+def word_step(blocks: DataFrame, known: DataFrame, symbols: Alphabet, model: Model | WordModel) -> tuple[WordModel, float]:
+    """One Baum-Welch round that gathers expected counts of every training word in every state."""
+    states, emissions = len(model.start), _emissions_of(symbols, model)
+    start, occupancy, transitions = model.start, model.occupancy, model.moves
+
+    def count(block: pd.DataFrame, news: pd.DataFrame) -> pd.DataFrame:
+        row = block.iloc[0]
+        counts, sums, places = _news(row, news, states)
+        keep, lengths = ~np.array(row.held, bool), np.asarray(row.lengths, np.int64)
+        tokens = _tokens(row.ids)[np.repeat(keep, lengths)]
+        head, loglik, emitted = np.zeros((states + 2, states)), 0.0, np.zeros_like(sums)
+        if len(tokens):
+            own = Model(start, occupancy, transitions, emissions(row, counts, sums))
+            cut, opening = _stretches(tokens, lengths[keep])
+            first, moves, emits, loglik = expected_counts(own, tokens, cut, opening)
+            emitted = emits.astype("<f4")
+            head = np.vstack([first, moves, emitted.sum(0, dtype=float)])
+        parts = sorted(places)
+        return pd.DataFrame(
+            {
+                "at": row.block,
+                "part": [-2, *parts],
+                "sums": [np.append(head.ravel(), loglik).tobytes(), *(emitted[places[p]].tobytes() for p in parts)],
+            }
+        )
+
+    found = _with_news(blocks, known, model, ["held", "lengths", "ids", "counts"])
+    found = settle(found.applyInPandas(count, "at LONG, part INT, sums BINARY"))
+
+    def add_heads(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("at")  # a fixed order, so reruns add up to the same bits
+        total = sum(np.frombuffer(x, float) for x in rows.sums)
+        return pd.DataFrame({"g": rows.g[:1], "sums": [total.tobytes()]})
+
+    heads = found.filter("part = -2").select(F.pmod("at", F.lit(PARTS)).alias("g"), "at", "sums")
+    heads = heads.groupBy("g").applyInPandas(add_heads, "g LONG, sums BINARY").collect()  # of fixed size
+    head = sum(np.frombuffer(bytes(r.sums), float) for r in sorted(heads, key=lambda r: r.g))
+    loglik, head = float(head[-1]), head[:-1].reshape(-1, states)
+
+    def add_words(place: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+        place, sums = place.sort_values("at"), dict(zip(sums["at"], sums.sums))
+        codes = [np.frombuffer(x, "<i4") for x in place.codes]
+        total = np.zeros((max((int(c.max()) for c in codes if len(c)), default=-1) + 1, states))
+        for at, own in zip(place["at"], codes):
+            total[own] += np.frombuffer(sums[at], "<f4").reshape(-1, states)  # a word stands once in a block
+        total = total.astype("<f4")
+        return pd.DataFrame(
+            {
+                "at": place["at"],
+                "part": place.part,
+                "places": place.places,
+                "totals": place.totals,
+                "sums": [total[own].tobytes() for own in codes],
+            }
+        )
+
+    back = known.groupBy("part").cogroup(found.filter("part >= 0").groupBy("part")).applyInPandas(add_words, NEWS)
+    none = F.lit(None).cast("binary")
+    home = found.filter("part = -1").select("at", "part", none.alias("places"), none.alias("totals"), "sums")
+    smooth = lambda x: (x + 1) / (x + 1).sum(-1, keepdims=True)
+    share = head[-1]
+    return WordModel(smooth(head[0]), smooth(share), smooth(head[1:-1]), share, back.union(home)), loglik
+
+
+def scores(
+    docs: DataFrame,
+    states: int = STATES,
+    rounds: int = ROUNDS,
+    block_bytes: int = BLOCK_BYTES,
+    word_rounds: int = WORD_ROUNDS,
+) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     blocks = corpus_blocks(docs, block_bytes)
-    totals = word_totals(blocks)
-    symbols = alphabet(totals)
+    symbols = alphabet(word_totals(blocks))
+    known = links(blocks)
     model = train(blocks, symbols, states, rounds)
-    base_size = symbols.tokens + symbols.distinct + 1
+    if symbols.tokens:
+        for _ in range(word_rounds):
+            model, _ = word_step(blocks, known, symbols, model)
+    return scored(blocks, known, symbols, model)
+
+
+def scored(blocks: DataFrame, known: DataFrame, symbols: Alphabet, model: Model | WordModel) -> DataFrame:
+    """The rows of `scores` under a model."""
+    states = len(model.start)
+    base_size, emissions = symbols.tokens + symbols.distinct + 1, _emissions_of(symbols, model)
+    train_tokens, start, occupancy, moves = symbols.tokens, model.start, model.occupancy, model.moves
 
-    def score(block: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    def score(block: pd.DataFrame, news: pd.DataFrame) -> pd.DataFrame:
         row = block.iloc[0]
-        counts = np.array(row.counts, float)
-        counts[known.place.to_numpy()] = known.c.to_numpy()
+        counts, expected, _ = _news(row, news, states)
         lengths, tokens = np.asarray(row.lengths, np.int64), _tokens(row.ids)
-        own = symbols.symbols(list(row.words))
+        own = Model(start, occupancy, moves, emissions(row, counts, expected))
         starts = np.cumsum(lengths) - lengths
         sums = lambda per_word: np.add.reduceat(per_word[tokens], starts)
         return pd.DataFrame(
@@ -328,18 +506,14 @@ def scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, block_by
                 "held_out": np.asarray(row.held, bool),
                 "n_tokens": lengths,
                 "n_known": sums((counts > 0).astype(np.int64)),
-                "train_tokens": symbols.tokens,
+                "train_tokens": train_tokens,
                 "base_score": sums(np.log10((counts + 1) / base_size)),
-                "score": log10_probability(model, own[tokens], lengths) + sums(symbols.within(own, counts)),
+                "score": log10_probability(own, tokens, lengths),
             }
         )
 
-    # Most words stand in one block alone, which then knows their count itself.
-    spots = blocks.select(
-        F.col("block").alias("at"), F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x")
-    ).select("at", "place", F.col("x.words").alias("word"), F.col("x.counts").alias("own"))
-    known = spots.join(totals, "word").filter("c > own").select("at", "place", "c")
     schema = (
         "doc_id LONG, held_out BOOLEAN, n_tokens LONG, n_known LONG, train_tokens LONG, base_score DOUBLE, score DOUBLE"
     )
-    return blocks.groupBy("block").cogroup(known.groupBy("at")).applyInPandas(score, schema)
+    columns = ["doc_ids", "held", "lengths", "ids", "counts"]
+    return _with_news(blocks, known, model, columns).applyInPandas(score, schema)
