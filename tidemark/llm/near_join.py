@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: MinHash LSH in bands, then exact verification.
 
 Documents are sets of `SHINGLE`-word shingles; two are linked when their Jaccard similarity is at
 least `threshold`. Words are runs of ASCII digits, ASCII letters (in lower case) and all characters beyond
@@ -6,9 +6,9 @@ ASCII. A text of fewer words has one shingle of all its words; a text without wo
 linked to nothing and is a group of its own.
 
 1. *Copies.* Documents with the same shingle set become one set; only sets go on.
-2. *Forest.* Each tree sorts the sets by a prefix of `depth` MinHash values. From full depth the prefix is
-   shortened until a pair at the threshold meets in some tree with the target recall. Sets that
-   share a prefix meet in a trie node.
+2. *Bands.* Each of `trees` bands names a set by its first `prefix` of `depth` MinHash values. One prefix
+   holds for all: the longest with which a pair at the threshold meets in some band with the target
+   recall. Sets that share a band's prefix meet in a node. The values behind it serve the screen alone.
 3. *Screen.* Within a node, signatures are compared. Pairs whose estimate is far below the threshold
    (`MARGIN`) fall; of the others only a star per connected part is kept. Their connected
    components are the candidate groups: any pair that met and passed is inside of one.
