@@ -139,6 +139,12 @@ def test_every_training_word_is_learned_by_state(spark, folder):
     assert blocks.count() == 1 and np.allclose(*found, rtol=1e-2, atol=1e-2)
 
 
+def test_training_goes_on_until_the_gain_is_small():
+    fits = [-100.0, -99.9, -90.0, -80.0, -79.0, -78.9, -70.0]
+    rounds = lambda n: hmm_scoring._until_settled(lambda i: (i + 1, fits[i]), 0, hmm_scoring.ROUNDS, n)
+    assert rounds(None) == 6 and rounds(1) == 1 and rounds(4) == 4
+
+
 def test_scores_repeat_and_empty_tables_have_none(corpus, nothing, tuples):
     assert tuples(hmm_scoring.scores(corpus)) == tuples(hmm_scoring.scores(corpus))
     assert hmm_scoring.scores(nothing).count() == 0

@@ -16,6 +16,7 @@ the overall occupancy of the states. The first rounds part the states by a coars
 which rare words share `BUCKETS` hash classes (`Alphabet`). The rounds that follow gather the counts of
 every word: a block keeps those of words that no other block holds, all others are added by word, in
 `links` that say which places of the blocks' vocabularies are the same word, and return to each block.
+Both kinds of rounds go on until one gains less than `TOLERANCE` of the log likelihood.
 
 *Score.* The scaled forward recursion over the whole text, end included: its exact log10 probability.
 
@@ -25,8 +26,9 @@ are scored each. Without training tokens, all words are unknown.
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,8 +42,10 @@ from tidemark.llm.common import held_out, settle, sliced, texts
 
 BLOCK_BYTES = 8 << 20
 STATES = 6
+#: Least rounds; more follow until one gains less than TOLERANCE of the log likelihood.
 ROUNDS = 3
 WORD_ROUNDS = 2
+TOLERANCE = 0.005
 FREQUENT = 1 << 15
 BUCKETS = 1 << 12
 STRETCH = 1024
@@ -302,14 +306,25 @@ def _step(blocks: DataFrame, symbols: Alphabet, model: Model) -> tuple[Model, fl
     return Model(smooth(head[0]), smooth(emitted.sum(0)), smooth(head[1:]), emits), loglik
 
 
-def train(blocks: DataFrame, symbols: Alphabet, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    model = first_model(symbols, states)
-    if symbols.tokens:
-        for _ in range(rounds):
-            model, _ = _step(blocks, symbols, model)
+def _until_settled(step: Callable, model, least: int, rounds: int | None):
+    """Rounds as many as asked for; without a number `least` at least, then until the gain is below TOLERANCE."""
+    done, last = 0, -math.inf
+    while rounds is None or done < rounds:
+        model, fit = step(model)
+        done += 1
+        if rounds is None and done >= least and fit - last < TOLERANCE * abs(fit):
+            break
+        last = fit
     return model
 
 
+def train(blocks: DataFrame, symbols: Alphabet, states: int = STATES, rounds: int | None = None) -> Model:
+    model = first_model(symbols, states)
+    if not symbols.tokens:
+        return model
+    return _until_settled(lambda m: _step(blocks, symbols, m), model, ROUNDS, rounds)
+
+
 def links(blocks: DataFrame) -> DataFrame:
     """Words of several blocks: their places in each block's vocabulary, and a number of each word in its part.
 
@@ -472,9 +487,9 @@ def word_step(blocks: DataFrame, known: DataFrame, symbols: Alphabet, model: Mod
 def scores(
     docs: DataFrame,
     states: int = STATES,
-    rounds: int = ROUNDS,
+    rounds: int | None = None,
     block_bytes: int = BLOCK_BYTES,
-    word_rounds: int = WORD_ROUNDS,
+    word_rounds: int | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     blocks = corpus_blocks(docs, block_bytes)
@@ -482,8 +497,7 @@ def scores(
     known = links(blocks)
     model = train(blocks, symbols, states, rounds)
     if symbols.tokens:
-        for _ in range(word_rounds):
-            model, _ = word_step(blocks, known, symbols, model)
+        model = _until_settled(lambda m: word_step(blocks, known, symbols, m), model, WORD_ROUNDS, word_rounds)
     return scored(blocks, known, symbols, model)
 
 
