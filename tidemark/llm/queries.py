@@ -11,16 +11,19 @@ from pyspark.sql import functions as F
 from tidemark.llm import (
     decontaminate,
     exact_dedup,
+    fill_middle,
     hmm_scoring,
     language,
     line_dedup,
+    manifest,
     mixing,
     near_join,
     secret_scan,
+    sharding,
     substring_dedup,
     token_files,
 )
-from tidemark.llm.common import documents
+from tidemark.llm.common import documents, shared_folder
 
 TOKENIZER_FILES = "/opt/tokenizers"
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -189,3 +192,117 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated passages of all documents removed."""
     return substring_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept_text")
+
+
+@_query("op11_sharding")
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of all documents in random order, read back from their files."""
+    docs, folder = documents(spark, sf_dir), shared_folder(spark)
+    sharding.write_shards(docs, folder)
+    return sharding.digest(sharding.read_shards(spark, folder, docs.schema))
+
+
+@_query(
+    "op12_fill_middle",
+    r"""
+    WITH units AS (
+      SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+        sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+    draws AS (
+      SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+        CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM units),
+    cuts AS (
+      SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+             WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM draws),
+    parts AS (
+      SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m,
+        array_to_string(u[b + 1:n], '') AS s FROM cuts)
+    SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+      CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+      CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+      sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                       WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+      sha256(t) AS restored_sha256
+    FROM parts
+    """,
+)
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle outputs of all documents, and the texts rebuilt from them."""
+    return fill_middle.transformed(documents(spark, sf_dir))
+
+
+def _merkle_levels(name: str, leaves: str, group: str) -> str:
+    """Recursive SQL: the nodes of every level over `leaves(group, pos, digest, n)`."""
+    return f"""
+    {name}({group}, level, pos, digest, n) AS (
+      SELECT {group}, 0, pos, digest, n FROM {leaves}
+      UNION ALL
+      SELECT {group}, level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)),
+        CAST(ceil(any_value(n) / 3.0) AS BIGINT)
+      FROM {name} WHERE n > 1 GROUP BY {group}, level, pos // 3)"""
+
+
+def _merkle_siblings(name: str, start: str, nodes: str, key: str, group: str) -> str:
+    """Per leaf and level below the top: digests left and right of its ancestor in their run."""
+    return f"""
+    {name} AS (
+      SELECT s.{key}, a.level,
+        coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+        coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+      FROM {start} s JOIN {nodes} a ON a.{group} IS NOT DISTINCT FROM s.{group} AND a.n > 1
+          AND a.pos = s.pos // CAST(pow(3, a.level) AS BIGINT)
+        JOIN {nodes} b ON b.{group} IS NOT DISTINCT FROM a.{group} AND b.level = a.level AND b.pos // 3 = a.pos // 3
+      GROUP BY s.{key}, a.level)"""
+
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+
+#: crc32 bit by bit over the bytes of doc_id's decimal text.
+_CRC = (
+    "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), "
+    "lambda x: CAST(ord(x) AS BIGINT))), lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), "
+    "lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))))"
+)
+
+_MERKLE_SQL = f"""
+    WITH RECURSIVE rows_ AS (
+      SELECT doc_id, source, {_LEAF.replace("{text}", "text")} AS leaf,
+        {_LEAF.replace("{text}", "changed")} AS claimed
+      FROM (SELECT *, CASE WHEN even THEN replace(text, chr(10), '') ELSE text END AS changed
+            FROM (SELECT *, {_CRC} % 2 = 0 AS even FROM documents))),
+    leaves AS (
+      SELECT *, leaf AS digest, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+        count(*) OVER (PARTITION BY source) AS n FROM rows_),
+    {_merkle_levels("nodes", "leaves", "source")},
+    tops AS (
+      SELECT source, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n, 0 AS g
+      FROM nodes WHERE n = 1),
+    {_merkle_levels("crowns", "tops", "g")},
+    {_merkle_siblings("below", "leaves", "nodes", "doc_id", "source")},
+    {_merkle_siblings("above", "tops", "crowns", "source", "g")},
+    steps AS (
+      SELECT doc_id, level, l, r FROM below
+      UNION ALL
+      SELECT d.doc_id, 1000 + a.level, a.l, a.r FROM leaves d JOIN above a ON a.source IS NOT DISTINCT FROM d.source),
+    way AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY level) AS spot, l, r FROM steps),
+    proof AS (SELECT doc_id, sha256(string_agg(l || r, '' ORDER BY spot)) AS proof_sha256, max(spot) AS last FROM way GROUP BY doc_id),
+    fold(doc_id, spot, d) AS (
+      SELECT doc_id, CAST(0 AS BIGINT), claimed FROM leaves
+      UNION ALL
+      SELECT f.doc_id, w.spot, sha256(w.l || f.d || w.r) FROM fold f JOIN way w ON w.doc_id = f.doc_id AND w.spot = f.spot + 1)
+    SELECT doc_id, leaf, tops.digest AS subroot, c.digest AS root,
+      coalesce(proof_sha256, sha256('')) AS proof_sha256, fold.d AS folded_root, fold.d = c.digest AS verified
+    FROM leaves d JOIN tops ON tops.source IS NOT DISTINCT FROM d.source
+      JOIN (SELECT digest FROM crowns WHERE n = 1) c ON true
+      LEFT JOIN proof USING (doc_id) JOIN fold USING (doc_id)
+    WHERE fold.spot = coalesce(proof.last, 0)
+    """
+
+
+@_query("op13_manifest", _MERKLE_SQL)
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inclusion proofs of all documents, checked against rows that lost their line ends."""
+    docs = documents(spark, sf_dir)
+    return manifest.digest(manifest.proofs(docs, manifest.without_line_ends()))
