@@ -5,7 +5,10 @@ from tidemark.llm import common
 
 WORDS = "amber brook cedar delta ember fjord grove heath islet jetty knoll lagoon mesa nook oasis".split()
 #: Columns of the caller that clash with names the operators use themselves.
-CLASHING = ("_k1", "_k2", "_key", "w", "h", "block", "n", "size", "row", "name", "v", "root", "kept", "source_size")
+CLASHING = (
+    "_k1", "_k2", "_k3", "_key", "w", "h", "block", "n", "size", "row", "name", "v", "root", "kept", "source_size",
+    "_lang", "_score", "_text", "_hits", "_copy", "_copies", "copies", "copy", "doc", "hits", "items", "slot", "shard",
+)
 
 
 def prose(seed: int, count: int) -> str:

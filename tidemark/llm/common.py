@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: ASCII white space as the contracts name it, for Java and RE2 expressions alike.
 BLANK = r"\x20\x09-\x0D"
@@ -73,6 +74,33 @@ def keyed(docs: DataFrame, *columns: str | Column) -> DataFrame:
     return docs.select(*key(), F.col("doc_id").cast("long").alias("doc_id"), *columns)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Key and the caller's whole row as one struct `row`, so that no name of the caller's can clash."""
+    return docs.select(*key(), F.struct("*").alias("row"))
+
+
+def besides_text(docs: DataFrame) -> Column:
+    """Order of packed rows that share a key: by all their columns but the text, which is equal."""
+    others = [F.col("row")[c].alias(c) for c in docs.columns if c != "text"]
+    return F.to_json(F.struct(*others))
+
+
+def occurrences(rows: DataFrame, repeated: DataFrame, keys: list[str]) -> DataFrame:
+    """(row, keys, copy): the number of each row of a settled table among the rows of its keys.
+
+    `row` comes from `monotonically_increasing_id` and names the task that wrote the row, so rows are
+    counted by keys and writing task first, and no task sees all copies of a key. Only rows whose keys are
+    in `repeated` are numbered. Keys have no nulls.
+    """
+    held = rows.select("row", *keys).join(repeated, keys, "left_semi").withColumn("part", F.shiftright("row", 33))
+    counts = held.groupBy(*keys, "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(*keys, "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    inside = Window.partitionBy(*keys, "part").orderBy("row")
+    copies = held.withColumn("at", F.row_number().over(inside) - 1).join(bases, [*keys, "part"])
+    return settle(copies.select("row", *keys, (F.col("base") + F.col("at")).alias("copy")))
+
+
 def texts() -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col("text"), F.lit("")).alias("text")
