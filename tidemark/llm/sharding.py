@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import KEY, key, settle
+from tidemark.llm.common import KEY, key, occurrences, settle
 
 SHARDS = 8
 SEED = 20_240_731
-#: Text bytes of a bucket; a task holds one bucket. The buckets' number, and so the order, follows from it.
-BUCKET_BYTES = 64 << 20
+#: Text bytes of a bucket. A task holds one bucket, about six times as rows, array and written copies: this
+#: suits 1 GB of heap a core; with 16 GB, give 256 MB. The buckets' number, and so the order, follows from it.
+BUCKET_BYTES = 16 << 20
 #: Buckets whose offsets are added up in one group.
 OFFSET_GROUP = 1 << 12
 
@@ -39,22 +40,6 @@ def size() -> Column:
     return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
 
 
-def _copies(rows: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(row, key, copy): the number of each row of a settled table among the rows of its key.
-
-    `row` names the task that wrote a row, so rows are counted by key and writing task first, and no
-    task sees all copies of a key.
-    """
-    part = F.shiftright("row", 33)
-    held = rows.select("row", *KEY).join(repeated, KEY, "left_semi").withColumn("part", part)
-    counts = held.groupBy(*KEY, "part").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy(*KEY).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(*KEY, "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy(*KEY, "part").orderBy("row")
-    copies = held.withColumn("at", F.row_number().over(inside) - 1).join(bases, [*KEY, "part"])
-    return settle(copies.select("row", *KEY, (F.col("base") + F.col("at")).alias("copy")))
-
-
 def _offsets(counts: DataFrame) -> DataFrame:
     """(bucket, base): rows in all earlier buckets, added up in groups and then over the groups."""
     grouped = counts.withColumn("group", F.floor(F.col("bucket") / OFFSET_GROUP))
@@ -83,7 +68,7 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byt
         rows = rows.withColumn("copy", first)
     else:
         rows = settle(rows.withColumn("row", F.monotonically_increasing_id()))
-        copies = _copies(rows, settle(repeated))
+        copies = occurrences(rows, settle(repeated), KEY)
         counted = counted.unionByName(copies.select(bucket(F.col("copy"))))
         rows = rows.join(copies.drop(*KEY), "row", "left").withColumn("copy", F.coalesce("copy", first))
     offsets = settle(_offsets(counted.groupBy("bucket").agg(F.count("*").alias("n"))))
