@@ -34,8 +34,7 @@ def stored(docs, **options):
     return sharding.read_shards(docs.sparkSession, folder, docs.schema)
 
 
-@pytest.mark.parametrize("bucket_bytes", [1 << 10, 20_000, 1 << 30])
-@pytest.mark.parametrize("shards", [1, 8, 100])
+@pytest.mark.parametrize(("bucket_bytes", "shards"), [(1 << 10, 8), (20_000, 100), (1 << 30, 1)])
 def test_shards_hold_every_row_once_and_are_even(corpus, plain, bucket_bytes, shards):
     rows = sharding.digest(stored(corpus, shards=shards, bucket_bytes=bucket_bytes)).collect()
     raw = [(d, (t or "").encode()) for d, t in plain]
@@ -76,10 +75,10 @@ def test_repeated_rows_scatter_like_others(spark):
 def test_every_place_is_as_likely(spark):
     docs = spark.range(64).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     seen = Counter()
-    for seed in range(40):
+    for seed in range(12):
         rows = sharding.digest(sharding.shuffled(docs, 4, seed, 64)).collect()
         seen.update(r.shard for r in rows if r.doc_id < 16)
-    assert sum(seen.values()) == 640 and all(100 < seen[s] < 220 for s in range(4))
+    assert sum(seen.values()) == 192 and all(20 < seen[s] < 80 for s in range(4))
 
 
 def test_shards_of_an_empty_table(nothing):
@@ -118,21 +117,21 @@ def middle_truth(doc_id, text):
 MARKED = ["a <P> b", "<S", "x<M>", "<", "P>", "<<P", "S>S>", "<P", "\x00\x7f", "🙂é" * 9, "z" * 300, "a" * 64 + "é" + "b" * 70]
 
 
-@pytest.mark.parametrize("frame", [3, 64, fill_middle.FRAME_BYTES])
+@pytest.mark.parametrize("frame", [3, 64])
 def test_outputs_match_brute_force(spark, corpus, plain, tuples, monkeypatch, frame):
     monkeypatch.setattr(fill_middle, "FRAME_BYTES", frame)
     small = [(d, t) for d, t in plain if len(t or "") < 5000 or frame > 60]
     rows = [(d, t) for d, t in small if d is not None] + [(500 + i, t) for i, t in enumerate(MARKED * 3)]
     docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").withColumns({c: F.lit("x") for c in CLASHING})
-    store, outputs = common.shared_folder(spark), common.shared_folder(spark)
+    store = common.shared_folder(spark)
     fill_middle.write_frames(docs.repartition(3), store)
-    fill_middle.write_outputs(spark, store, outputs)
+    outputs = common.settle(fill_middle.outputs(spark, store))
     truth = [middle_truth(d, t) for d, t in rows]
     assert {t[2] for t, _ in truth} == {"plain", "psm", "spm"}
-    assert tuples(fill_middle.digests(spark, outputs)) == sorted((t for t, _ in truth), key=repr)
-    texts = tuples(fill_middle.read_outputs(spark, outputs), "doc_id", "text")
+    assert tuples(fill_middle.digests(outputs)) == sorted((t for t, _ in truth), key=repr)
+    texts = tuples(fill_middle.texts_of(outputs), "doc_id", "text")
     assert texts == sorted(((t[0], out) for t, out in truth), key=repr)
-    assert tuples(fill_middle.read_outputs(spark, outputs, restore=True), "doc_id", "text") == sorted(
+    assert tuples(fill_middle.texts_of(outputs, restore=True), "doc_id", "text") == sorted(
         ((d, t or "") for d, t in rows), key=repr
     )
 
@@ -213,7 +212,7 @@ def with_lengths(corpus):
     return corpus.withColumn("n_chars", F.length("text").cast("long"))
 
 
-@pytest.mark.parametrize("band", [1, 2, 6])
+@pytest.mark.parametrize("band", [2, 6])
 def test_proofs_match_brute_force(spark, corpus, tuples, monkeypatch, band):
     monkeypatch.setattr(manifest, "BAND", band)
     monkeypatch.setattr(manifest, "WIDTH", 3**band)

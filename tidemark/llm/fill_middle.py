@@ -1,12 +1,13 @@
 """Fill-in-the-middle transformation over seekable compressed frames.
 
-A text is stored as independent zstandard frames of `FRAME_BYTES` bytes each. A directory holds, before
-each frame and behind the last, how many bytes, units and characters have started. Units are
+A text is stored as independent zstandard frames of `FRAME_BYTES` bytes each. A directory holds, up to the
+end of each frame, how many bytes, units and characters have started. Units are
 `[A-Za-z]+|[^A-Za-z]`.
 
 * *Selection* finds the frame in which the wanted unit starts by its directory and decompresses that
   frame alone, so a cut costs one frame however long the text is.
-* *Transformation* streams spans of frames in the order of the output, which is stored as frames too.
+* *Transformation* streams spans of frames in the order of the output, which becomes frames of the same kind,
+  to be stored or read on.
 * *Digests* stream the output's frames once; the text is rebuilt from output and form by seeking the
   markers and streaming the spans between them in the order of the text.
 
@@ -132,7 +133,12 @@ class Frames:
         raise ValueError("the output lacks a marker")
 
     def columns(self) -> dict:
-        return {"offsets": self.offsets, "units": self.units, "chars": self.chars, "frames": self.frames}
+        """As stored: each count at the frames' ends; it starts from 0."""
+        return {"offsets": self.offsets[1:], "units": self.units[1:], "chars": self.chars[1:], "frames": self.frames}
+
+    @classmethod
+    def stored(cls, row: dict, read) -> Frames:
+        return cls(*([0, *row[c]] for c in _LISTS), row["frames"], read)
 
 
 def draws(doc_id: int | None) -> tuple[int, int, int, int]:
@@ -155,7 +161,7 @@ def write_frames(docs: DataFrame, folder: str) -> None:
             yield pa.RecordBatch.from_pylist(rows, schema=_STORE)
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), texts())
-    read.mapInArrow(pack, STORE).write.option("compression", "none").parquet(folder)
+    read.mapInArrow(pack, STORE).write.parquet(folder)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -178,7 +184,7 @@ def _gathered(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatc
 
 
 def _transformed(row: dict, write, read) -> dict:
-    text = Frames(*(row[c] for c in _FRAMES), tool=read)
+    text = Frames.stored(row, read)
     n = text.n
     h1, h2, h3, h4 = draws(row["doc_id"])
     if not n or row["marked"] or h3 % 100 >= PLAIN_FROM:
@@ -200,15 +206,14 @@ def _transformed(row: dict, write, read) -> dict:
     return {"doc_id": row["doc_id"], "n": n, "form": form, **counts, **made.columns()}
 
 
-def write_outputs(spark: SparkSession, store: str, folder: str) -> None:
-    """Transform all stored texts; the outputs are frames again, with the form of each."""
+def outputs(spark: SparkSession, store: str) -> DataFrame:
+    """All stored texts transformed; the outputs are frames again, with the form of each."""
 
     def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         write, read = zstandard.ZstdCompressor(LEVEL), zstandard.ZstdDecompressor()
         yield from _gathered((_transformed(r, write, read) for r in _rows(batches)), _OUTPUT)
 
-    stored = spark.read.schema(STORE).parquet(store)
-    stored.mapInArrow(transform, OUTPUT).write.option("compression", "none").parquet(folder)
+    return spark.read.schema(STORE).parquet(store).mapInArrow(transform, OUTPUT)
 
 
 def spans_in_order(output: Frames, form: str) -> list[tuple[int, int]]:
@@ -228,22 +233,22 @@ def spans_in_order(output: Frames, form: str) -> list[tuple[int, int]]:
     return [prefix, (middle + len(MIDDLE), end), suffix]
 
 
-def read_outputs(spark: SparkSession, folder: str, restore: bool = False) -> DataFrame:
+def texts_of(made: DataFrame, restore: bool = False) -> DataFrame:
     """(doc_id, form, text) of all outputs, or of the texts rebuilt from them."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = zstandard.ZstdDecompressor()
         for row in _rows(batches):
-            output = Frames(*(row[c] for c in _FRAMES), tool=read)
+            output = Frames.stored(row, read)
             spans = spans_in_order(output, row["form"]) if restore else [(0, output.offsets[-1])]
             text = b"".join(bytes(p) for span in spans for p in output.stream(*span)).decode()
             yield pa.RecordBatch.from_pylist([{"doc_id": row["doc_id"], "form": row["form"], "text": text}], schema=schema)
 
     schema = pa.schema({"doc_id": pa.int64(), "form": pa.string(), "text": pa.string()})
-    return spark.read.schema(OUTPUT).parquet(folder).mapInArrow(unpack, "doc_id LONG, form STRING, text STRING")
+    return made.mapInArrow(unpack, "doc_id LONG, form STRING, text STRING")
 
 
-def digests(spark: SparkSession, folder: str) -> DataFrame:
+def digests(made: DataFrame) -> DataFrame:
     """Columns of the registered query; digests stream the frames and never hold a text."""
 
     def hashed(output: Frames, spans: list[tuple[int, int]]) -> str:
@@ -258,7 +263,7 @@ def digests(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             out = []
             for row in _rows([batch]):
-                output = Frames(*(row[c] for c in _FRAMES), tool=read)
+                output = Frames.stored(row, read)
                 kept = {c: row[c] for c in ("doc_id", "n", "form", "prefix_chars", "middle_chars")}
                 kept["output_sha256"] = hashed(output, [(0, output.offsets[-1])])
                 kept["restored_sha256"] = hashed(output, spans_in_order(output, row["form"]))
@@ -268,14 +273,11 @@ def digests(spark: SparkSession, folder: str) -> DataFrame:
     result = pa.schema([f for f in _OUTPUT if f.name not in _FRAMES])
     result = result.append(pa.field("output_sha256", pa.string())).append(pa.field("restored_sha256", pa.string()))
     names = "doc_id LONG, n LONG, form STRING, prefix_chars LONG, middle_chars LONG"
-    stored = spark.read.schema(OUTPUT).parquet(folder)
-    return stored.mapInArrow(digest, f"{names}, output_sha256 STRING, restored_sha256 STRING")
+    return made.mapInArrow(digest, f"{names}, output_sha256 STRING, restored_sha256 STRING")
 
 
 def transformed(docs: DataFrame) -> DataFrame:
-    """Store, transform and read back all documents in new shared folders; columns of the query."""
-    spark = docs.sparkSession
-    store, outputs = shared_folder(spark), shared_folder(spark)
+    """Store all documents in a new shared folder and transform them; columns of the query."""
+    store = shared_folder(docs.sparkSession)
     write_frames(docs, store)
-    write_outputs(spark, store, outputs)
-    return digests(spark, outputs)
+    return digests(outputs(docs.sparkSession, store))
