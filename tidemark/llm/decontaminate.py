@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import KEY, key, keyed, settle, texts
+from tidemark.llm.common import KEY, keyed, packed, settle, texts
 
 WINDOW = 10
 BROADCAST_ROWS = 1 << 19
@@ -140,13 +140,14 @@ def removed_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def _apply(docs: DataFrame, benchmark: DataFrame, window: int, spans: bool) -> DataFrame:
     found = contamination(docs, benchmark, window).filter(F.size("hits") > 0)
-    found = settle(found.select(F.struct(*KEY).alias("_key"), F.col("hits").alias("_hits")).dropDuplicates(["_key"]))
-    rows = docs.withColumn("_key", F.struct(*key()))
+    found = settle(found.select(*KEY, "hits").dropDuplicates(KEY))
+    rows = packed(docs)
     if not spans:
-        return rows.join(found, "_key", "left_anti").select(docs.columns)
-    kept = F.filter(words(F.col("text")), lambda w, i: ~F.array_contains(F.col("_hits"), i))
-    text = F.when(F.col("_hits").isNull(), F.col("text")).otherwise(F.array_join(kept, " "))
-    return rows.join(found, "_key", "left").withColumn("text", text).select(docs.columns)
+        return rows.join(found, KEY, "left_anti").select("row.*")
+    own = F.col("row")["text"]
+    kept = F.filter(words(own), lambda w, i: ~F.array_contains(F.col("hits"), i))
+    text = F.when(F.col("hits").isNull(), own).otherwise(F.array_join(kept, " "))
+    return rows.join(found, KEY, "left").select(F.col("row").withField("text", text).alias("row")).select("row.*")
 
 
 def digest(found: DataFrame) -> DataFrame:

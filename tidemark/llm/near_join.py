@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import KEY, key, keyed, settle, sliced, texts
+from tidemark.llm.common import KEY, besides_text, keyed, packed, settle, sliced, texts
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -319,7 +319,10 @@ def near_groups(docs: DataFrame, **options) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs`, all columns: of every class its first document; repeated rows leave one."""
-    stay = settle(near_labels(docs, **options).filter("is_first").select(F.struct(*KEY).alias("_key")).distinct())
-    rows = docs.withColumn("_key", F.struct(*key())).join(stay, "_key", "left_semi")
-    return rows.dropDuplicates(["_key"]).select(docs.columns)
+    """The rows of `docs`, all columns: of every class its first document.
+
+    Of rows that repeat its doc_id and text, the first by their other columns stays.
+    """
+    stay = settle(near_labels(docs, **options).filter("is_first").select(*KEY).distinct())
+    rows = packed(docs).join(stay, KEY, "left_semi")
+    return rows.groupBy(*KEY).agg(F.min_by("row", besides_text(docs)).alias("row")).select("row.*")
