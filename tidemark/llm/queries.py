@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +25,6 @@ from tidemark.llm import (
 )
 from tidemark.llm.common import documents, shared_folder
 
-TOKENIZER_FILES = "/opt/tokenizers"
 WORD_TOKENIZER = "word_bpe_49k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,9 +41,9 @@ def _query(name: str, sql: str | None = None):
     return register
 
 
-def tokenizer_path(folder: str = TOKENIZER_FILES) -> str:
-    """Place of the word tokenizer; the executors find it there too."""
-    return str(Path(folder) / WORD_TOKENIZER)
+def tokenizer_path(name: str = WORD_TOKENIZER) -> str:
+    """Place of a public tokenizer's file; the executors find it there too."""
+    return str(public_tokenizers.path(name))
 
 
 @_query(

@@ -114,8 +114,8 @@ class WordEncoder:
 
     Its pre-tokenizer drops white space, and no token, normalisation or merge reaches across it, so
     the ids of a text are those of its words between blanks and line ends, in order. Nor does
-    one reach from a letter to a full stop or comma behind it; so a word is asked for as a core and
-    a tail. Cores of Latin-1 letters are lowered here and have nothing left to normalise or split:
+    one reach from a Latin-1 letter to a full stop or comma behind it (other letters may lower to a letter
+    and a mark, which joins the stop); so a word is asked for as a core and a tail. Cores of Latin-1 letters are lowered here and have nothing left to normalise or split:
     many of them go in one call to the same model. All others take the whole tokenizer: those of
     ASCII lowered, unless an added token stands in them in any case, since the tokenizer looks for
     added tokens before it lowers. The caches live as long as the Python worker and are bounded.
@@ -139,7 +139,7 @@ class WordEncoder:
 
     def _parts(self, word: str) -> tuple[str, str]:
         core = word.rstrip(".,")
-        if not core or not core[-1].isalpha():
+        if not core or not LATIN(core[-1]):
             core = word
         tail = word[len(core) :]
         return core.lower() if LATIN(core) or core.isascii() and not self.added(core) else core, tail
