@@ -35,9 +35,26 @@ SLICE_BYTES = 4 << 20
 
 # Families of ISO 639-1 codes. A language that is not named is a family of its own.
 FAMILIES = {
-    "germanic": ("af", "da", "de", "en", "is", "lb", "nb", "nl", "nn", "no", "sv"),
-    "romance": ("ca", "es", "fr", "gl", "it", "oc", "pt", "ro"),
-    "slavic": ("be", "bg", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"),
+    "austroasiatic": ("km", "vi"),
+    "baltic": ("lt", "lv"),
+    "bantu": ("ki", "ln", "lg", "nd", "ny", "rn", "rw", "sn", "ss", "st", "sw", "tn", "ts", "ve", "xh", "zu"),
+    "celtic": ("br", "cy", "ga", "gd", "gv", "kw"),
+    "constructed": ("eo", "ia", "ie", "io", "vo"),
+    "cushitic": ("om", "so"),
+    "dravidian": ("kn", "ml", "ta", "te"),
+    "east-asian": ("ja", "ko", "zh"),
+    "germanic": ("af", "da", "de", "en", "fo", "fy", "is", "lb", "nb", "nl", "nn", "no", "sv", "yi"),
+    "indo-aryan": ("as", "bn", "dv", "gu", "hi", "mr", "ne", "or", "pa", "pi", "sa", "sd", "si", "ur"),
+    "iranian": ("fa", "ku", "os", "ps", "tg"),
+    "kra-dai": ("lo", "th", "za"),
+    "malayo-polynesian": ("fj", "id", "jv", "mg", "mi", "ms", "sm", "su", "tl", "to", "ty"),
+    "romance": ("an", "ca", "co", "es", "fr", "gl", "it", "la", "oc", "pt", "rm", "ro", "sc", "wa"),
+    "semitic": ("am", "ar", "he", "mt", "ti"),
+    "slavic": ("be", "bg", "bs", "cs", "cu", "hr", "mk", "pl", "ru", "sh", "sk", "sl", "sr", "uk"),
+    "tibeto-burman": ("bo", "dz", "my"),
+    "turkic": ("az", "ba", "cv", "kk", "ky", "tk", "tr", "tt", "ug", "uz"),
+    "uralic": ("et", "fi", "hu", "se"),
+    "west-african": ("ak", "bm", "ee", "ff", "ha", "ig", "tw", "wo", "yo"),
 }
 
 LETTERS = np.full(256, 32, np.uint8)
@@ -46,7 +63,9 @@ LETTERS[128:] = np.arange(128, 256)
 
 
 def family_of(language: str) -> str:
-    return next((f for f, members in FAMILIES.items() if language in members), f"only-{language}")
+    """Family of a label; a regional one such as `pt-BR` belongs to its language's."""
+    base = language.replace("_", "-").split("-")[0].lower()
+    return next((f for f, members in FAMILIES.items() if base in members), f"only-{base}")
 
 
 def _hashed(data: np.ndarray) -> list[np.ndarray]:
@@ -109,29 +128,36 @@ class LanguageModel:
         if not known or not self.languages:
             return labels, scores
         data, bounds = _joined([texts[i] for i in known])
-        hashed = _hashed(data)
-        margins = np.zeros((len(self.names), len(known)))
-        for m in range(len(self.names)):
-            own = self.weights[m]
-            sums = sum(own[h] for h in hashed)
-            margins[m] = np.add.reduceat(sums, bounds[:-1]) * SCALE / np.diff(bounds) + self.bias[m]
-        chance = dict(zip(self.names, 1 / (1 + np.exp(-STEEPNESS * np.clip(margins, -60, 60)))))
+        hashed, sizes = _hashed(data), np.diff(bounds)
+
+        def chances(names: list[tuple[str, ...]], own: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
+            """Chance of each machine's first side, for texts of these features."""
+            starts, out = np.cumsum(lengths) - lengths, np.ones((len(names), len(lengths)))
+            for n, m in enumerate(map(self.names.index, names)):
+                sums = sum(self.weights[m][h] for h in own)[: lengths.sum()]
+                margins = np.add.reduceat(sums, starts) * SCALE / lengths + self.bias[m]
+                out[n] = 1 / (1 + np.exp(-STEEPNESS * np.clip(margins, -60, 60)))
+            return out
+
         families = sorted({family_of(x) for x in self.languages})
-        sure = np.array([chance.get((f,), np.ones(len(known))) for f in families])
+        sure = chances([(f,) for f in families] if len(families) > 1 else [], hashed, sizes)
+        sure = sure if len(families) > 1 else np.ones((1, len(known)))
         best = sure.argmax(0)
-        share = sure.max(0) / np.maximum(sure.sum(0), 1e-12) if len(families) > 1 else np.ones(len(known))
-        for n, family in enumerate(families):
-            members = [x for x in self.languages if family_of(x) == family]
-            votes = {x: np.zeros(len(known)) for x in members}
-            for a, b in combinations(members, 2):
-                votes[a] += chance[(a, b)]
-                votes[b] += 1 - chance[(a, b)]
-            stacked = np.array([votes[x] for x in members]) / max(1, len(members) - 1)
-            winner = stacked.argmax(0)
-            level = stacked.max(0) if len(members) > 1 else np.ones(len(known))
-            for j in np.flatnonzero(best == n):
-                labels[known[j]] = members[winner[j]]
-                scores[known[j]] = float(min(1.0, max(0.0, share[j] * level[j])))
+        share = sure.max(0) / np.maximum(sure.sum(0), 1e-12)
+        for n in np.unique(best):
+            # Only texts of the family meet its pairs.
+            rows, members = np.flatnonzero(best == n), [x for x in self.languages if family_of(x) == families[n]]
+            mine = np.repeat(best == n, sizes)
+            pairs = list(combinations(members, 2))
+            votes = dict.fromkeys(members, 0.0)
+            own = [h[: len(mine)][mine] for h in hashed] if pairs else []
+            for (a, b), chance in zip(pairs, chances(pairs, own, sizes[rows])):
+                votes[a] = votes[a] + chance
+                votes[b] = votes[b] + 1 - chance
+            stacked = np.array([votes[x] + np.zeros(len(rows)) for x in members]) / max(1, len(members) - 1)
+            winner, level = stacked.argmax(0), stacked.max(0) if pairs else np.ones(len(rows))
+            for j, w, sure_of in zip(rows, winner, share[rows] * level):
+                labels[known[j]], scores[known[j]] = members[w], float(min(1.0, max(0.0, sure_of)))
         return labels, scores
 
 
@@ -185,20 +211,19 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of `docs`, all columns, with `_lang` and `_score`. Text alone decides.
+    """Every row of `docs` as a struct `row`, with `_lang` and `_score`. Text alone decides.
 
     Null texts and texts without a letter are `und` with score 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in sliced(batches, "_text", SLICE_BYTES):
-            labels, scores = model.predict(piece.column("_text").to_pylist())
-            kept = [piece.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(labels), pa.array(scores)], names=[*names, "_lang", "_score"])
+        for piece in sliced(batches, "text", SLICE_BYTES):
+            labels, scores = model.predict(piece.column("text").to_pylist())
+            columns = [piece.column("row"), pa.array(labels, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "_lang", "_score"])
 
-    names = docs.columns
-    read = docs.withColumn("_text", texts())
-    return read.mapInArrow(run, docs.select("*", F.lit("").alias("_lang"), F.lit(0.0).alias("_score")).schema)
+    read = docs.select(F.struct("*").alias("row"), texts())
+    return read.mapInArrow(run, read.select("row", F.lit("").alias("_lang"), F.lit(0.0).alias("_score")).schema)
 
 
 def predictions(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -206,7 +231,7 @@ def predictions(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     out = held_out(5, 0)
     model = train(docs.filter(~out), per_language)
     named = identify(docs.select("doc_id", "text"), model).select(
-        F.col("doc_id").cast("long").alias("doc_id"), "_lang", "_score"
+        F.col("row")["doc_id"].cast("long").alias("doc_id"), "_lang", "_score"
     )
     return named.select(
         "doc_id", out.alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score")
