@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -255,6 +256,21 @@ def test_targets_share_by_weight_and_stop_at_the_cap():
     assert mixing.targets({}) == {} and mixing.targets({None: 7}) == {None: 7.0}
 
 
+def test_the_plan_of_sources_equals_the_targets(spark, nothing):
+    rng = np.random.default_rng(4)
+    totals = {f"s{i:03d}": int(n) for i, n in enumerate(rng.integers(0, 10 ** rng.integers(1, 6, 200)))}
+    totals |= {None: 777, "é": 5, "Z": 100_000, "": 40}
+    counted = spark.createDataFrame([(s, n) for s, n in totals.items()], "source STRING, size LONG")
+    rows = mixing.source_plan(counted).collect()
+    want = mixing.targets(totals)
+    assert {r.name: r.source_size for r in rows} == totals
+    assert all(np.isclose(r.target, want[r.name], rtol=1e-12) for r in rows)
+    order = [r.name for r in sorted(rows, key=lambda r: r.src)]
+    assert order == sorted(totals, key=lambda s: (s is None, s or "")) and sum(r.target for r in rows) > 0
+    assert all(0 <= r.p < 1 and r.whole + r.p <= 3 for r in rows)
+    assert mixing.source_plan(counted.filter("size < 0")).count() == 0
+
+
 def test_flight_keeps_both_totals_up_to_two_documents():
     rng = np.random.default_rng(2)
     size = rng.integers(1, 1000, 500).astype(float)
@@ -312,6 +328,23 @@ def test_words_are_encoded_like_whole_texts():
         assert ids[a:b].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_words_of_letters_with_special_cases():
+    """All characters that lower or compose to several, before, between and behind letters and stops."""
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    odd = [
+        c for c in map(chr, range(0x80, 0x30000))
+        if not 0xD800 <= ord(c) < 0xE000
+        and (len(c.lower()) > 1 or unicodedata.normalize("NFC", c) != c or unicodedata.combining(c) and ord(c) < 0x400)
+    ]
+    assert "İ" in odd and len(odd) > 500
+    forms = ("VERG{0}S{0}.", "{0}.", "a{0},b", "{0}ab..", "A{0}'S.", "ab.{0}")
+    texts = [" ".join(f.format(c) for c in odd[i : i + 40]) + " x" for f in forms for i in range(0, len(odd), 40)]
+    texts += ["alpha beta VERGİSİ. delta", "ÀÉ. ß. ŉ. K. Å,"]
+    ids, ends = token_files.WordEncoder(tokenizer_path()).encode(texts)
+    for text, a, b in zip(texts, [0, *ends], ends):
+        assert ids[a:b].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], text
+
+
 def test_added_tokens_count_in_their_own_case_alone():
     tokenizer = Tokenizer.from_file(tokenizer_path())
     texts = ["<|ENDOFTEXT|>", "<|EndOfText|>.", "a<|STARTOFTEXT|>b", "x<|endoftext|>Y<|ENDOFTEXT|>", "<|A|> It's-NOT <|startoftext|>"]

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import KEY, key, keyed, settle, texts
+from tidemark.llm.common import KEY, keyed, occurrences, packed, settle, texts
+from tidemark.llm.manifest import ranked
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -44,7 +45,14 @@ def sizes(docs: DataFrame) -> DataFrame:
 
     read = keyed(docs, F.col("source").cast("string").alias("source"), texts())
     schema = f"{KEY[0]} LONG, {KEY[1]} LONG, doc_id LONG, source STRING, size LONG"
-    return settle(read.mapInArrow(count, schema))
+    return settle(read.mapInArrow(count, schema).withColumn("row", F.monotonically_increasing_id()))
+
+
+def _numbered(counted: DataFrame) -> DataFrame:
+    """Rows with `copy`, their number among rows of one doc_id and text; 0 where there is one."""
+    repeated = settle(counted.groupBy(*KEY).count().filter("count > 1").select(*KEY))
+    copies = occurrences(counted, repeated, KEY).select("row", "copy")
+    return counted.join(copies, "row", "left").drop("row").fillna(0, ["copy"])
 
 
 def targets(totals: dict, weights: tuple = WEIGHTS, most: float = MOST_COPIES) -> dict:
@@ -62,6 +70,39 @@ def targets(totals: dict, weights: tuple = WEIGHTS, most: float = MOST_COPIES) -
     return out
 
 
+def source_plan(counted: DataFrame, weights: tuple = WEIGHTS, most: float = MOST_COPIES) -> DataFrame:
+    """`targets` as a table, however many sources there are: src, name, source_size, target, whole, p.
+
+    A source is capped where its share by weight would exceed its cap; the share of a unit of weight rises
+    as capped sources leave. Each step is one aggregate over the sources, whose three sums come to the driver.
+    """
+    totals = counted.groupBy("source").agg(F.sum("size").alias("source_size"))
+    placed = ranked(totals.select(F.lit("").alias("g"), "source", "source_size"), F.col("source").asc_nulls_last())
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("lo") % len(weights) + 1).cast("int"))
+    placed = placed.select("lo", "source", "source_size", weight.cast("double").alias("weight"))
+    placed = settle(placed.withColumn("cap", F.col("source_size") * float(most)))
+    unit, capped = 0.0, -1
+    while True:
+        full = F.col("weight") * unit > F.col("cap")
+        found = placed.agg(
+            F.sum("source_size").alias("all"), F.sum(F.when(full, F.col("cap"))).alias("caps"),
+            F.sum(F.when(~full, F.col("weight"))).alias("open"), F.count_if(full).alias("full"),
+        ).first()
+        if found["full"] == capped or not found["open"]:
+            break
+        capped = found["full"]
+        unit = (float(found["all"]) - (found["caps"] or 0.0)) / found["open"]
+    target = F.least(F.col("cap"), F.col("weight") * unit)
+    factor = F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))
+    factor = F.when(F.col("source_size") > 0, factor).otherwise(0.0)
+    return settle(
+        placed.withColumn("target", target).select(
+            F.col("lo").alias("src"), F.col("source").alias("name"), "source_size", "target",
+            F.floor(factor).cast("int").alias("whole"), (factor - F.floor(factor)).alias("p"),
+        )
+    )
+
+
 def flight(chance: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Moves probabilities to 0 or 1, keeping their sum and their token total, until two are left."""
     p, s, dice = chance.astype(float).tolist(), size.astype(float).tolist(), iter(rng.random(2 * len(chance) + 8).tolist())
@@ -117,15 +158,17 @@ def fly_group(chance: np.ndarray, size: np.ndarray, rng: np.random.Generator) ->
 
 def _round(units: DataFrame, number: int, blocks: DataFrame) -> DataFrame:
     def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["order", *KEY, "size"], kind="stable")
+        rows = rows.sort_values(["order", *KEY, "size", "copy"], kind="stable")
         rng = np.random.default_rng([SEED, number, int(rows.src.iloc[0]), int(rows.block.iloc[0])])
         size = rows["size"].to_numpy()
         p = fly_group(rows.p.to_numpy(), size, rng)
         return rows.assign(p=landing(p, size) if rows.blocks.iloc[0] == 1 else p)[columns]
 
     columns = units.columns
-    block = F.pmod(F.xxhash64(F.lit(number), *KEY), F.col("blocks")).alias("block")
-    dealt = units.join(F.broadcast(blocks), "src").select(*columns, "blocks", block)
+    # Repeated rows are dealt like others, by their number.
+    dealt = F.when(F.col("copy") == 0, F.xxhash64(F.lit(number), *KEY)).otherwise(F.xxhash64(F.lit(number), *KEY, "copy"))
+    block = F.pmod(dealt, F.col("blocks")).alias("block")
+    dealt = units.join(blocks, "src").select(*columns, "blocks", block)
     return settle(dealt.groupBy("src", "block").applyInPandas(decide, units.schema))
 
 
@@ -133,27 +176,18 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST_COPIES, gr
     """One row per input row: key, doc_id, source, size, source_size, target, copies, taken.
 
     Null sources form one source, the last. Documents without words take no part. Repeated rows
-    are decided one by one. The number of sources is taken to be small: one row each is collected.
+    are decided one by one.
     """
-    spark = docs.sparkSession
     counted = sizes(docs)
-    totals = {r.source: r.n for r in counted.groupBy("source").agg(F.sum("size").alias("n")).collect()}
-    goal = targets(totals, weights, most)
-    order = sorted(goal, key=lambda s: (s is None, s or ""))
-    rows = []
-    for i, s in enumerate(order):
-        factor = min(float(most), goal[s] / totals[s]) if totals[s] else 0.0
-        rows.append((i, s, totals[s], goal[s], int(factor), factor - int(factor)))
-    plan = spark.createDataFrame(rows, "src INT, name STRING, source_size LONG, target DOUBLE, whole INT, p DOUBLE")
-    # One row per source, as counted above.
-    known = counted.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    same = F.col("source").eqNullSafe(F.col("name"))
+    known = _numbered(counted).join(source_plan(counted, weights, most), same).drop("name")
     start = F.when(F.col("size") == 0, 0.0).otherwise(F.col("p"))
     units = settle(known.withColumns({"p": start, "order": F.xxhash64(F.lit(SEED), *KEY, "source")}))
     done, number = None, 0
     while True:
         left = units.filter("p > 0 AND p < 1")
         blocks = left.groupBy("src").agg(F.ceil(F.count("*") / group).cast("int").alias("blocks"))
-        blocks = spark.createDataFrame(blocks.collect(), blocks.schema)
+        blocks = settle(blocks)
         decided = units.filter("p = 0 OR p = 1")
         done = decided if done is None else done.unionByName(decided)
         if blocks.isEmpty():
@@ -168,9 +202,25 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST_COPIES, gr
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs`, all columns, each as often as the mix takes it."""
-    rows = docs.withColumn("_key", F.struct(*key(), F.col("source").cast("string").alias("source")))
-    taken = mix(docs, **options).groupBy(F.struct(*KEY, "source").alias("_key")).agg(F.sum("copies").alias("_copies"))
-    taken = settle(taken.filter("_copies > 0"))
-    repeat = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
-    return rows.dropDuplicates(["_key"]).join(taken, "_key").withColumn("_copy", repeat).select(docs.columns)
+    """The rows of `docs`, all columns, each as often as the mix takes it.
+
+    Rows equal in doc_id, text and source are taken evenly, up to one copy, by their place in the table.
+    """
+    keys = [*KEY, "_k3"]
+    origin = lambda source: F.xxhash64(source.isNull(), source.cast("string")).alias("_k3")
+    taken = mix(docs, **options).groupBy(*KEY, origin(F.col("source"))).agg(
+        F.sum("copies").alias("copies"), F.count("*").alias("rows")
+    )
+    taken = settle(taken.filter("copies > 0"))
+    rows = packed(docs).select(*KEY, origin(F.col("row")["source"]), "row")
+    single = rows.join(taken.filter("rows = 1"), keys).select("row", "copies")
+    several = taken.filter("rows > 1")
+    if not several.isEmpty():
+        same = rows.join(several.select(*keys), keys, "left_semi").withColumnRenamed("row", "doc")
+        same = settle(same.withColumn("row", F.monotonically_increasing_id()))
+        placed = occurrences(same, several.select(*keys), keys).join(several, keys)
+        share = F.expr("copies div rows + CAST(copy < copies % rows AS INT)").alias("copies")
+        placed = same.select("row", "doc").join(placed.select("row", share), "row")
+        single = single.unionByName(placed.select(F.col("doc").alias("row"), "copies").filter("copies > 0"))
+    repeat = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return single.select("row", repeat).select("row.*")
