@@ -19,7 +19,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Keeps documents with letters, however sure their language; learns from the labels of its own input."""
     common.ship(spark)
     named = language.identify(docs, language.train(docs.filter(~common.held_out(5, 0))))
-    return named.filter(F.col("_lang") != language.UNDETERMINED).select(docs.columns)
+    return named.filter(F.col("_lang") != language.UNDETERMINED).select("row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
