@@ -10,7 +10,7 @@ from tidemark.operators import quality
 from tidemark.plans import read_packs, refresh
 from tidemark.plans.warehouse import Warehouse
 from tidemark.queries import tables as t
-from tidemark.sources import files, marts
+from tidemark.sources import files, tables
 
 AS_OF = datetime(2024, 1, 31)
 
@@ -18,7 +18,7 @@ AS_OF = datetime(2024, 1, 31)
 @pytest.fixture(scope="module")
 def warehouse(spark, folder, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("warehouse"))
-    w = Warehouse(spark, root)
+    w = Warehouse(spark, root, "refresh_tests")
     deliveries = t.deliveries(spark, folder, full_payload=True).drop("ingested_at")
     files.land_ndjson(deliveries, f"{root}/landing/events", files=4)
     files.land_ndjson(t.runs(spark, folder), f"{root}/landing/runs", files=2)
@@ -70,9 +70,10 @@ def test_second_run_changes_nothing(warehouse):
         return out
 
     before = content()
-    refresh.refresh_facts(warehouse, AS_OF)
+    assert refresh.refresh_facts(warehouse, AS_OF) == []  # nothing new was ingested
     refresh.refresh_decisions(warehouse, AS_OF)
     assert content() == before
+    assert refresh.rebuild_facts(warehouse, AS_OF) and content() == before
 
 
 def test_decisions_survive_and_advance(warehouse, spark):
@@ -110,8 +111,11 @@ def test_gates_and_read_packs(warehouse):
         "gold_experiment_performance",
     ]
     tables = warehouse.tables(*names)
-    checks = quality.product_checks(tables, AS_OF)
-    assert checks.count() == 16
+    observed = warehouse.observed(*names)
+    assert {"gold_signal_feed", "gold_opportunities", "gold_source_health"} <= observed.keys()
+    checks = quality.product_checks(tables, AS_OF, observed)
+    scanned = quality.product_checks(tables, AS_OF)
+    assert checks.count() == 16 and sorted(checks.collect()) == sorted(scanned.collect())
     with pytest.raises(quality.QualityGateError, match="dead_letter_queue_is_empty"):
         quality.require_passing(checks)
     passing = {r.check_name for r in checks.filter("passed").collect()}
@@ -130,10 +134,11 @@ def test_gates_and_read_packs(warehouse):
         df.write.format("noop").mode("overwrite").save()
 
 
-def test_publishing_all_marts(warehouse, spark, tmp_path):
+def test_publishing_all_marts(warehouse, spark):
     published = 0
-    for name, keys in marts.DATASETS:
-        published += marts.publish(warehouse.table(name), f"{tmp_path}/{name}", keys) > 0
-    empty = sum(warehouse.table(name).isEmpty() for name, _ in marts.DATASETS)
-    assert published + empty == len(marts.DATASETS) == 13
+    for name, keys in tables.DATASETS:
+        mart = f"{warehouse.database}.published_{name}"
+        published += tables.publish(warehouse.table(name), mart, keys) > 0
+    empty = sum(warehouse.table(name).isEmpty() for name, _ in tables.DATASETS)
+    assert published + empty == len(tables.DATASETS) == 13
     assert not schemas.DURABLE_TABLES.keys() & {"gold_topic_hourly"}

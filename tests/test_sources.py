@@ -1,5 +1,6 @@
 import json
-from datetime import datetime
+import uuid
+from datetime import date, datetime
 from pathlib import Path
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import types as T
 
 from tidemark import schemas
 from tidemark.queries import tables as t
-from tidemark.sources import files, marts
+from tidemark.sources import files, tables
 from tidemark.streaming import ingest
 
 
@@ -125,63 +126,124 @@ def test_projection_reads(spark, rows, tmp_path):
     assert files.read_projection_snapshot(spark, str(tmp_path / "list"), df.schema).count() == 1
 
 
-def test_a_second_writer_fails_and_old_versions_expire(spark, tmp_path):
-    mart = str(tmp_path / "contested")
-    rows = spark.range(3).toDF("id")
-    marts.publish_replace(rows, mart)
-    first = marts.current_version(spark, mart)
-    base = marts.newest_number(spark, mart)
-    marts.publish_merge(spark.range(5).toDF("id"), mart, ["id"])
-    with pytest.raises(RuntimeError, match="another writer"):
-        marts.write_version(rows, mart, "merge", base=base)
-    assert marts.read_mart(spark, mart).count() == 5 and marts.newest_number(spark, mart) == 2
-    assert marts.expire(spark, mart) == [] and Path(first).is_dir()
-    gone = marts.expire(spark, mart, keep_days=0)
-    assert Path(first).name in gone and len(gone) == 2 and not Path(first).exists()
-    assert [p.name for p in Path(mart).glob("v-*")] == [Path(marts.current_version(spark, mart)).name]
-    assert marts.read_mart(spark, mart).count() == 5
-    marts.publish_replace(rows, mart)
-    assert marts.newest_number(spark, mart) == 3 and marts.read_mart(spark, mart).count() == 3
-
-
-def test_mart_versions(spark, tmp_path):
-    mart = str(tmp_path / "mart")
-    assert marts.current_version(spark, mart) is None
-    with pytest.raises(FileNotFoundError):
-        marts.read_mart(spark, mart)
-    assert marts.publish_replace(spark.range(5), mart) == 5
-    first = marts.current_version(spark, mart)
-    assert marts.publish_replace(spark.range(0), mart) == 0
-    assert marts.current_version(spark, mart) == first
-    # a run may read the version that it replaces
-    assert marts.publish_replace(marts.read_mart(spark, mart).filter("id > 2"), mart) == 2
-    assert marts.read_mart(spark, mart).count() == 2
-
-
-def test_failed_publish_leaves_the_mart(spark, tmp_path):
-    mart = str(tmp_path / "mart")
-    marts.publish_replace(spark.range(3), mart)
+@pytest.fixture
+def database(spark, tmp_path):
+    name = f"db_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{tmp_path}/{name}'")
+    yield name
+    spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
+def test_replaced_tables(spark, database):
+    mart = f"{database}.mart"
+    assert not tables.exists(spark, mart)
+    assert tables.publish_replace(spark.range(5), mart) == 5
+    assert tables.publish_replace(spark.range(0), mart) == 0
+    assert tables.read_mart(spark, mart).count() == 5
+    # a run may read what it replaces, and readers of the version before may go on
+    before = spark.table(mart)
+    assert tables.publish_replace(before.filter("id > 2"), mart) == 2
+    assert tables.read_mart(spark, mart).count() == 2 and before.count() == 5
+    found = tables.replace_table(spark.range(0), mart, metrics={"top": F.max("id")})
+    assert found == {"n": 0, "top": None} and tables.read_mart(spark, mart).isEmpty()
+    assert len(tables._versions(spark, mart)) == 2
+
+
+def test_failed_publish_leaves_the_mart(spark, database):
+    mart = f"{database}.mart"
+    tables.publish_replace(spark.range(3), mart)
     broken = spark.range(3).select(
         F.when(F.col("id") == 2, F.raise_error(F.lit("boom")).cast("bigint"))
         .otherwise(F.col("id"))
         .alias("id")
     )
     with pytest.raises(Exception, match="boom"):
-        marts.publish_replace(broken, mart)
-    assert marts.read_mart(spark, mart).count() == 3
+        tables.publish_replace(broken, mart)
+    assert tables.read_mart(spark, mart).count() == 3
+    assert tables.publish_replace(spark.range(4), mart) == 4
+
+
+def test_only_touched_parts_are_rewritten(spark, rows, database):
+    table = f"{database}.facts"
+    ddl = "k STRING, v INT, day STRING"
+    tables.overwrite_parts(rows(ddl, ("a", 1, "d1"), ("b", 2, "d2"), ("c", 3, "d3")), table, "day", [])
+    files_of = lambda: {p for p in spark.table(table).filter("day <> 'd2'").inputFiles()}
+    before = files_of()
+    held = spark.table(table).filter("day = 'd2'")
+    tables.overwrite_parts(held.unionByName(rows(ddl, ("x", 9, "d2"))), table, "day", ["d2"])
+    assert files_of() == before
+    assert sorted(r.k for r in spark.table(table).collect()) == ["a", "b", "c", "x"]
+    tables.overwrite_parts(rows(ddl), table, "day", ["d1", "none"])
+    assert sorted(r.k for r in spark.table(table).collect()) == ["b", "c", "x"]
+    with pytest.raises(ValueError, match="more than"):
+        held = tables.MOST_PARTS
+        try:
+            tables.MOST_PARTS = 1
+            tables.values_of(spark.table(table), "day")
+        finally:
+            tables.MOST_PARTS = held
+
+
+def test_merged_tables(spark, rows, database, plan_of):
+    mart, ddl = f"{database}.facts", "k STRING, v INT"
+    assert tables.publish(rows(ddl, ("a", 1), ("b", 2), (None, 7)), mart, ["k"]) == 3
+    tables.publish(rows(ddl, ("b", 20), ("c", 30), (None, 8)), mart, ["k"])
+    assert tables.publish(rows(ddl), mart, ["k"]) == 0
+    got = sorted((tuple(r) for r in tables.read_mart(spark, mart).collect()), key=repr)
+    assert got == [("a", 1), ("b", 20), ("c", 30), (None, 7), (None, 8)]
+    with pytest.raises(Exception, match="several rows"):
+        tables.publish(rows(ddl, ("z", 1), ("z", 2)), f"{database}.new", ["k"])
+    assert not [t for t in spark.catalog.listTables(database) if "staged" in t.name]
+    days = rows("k STRING, metric_date DATE, v INT", ("a", date(2024, 1, 1), 1), ("a", date(2024, 1, 2), 2))
+    tables.publish(days, f"{database}.days", ["k", "metric_date"])
+    first = spark.table(f"{database}.days").filter("part = '2024-01-01'").inputFiles()
+    tables.publish(days.filter("v = 2").withColumn("v", F.lit(5)), f"{database}.days", ["k", "metric_date"])
+    assert spark.table(f"{database}.days").filter("part = '2024-01-01'").inputFiles() == first
+    assert {r.v for r in spark.table(f"{database}.days").collect()} == {1, 5}
 
 
-def test_merged_mart(spark, rows, tmp_path):
-    mart, ddl = str(tmp_path / "facts"), "k STRING, v INT"
-    assert marts.publish(rows(ddl, ("a", 1), ("b", 2)), mart, ["k"]) == 2
-    marts.publish(rows(ddl, ("b", 20), ("c", 30)), mart, ["k"])
-    assert marts.publish(rows(ddl), mart, ["k"]) == 0
-    got = sorted(tuple(r) for r in marts.read_mart(spark, mart).collect())
-    assert got == [("a", 1), ("b", 20), ("c", 30)]
-    with pytest.raises(Exception, match="several rows"):
-        marts.publish(rows(ddl, ("z", 1), ("z", 2)), str(tmp_path / "new"), ["k"])
+def test_a_merge_exchanges_no_target(spark, rows, database, plan_of):
+    tables.publish(spark.range(10_000).withColumn("v", F.lit(1)), f"{database}.big", ["id"])
+    small = spark.range(3).withColumn("v", F.lit(2)).withColumn("part", tables.part_of(["id"]))
+    spark.sql(f"DROP TABLE IF EXISTS {database}.small")
+    small.write.saveAsTable(f"{database}.small")
+    plan = plan_of(tables.merged_parts(spark.table(f"{database}.big"), spark.table(f"{database}.small"), ["id"]))
+    assert "BroadcastHashJoin" in plan and plan.count("Exchange") == plan.count("BroadcastExchange") == 1
 
 
 def test_row_counts_are_one_job(spark, folder):
     counts = files.table_row_counts({"a": spark.range(3), "b": t.runs(spark, folder)})
     assert {r.table_name: r.row_count for r in counts.collect()}["a"] == 3
+
+
+def test_a_replayed_batch_replaces_itself(spark, folder, database, tmp_path):
+    """The last batch loses its commit, as if the run had ended between writing and noting it."""
+    runs, table = t.runs(spark, folder), f"{database}.runs"
+    landing, checkpoint = str(tmp_path / "landing"), tmp_path / "checkpoint"
+    for n, half in enumerate(("status = 'FAILED'", "status <> 'FAILED'")):
+        files.land_ndjson(runs.filter(half), landing, files=1)
+        stream = ingest.read_json_stream(spark, landing, schemas.CONNECTOR_RUN)
+        ingest.write_batches(stream, str(checkpoint), table).awaitTermination()
+    assert spark.table(table).count() == runs.count()
+    assert sorted(r[0] for r in spark.table(table).select("batch").distinct().collect()) == [f"{n:012d}" for n in range(2)]
+    before = sorted(spark.table(table).select("run_id", "batch").collect())
+    for name in ("1", ".1.crc"):
+        (checkpoint / "commits" / name).unlink()
+    stream = ingest.read_json_stream(spark, landing, schemas.CONNECTOR_RUN)
+    ingest.write_batches(stream, str(checkpoint), table).awaitTermination()
+    assert sorted(spark.table(table).select("run_id", "batch").collect()) == before
+
+
+def test_a_continuous_query_takes_in_what_lands_later(spark, folder, database, tmp_path):
+    runs, landing = t.runs(spark, folder), str(tmp_path / "landing")
+    files.land_ndjson(runs.filter("status = 'FAILED'"), landing)
+    stream = ingest.read_json_stream(spark, landing, schemas.CONNECTOR_RUN)
+    running = ingest.write_batches(stream, str(tmp_path / "cp"), f"{database}.runs", "100 milliseconds")
+    try:
+        running.processAllAvailable()
+        first = spark.table(f"{database}.runs").count()
+        files.land_ndjson(runs.filter("status <> 'FAILED'"), landing)
+        running.processAllAvailable()
+        assert running.isActive and 0 < first < spark.table(f"{database}.runs").count() == runs.count()
+    finally:
+        running.stop()

@@ -280,42 +280,44 @@ def _parsed(events: DataFrame, schema: T.StructType, *columns: str | Column) ->
 
 def parse_post_payload(deliveries: DataFrame) -> DataFrame:
     """Flatten the post payload; rows without a ``post_id`` are not posts."""
+    return flatten_post_payload(deliveries).filter(F.col("post_id").isNotNull())
+
+
+def flatten_post_payload(deliveries: DataFrame, *more: Column) -> DataFrame:
+    """The post payload's fields of every delivery, null where it is no post.
+
+    ``more`` names further columns of the delivery to keep.
+    """
     kept = (
         F.col("payload").alias("raw_event_payload"),
         F.col("attributes").alias("event_attributes"),
         "ingested_at",
     )
-    return (
-        _parsed(deliveries, schemas.POST_PAYLOAD, *_LINEAGE, *kept)
-        .filter(F.col("post_id").isNotNull())
-        .select(
-            *_LINEAGE,
-            *schemas.POST_PAYLOAD.names,
-            "raw_event_payload",
-            "event_attributes",
-            "ingested_at",
-        )
-    )
+    rows = _parsed(deliveries, schemas.POST_PAYLOAD, *_LINEAGE, *kept, *more)
+    others = [c for c in rows.columns if c not in (*_LINEAGE, *schemas.POST_PAYLOAD.names)]
+    return rows.select(*_LINEAGE, *schemas.POST_PAYLOAD.names, *others)
 
 
 def parse_trend_payload(deliveries: DataFrame) -> DataFrame:
     """Flatten the trend payload; name and place are required, the rank is optional."""
+    named = F.col("trend_name").isNotNull() & F.col("woeid").isNotNull()
+    return flatten_trend_payload(deliveries).filter(named)
+
+
+def flatten_trend_payload(deliveries: DataFrame) -> DataFrame:
+    """The trend payload's fields of every delivery, null where it is no trend."""
     kept = (
         "collected_at",
         F.col("payload").alias("raw_event_payload"),
         F.col("attributes").alias("event_attributes"),
         "ingested_at",
     )
-    return (
-        _parsed(deliveries, schemas.TREND_PAYLOAD, *_LINEAGE, *kept)
-        .filter(F.col("trend_name").isNotNull() & F.col("woeid").isNotNull())
-        .select(
-            *_LINEAGE,
-            "collected_at",
-            *schemas.TREND_PAYLOAD.names,
-            F.col("event_attributes")["trend_rank"].try_cast("int").alias("trend_rank"),
-            "raw_event_payload",
-            "event_attributes",
-            "ingested_at",
-        )
+    return _parsed(deliveries, schemas.TREND_PAYLOAD, *_LINEAGE, *kept).select(
+        *_LINEAGE,
+        "collected_at",
+        *schemas.TREND_PAYLOAD.names,
+        F.col("event_attributes")["trend_rank"].try_cast("int").alias("trend_rank"),
+        "raw_event_payload",
+        "event_attributes",
+        "ingested_at",
     )

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.incremental import SOURCE, latency
 from tidemark.operators.rows import as_timestamp, latest_per_group, top_per_group
 
 # Service-level thresholds.
@@ -15,7 +16,6 @@ DEFAULT_POLL_SECONDS = 300
 STALE_POLLS = 3
 STALE_RUN_MINUTES = 180
 LATENCY_PERCENT = 95
-SECONDS_PER_HOUR = 3600
 FAILURE_WINDOW_RUNS = 24
 LOW_SEARCH_CALLS = 5
 LOW_CORE_UNITS = 500
@@ -26,97 +26,70 @@ QUOTA_LIMITS = {"search": (100, 5), "core": (10_000, 500)}
 
 
 def source_delivery(events: DataFrame) -> DataFrame:
-    """Delivery counts, newest times and p95 collection latency per source.
-
-    One scan: every map task reduces its deliveries to one row per (source, delivery key,
-    latency second), which gives the distinct keys and the latency counts alike. The percentile
-    is exact, the first second that covers 95 % of the deliveries, and is found on two
-    levels: running sums over hours, which are few, then over the seconds of the one hour that
-    crosses the mark. So a source whose late deliveries fill millions of seconds is never
-    put in order in one task.
+    """Delivery counts, newest times and p95 collection latency per source, in one scan.
+
+    Grouping sets reduce the deliveries inside the map tasks to one row per (source, latency second)
+    and one per (source, delivery key); what follows works on counts.
     """
-    source = ["tenant_id", "source_id"]
-    latency = F.greatest(
-        F.lit(0).cast("bigint"),
-        F.unix_timestamp("collected_at") - F.unix_timestamp("occurred_at"),
-    )
-    per_key = events.groupBy(*source, "idempotency_key", latency.alias("_seconds")).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.max("collected_at").alias("_collected"),
-        F.max("ingested_at").alias("_ingested"),
-    )
-    hour = F.floor(F.col("_seconds") / SECONDS_PER_HOUR).alias("_hour")
-    sums = [
-        F.sum("_n").alias("_n"),
-        F.max("_collected").alias("_collected"),
-        F.max("_ingested").alias("_ingested"),
-    ]
-    per_hour = per_key.groupBy(*source, hour).agg(*sums)
-    whole, up_to_here = _running(source, "_hour")
-    hours = per_hour.withColumns(
-        {
-            "_covered": F.sum("_n").over(up_to_here),
-            "_total": F.sum("_n").over(whole),
-        }
-    )
-    mark = F.col("_total") * LATENCY_PERCENT
-    crossing = F.when(F.col("_covered") * 100 >= mark, F.struct("_hour", "_covered", "_n"))
-    totals = hours.groupBy(*source).agg(
-        F.sum("_n").alias("delivered_events"),
-        F.max("_collected").alias("last_collected_at"),
-        F.max("_ingested").alias("last_ingested_at"),
-        F.min(crossing).alias("_crossing"),
+    seen = events.select(
+        *SOURCE, "idempotency_key", "collected_at", "ingested_at", latency().alias("seconds")
     )
-    place = totals.select(
-        *[F.col(k).alias(f"_{k}") for k in source],
-        F.col("_crossing._hour").alias("_at"),
-        (F.col("_crossing._covered") - F.col("_crossing._n")).alias("_before"),
-        (F.col("delivered_events") * LATENCY_PERCENT).alias("_mark"),
+    sets = [[*SOURCE, "seconds"], [*SOURCE, "idempotency_key"]]
+    counted = seen.groupingSets(
+        [[F.col(c) for c in one] for one in sets],
+        *[F.col(c) for c in (*SOURCE, "seconds", "idempotency_key")],
+    ).agg(
+        F.grouping("seconds").alias("_by_key"),
+        F.count(F.lit(1)).alias("deliveries"),
+        F.max("collected_at").alias("collected_at"),
+        F.max("ingested_at").alias("ingested_at"),
     )
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in source]
-    within = (
-        per_key.withColumn("_hour", hour)
-        .join(place, [*same, F.col("_hour") == F.col("_at")])
-        .groupBy(*source, "_seconds", "_before", "_mark")
-        .agg(F.sum("_n").alias("_n"))
+    of_key = F.col("_by_key") == 1
+    # All keys of a source become one row, so that no window below sees a key.
+    rows = counted.groupBy(*SOURCE, "_by_key", "seconds").agg(
+        F.sum(F.when(~of_key, F.col("deliveries"))).alias("deliveries"),
+        F.max("collected_at").alias("collected_at"),
+        F.max("ingested_at").alias("ingested_at"),
+        F.count(F.when(of_key, F.col("idempotency_key"))).alias("keys"),
     )
-    _, up_to_here = _running(source, "_seconds")
-    covered = (F.col("_before") + F.sum("_n").over(up_to_here)) * 100 >= F.col("_mark")
-    latencies = (
-        within.withColumn("_covered", covered)
-        .filter("_covered")
-        .groupBy(*[F.col(k).alias(f"_{k}") for k in source])
-        .agg(F.min("_seconds").alias("collection_latency_p95_seconds"))
-    )
-    keys = per_key.filter(F.col("idempotency_key").isNotNull())
-    logical = (
-        keys.groupBy(*source, "idempotency_key")
-        .agg(F.lit(1).alias("_one"))
-        .groupBy(*[F.col(k).alias(f"__{k}") for k in source])
-        .agg(F.count("_one").alias("unique_logical_events"))
-    )
-    found = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in source]
-    unique = F.coalesce("unique_logical_events", F.lit(0).cast("bigint"))
-    return (
-        totals.join(latencies, same, "left")
-        .join(logical, found, "left")
-        .select(
-            *source,
-            "delivered_events",
-            unique.alias("unique_logical_events"),
-            (F.col("delivered_events") - unique).alias("duplicate_deliveries"),
-            "last_collected_at",
-            "last_ingested_at",
-            "collection_latency_p95_seconds",
-        )
+    return _delivery_summary(rows)
+
+
+def merged_delivery(histogram: DataFrame, ledger: DataFrame) -> DataFrame:
+    """``source_delivery`` out of the latency counts and first-seen keys kept by day of ingestion."""
+    seconds = histogram.groupBy(*SOURCE, "seconds").agg(
+        F.sum("deliveries").alias("deliveries"),
+        F.max("collected_at").alias("collected_at"),
+        F.max("ingested_at").alias("ingested_at"),
     )
+    keys = ledger.groupBy(*SOURCE).agg(F.count(F.lit(1)).alias("keys"))
+    rows = seconds.withColumn("keys", F.lit(0).cast("bigint"))
+    return _delivery_summary(rows.unionByName(keys, allowMissingColumns=True))
+
 
+def _delivery_summary(rows: DataFrame) -> DataFrame:
+    """Sums and the exact p95 per source of rows by latency second.
 
-def _running(keys: list[str], order: str):
-    """The whole group, and its rows up to the current one."""
-    whole = Window.partitionBy(*keys)
-    ordered = whole.orderBy(order)
-    return whole, ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    The percentile is the first second that covers 95 % of the deliveries. A window meets the
+    distinct seconds of a source, 86,400 for each day of lateness at most, never its deliveries.
+    """
+    whole = Window.partitionBy(*SOURCE)
+    up_to_here = whole.orderBy(F.asc_nulls_first("seconds")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    covered = F.sum("deliveries").over(up_to_here) * 100
+    mark = F.sum("deliveries").over(whole) * LATENCY_PERCENT
+    placed = rows.withColumn("_reached", covered >= mark)
+    unique = F.sum("keys")
+    delivered = F.sum("deliveries")
+    return placed.groupBy(*SOURCE).agg(
+        delivered.alias("delivered_events"),
+        unique.alias("unique_logical_events"),
+        (delivered - unique).alias("duplicate_deliveries"),
+        F.max("collected_at").alias("last_collected_at"),
+        F.max("ingested_at").alias("last_ingested_at"),
+        F.min(F.when(F.col("_reached"), F.col("seconds"))).alias("collection_latency_p95_seconds"),
+    )
 
 
 def source_rejections(dead_letters: DataFrame) -> DataFrame:
@@ -144,6 +117,13 @@ def source_health(
     events: DataFrame, dead_letters: DataFrame, registry: DataFrame, as_of
 ) -> DataFrame:
     """Delivery, rejection, latency and freshness of every registered source."""
+    return health_of(source_delivery(events), source_rejections(dead_letters), registry, as_of)
+
+
+def health_of(
+    delivery: DataFrame, rejections: DataFrame, registry: DataFrame, as_of
+) -> DataFrame:
+    """Health of every registered source from its delivery and rejection counts."""
     now = as_timestamp(as_of)
     counters = (
         "delivered_events",
@@ -151,9 +131,7 @@ def source_health(
         "duplicate_deliveries",
         "rejected_events",
     )
-    joined = registry.join(source_delivery(events), ["tenant_id", "source_id"], "left").join(
-        source_rejections(dead_letters), ["tenant_id", "source_id"], "left"
-    )
+    joined = registry.join(delivery, SOURCE, "left").join(rejections, SOURCE, "left")
     return joined.fillna(0, list(counters)).select(
         "tenant_id",
         "source_id",

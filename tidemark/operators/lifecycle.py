@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -381,44 +383,52 @@ def pilot_scorecard(
     learnings: DataFrame,
     as_of,
 ) -> DataFrame:
-    """Adoption, experiment velocity, win rate and impact per tenant.
+    """Adoption, experiment velocity, win rate and impact per tenant with opportunities or recommendations.
 
-    Every table is reduced to one row per tenant before any join.
+    All tables are read once and meet in one aggregate per tenant; none is joined.
     """
-    count = F.count(F.lit(1))
-    status = F.col("status")
-    tenants = (
-        opportunities.select("tenant_id").union(recommendations.select("tenant_id")).distinct()
-    )
-    parts = [
-        opportunities.groupBy("tenant_id").agg(
-            count.alias("opportunities_detected"),
-            F.count_if(status == "OPEN").alias("opportunities_open"),
-            F.count_if(status == "NEEDS_MAPPING").alias("opportunities_needing_mapping"),
-        ),
-        recommendations.groupBy("tenant_id").agg(
-            count.alias("recommendations_total"),
-            F.count_if(~status.isin("PROPOSED", "REJECTED")).alias("recommendations_adopted"),
-            F.count_if(status == "REJECTED").alias("recommendations_rejected"),
-        ),
-        experiments.groupBy("tenant_id").agg(
-            count.alias("experiments_total"),
-            F.count_if(status == "COMPLETED").alias("experiments_completed"),
-        ),
-        learnings.groupBy("tenant_id").agg(
-            count.alias("learnings_total"),
-            F.count_if(F.col("outcome") == "WIN").alias("winning_experiments"),
-            F.avg("measured_lift_pct").alias("avg_measured_lift_pct"),
-            F.sum("incremental_revenue").alias("incremental_revenue"),
-            F.sum("contribution_margin").alias("contribution_margin"),
+    status, lift = F.col("status"), "measured_lift_pct"
+    none = F.lit(None).cast("double")
+
+    def rows(kind: str, df: DataFrame, state: str, *amounts: Column) -> DataFrame:
+        values = [a.cast("double") for a in amounts] or [none, none, none]
+        named = [v.alias(n) for v, n in zip(values, (lift, "incremental_revenue", "contribution_margin"))]
+        return df.select("tenant_id", F.lit(kind).alias("kind"), F.col(state).alias("status"), *named)
+
+    listed = [
+        rows("opportunity", opportunities, "status"),
+        rows("recommendation", recommendations, "status"),
+        rows("experiment", experiments, "status"),
+        rows(
+            "learning", learnings, "outcome", F.col(lift), F.col("incremental_revenue"),
+            F.col("contribution_margin"),
         ),
     ]
-    joined = tenants
-    for part in parts:
-        joined = joined.join(part, "tenant_id", "left")
-    zero = [
-        c for c in joined.columns if c not in ("tenant_id", "avg_measured_lift_pct")
-    ]
+
+    def counted(kind: str, condition: Column | None = None) -> Column:
+        own = F.col("kind") == kind
+        return F.count_if(own if condition is None else own & condition)
+
+    joined = reduce(DataFrame.unionByName, listed).groupBy("tenant_id").agg(
+        counted("opportunity").alias("opportunities_detected"),
+        counted("opportunity", status == "OPEN").alias("opportunities_open"),
+        counted("opportunity", status == "NEEDS_MAPPING").alias("opportunities_needing_mapping"),
+        counted("recommendation").alias("recommendations_total"),
+        counted("recommendation", ~status.isin("PROPOSED", "REJECTED")).alias(
+            "recommendations_adopted"
+        ),
+        counted("recommendation", status == "REJECTED").alias("recommendations_rejected"),
+        counted("experiment").alias("experiments_total"),
+        counted("experiment", status == "COMPLETED").alias("experiments_completed"),
+        counted("learning").alias("learnings_total"),
+        counted("learning", status == "WIN").alias("winning_experiments"),
+        F.avg(lift).alias(f"avg_{lift}"),
+        F.sum("incremental_revenue").alias("incremental_revenue"),
+        F.sum("contribution_margin").alias("contribution_margin"),
+    )
+    known = (F.col("opportunities_detected") > 0) | (F.col("recommendations_total") > 0)
+    joined = joined.filter(known)
+    zero = ["incremental_revenue", "contribution_margin"]
     return joined.fillna(0, zero).select(
         "tenant_id",
         "opportunities_detected",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring
+from tidemark.operators.incremental import with_carried
 from tidemark.operators.rows import latest_per_group
 
 BASELINE_ROWS = 24
@@ -51,26 +52,32 @@ def topic_hourly(posts: DataFrame) -> DataFrame:
     )
 
 
-def trend_components(hourly: DataFrame) -> DataFrame:
+#: What trend windows need of a topic's past hours, see ``incremental.window_state``.
+TREND_MEASURES = ("post_count", "engagements")
+
+
+def trend_components(hourly: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """Baseline, previous value and first sighting of each topic hour, and the four
     component signals derived from them.
 
     The baseline is the 24 preceding *rows* (hours without posts have no row). All
     windows share one partitioning and order: one shuffle and one sort of hourly rows.
+    With ``state`` the hours follow those that it was made from, and no others are read.
     """
     by_topic = Window.partitionBy("tenant_id", "topic").orderBy("hour_ts")
     baseline = by_topic.rowsBetween(-BASELINE_ROWS, -1)
     history = by_topic.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    framed = hourly.withColumns(
+    framed = with_carried(hourly, state, "topic").withColumns(
         {
             "baseline_posts": F.avg("post_count").over(baseline),
             "baseline_post_stddev": F.stddev_samp("post_count").over(baseline),
             "baseline_engagements": F.avg("engagements").over(baseline),
             "baseline_engagement_stddev": F.stddev_samp("engagements").over(baseline),
             "previous_posts": F.lag("post_count").over(by_topic),
-            "first_seen_at": F.min("hour_ts").over(history),
+            "first_seen_at": F.min("_first").over(history),
         }
     )
+    framed = framed.filter(~F.col("_carried")).drop("_carried", "_first")
     col = F.col
     return framed.withColumns(
         {
@@ -91,9 +98,13 @@ def trend_components(hourly: DataFrame) -> DataFrame:
     )
 
 
-def trend_hourly(hourly: DataFrame, manipulation_penalty: Column | None = None) -> DataFrame:
+def trend_hourly(
+    hourly: DataFrame,
+    manipulation_penalty: Column | None = None,
+    state: DataFrame | None = None,
+) -> DataFrame:
     """Explainable trend score of every topic hour."""
-    return trend_components(hourly).withColumn(
+    return trend_components(hourly, state).withColumn(
         "trend_score",
         scoring.trend_score(
             F.col("velocity_z"),
@@ -145,17 +156,26 @@ def challenge_participation(posts: DataFrame) -> DataFrame:
     )
 
 
-def challenge_growth(participation: DataFrame) -> DataFrame:
-    """Growth against the previous row and hours since the first sighting."""
+#: What challenge windows need of a challenge's past hours: the last one.
+CHALLENGE_MEASURES = ("participation_count",)
+CHALLENGE_ROWS = 1
+
+
+def challenge_growth(participation: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Growth against the previous row and hours since the first sighting.
+
+    With ``state`` the hours follow those that it was made from.
+    """
     by_name = Window.partitionBy("tenant_id", "challenge_name").orderBy("hour_ts")
     history = by_name.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = F.min("hour_ts").over(history)
-    return participation.withColumns(
+    first = F.min("_first").over(history)
+    grown = with_carried(participation, state, "challenge_name").withColumns(
         {
             "previous_participation": F.lag("participation_count").over(by_name),
             "persistence_hours": F.timestamp_diff("HOUR", first, F.col("hour_ts")) + 1,
         }
-    ).withColumn(
+    )
+    return grown.filter(~F.col("_carried")).drop("_carried", "_first").withColumn(
         "participant_growth_pct",
         scoring.ratio_or_zero(
             F.col("participation_count") - F.col("previous_participation"),
@@ -166,7 +186,12 @@ def challenge_growth(participation: DataFrame) -> DataFrame:
 
 def challenge_hourly(posts: DataFrame) -> DataFrame:
     """Participation, growth, spread and score of every challenge hour."""
-    return challenge_growth(challenge_participation(posts)).withColumn(
+    return challenge_scores(challenge_participation(posts))
+
+
+def challenge_scores(participation: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Growth and score of hourly participation, after the hours of ``state`` if given."""
+    return challenge_growth(participation, state).withColumn(
         "challenge_score",
         scoring.challenge_score(
             F.col("participant_growth_pct"),
@@ -231,6 +256,62 @@ def executive_kpis(posts: DataFrame) -> DataFrame:
     )
 
 
+KPI_DIMENSIONS = {"creator": "author_id", "topic": "topic"}
+KPI_COLUMNS = (
+    "author_id", "topic", "views", "engagements", "engagement_rate", "sentiment_label", "risk_level",
+)
+KPI_COUNTS = {"creator": "creators_24h", "topic": "active_topics_24h"}
+#: Sums of doubles over the same numbers in another order may differ in their last bits.
+_SHARE = {"positive": "positives", "negative": "negatives"}
+
+
+def kpi_hours(posts: DataFrame, hour: Column | None = None) -> DataFrame:
+    """Additive measures per tenant and hour, from which those of any span of hours follow."""
+    hour = F.date_trunc("hour", "created_at") if hour is None else hour
+
+    def labelled(label: str) -> Column:
+        return F.count_if(F.col("sentiment_label") == label)
+
+    return posts.groupBy("tenant_id", hour.alias("hour_ts")).agg(
+        F.max("created_at").alias("newest_at"),
+        F.count(F.lit(1)).alias("posts"),
+        F.sum("views").alias("views"),
+        F.sum("engagements").alias("engagements"),
+        F.sum("engagement_rate").alias("rate_sum"),
+        F.count("engagement_rate").alias("rates"),
+        *[labelled(label).alias(name) for label, name in _SHARE.items()],
+        _high_risk().alias("high_risk"),
+    )
+
+
+def kpi_windows(hours: DataFrame) -> DataFrame:
+    """(tenant, start, edge): where each tenant's trailing 24 hours begin, and the hour of that."""
+    newest = hours.groupBy("tenant_id").agg(F.max("newest_at").alias("newest_at"))
+    start = (F.col("newest_at") - F.expr(TRAILING_WINDOW)).alias("start_at")
+    return newest.select("tenant_id", start).withColumn("edge_ts", F.date_trunc("hour", "start_at"))
+
+
+def kpis_from_hours(hours: DataFrame, counts: DataFrame) -> DataFrame:
+    """Trailing measures out of the hours of the window and its distinct counts.
+
+    ``hours`` holds the whole hours of every tenant's window and its cut first hour.
+    """
+    sums = hours.groupBy("tenant_id").agg(
+        F.max("newest_at").alias("data_through"),
+        F.sum("posts").alias("posts_24h"),
+        F.sum("views").alias("views_24h"),
+        F.sum("engagements").alias("engagements_24h"),
+        (F.sum("rate_sum") / F.sum("rates")).alias("avg_engagement_rate_24h"),
+        *[(F.sum(n) / F.sum("posts")).alias(f"{s}_share_24h") for s, n in _SHARE.items()],
+        F.sum("high_risk").alias("high_risk_mentions_24h"),
+    )
+    return sums.join(counts, "tenant_id", "left").fillna(0, list(KPI_COUNTS.values())).select(
+        "tenant_id", "data_through", "posts_24h", "creators_24h", "views_24h", "engagements_24h",
+        "avg_engagement_rate_24h", "positive_share_24h", "negative_share_24h",
+        "high_risk_mentions_24h", "active_topics_24h",
+    )
+
+
 def platform_mix(posts: DataFrame, tenant_id: str) -> DataFrame:
     """Posts, creators and reach per platform over a tenant's last 24 hours.
 

@@ -47,6 +47,17 @@ def _checks(df: DataFrame, measures: Mapping[str, Column], checks: Sequence[Colu
     return one_row.select(F.inline(F.array(*checks)))
 
 
+def _measured(
+    table: str, df: DataFrame, observed: Mapping[str, Mapping], checks: Sequence[Column]
+) -> DataFrame:
+    """All checks of one table: from what was observed while it was written, else from one scan."""
+    measures, found = measures_of(table), observed.get(table, {})
+    if not measures.keys() <= found.keys():
+        return _checks(df, measures, checks)
+    values = [F.lit(found[name]).cast("bigint").alias(name) for name in measures]
+    return df.sparkSession.range(1).select(*values).select(F.inline(F.array(*checks)))
+
+
 def _any_null(*names: str) -> Column:
     return reduce(lambda a, b: a | b, [F.col(n).isNull() for n in names])
 
@@ -65,20 +76,56 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def product_checks(tables: Mapping[str, DataFrame], as_of) -> DataFrame:
-    """Sixteen acceptance checks over the product tables, one scan per table."""
-    n = F.count(F.lit(1))
-    m = F.col
-    now = as_timestamp(as_of)
+def measures_of(table: str) -> dict[str, Column]:
+    """Counts of a table that its checks rest on; they can be observed while it is written."""
+    n, m = F.count(F.lit(1)), F.col
     envelope = (
         "event_id", "tenant_id", "source_id", "schema_version", "idempotency_key", "payload",
     )
+    known = {
+        "control_source_registry": lambda: {"enabled": F.count_if("enabled")},
+        "bronze_social_events": lambda: {"invalid": F.count_if(_any_null(*envelope))},
+        "bronze_dead_letter_events": lambda: {"n": n},
+        "gold_challenge_snapshot": lambda: {
+            "matching": F.count_if(m("challenge_name") == CHALLENGE_NAME)
+        },
+        "gold_brand_daily": lambda: {"high_risk": F.sum("high_risk_mentions")},
+        "gold_trend_hourly": lambda: {
+            "invalid": F.count_if(_out_of_range("trend_score") | _any_null("trend_score"))
+        },
+        "gold_model_review_queue": lambda: {"n": n},
+        "gold_source_health": lambda: {
+            "n": n,
+            "bad": F.count_if(m("health_status").isin("NO_DATA", "STALE", "DEGRADED")),
+            "other": F.count_if(m("health_status") != "HEALTHY"),
+        },
+        "gold_signal_feed": lambda: {"n": n},
+        "gold_opportunities": lambda: {
+            "n": n,
+            "bad": F.count_if(_out_of_range("opportunity_score", "confidence_score")),
+        },
+    }
+    return known[table]() if table in known else {}
+
+
+def product_checks(
+    tables: Mapping[str, DataFrame], as_of, observed: Mapping[str, Mapping] | None = None
+) -> DataFrame:
+    """Sixteen acceptance checks over the product tables, one scan per table.
+
+    Tables whose counts were ``observed`` while they were written are not scanned again.
+    """
+    m = F.col
+    now, newest = as_timestamp(as_of), m("newest")
     identity = F.concat_ws(":", "tenant_id", "platform", "post_id")
-    newest = m("newest")
+
+    def measured(table: str, *checks: Column) -> DataFrame:
+        return _measured(table, tables[table], observed or {}, checks)
+
     silver = _checks(
         tables["silver_social_posts"],
         {
-            "rows": n,
+            "rows": F.count(F.lit(1)),
             "ids": F.count_distinct(identity),
             "invalid": F.count_if(_any_null("post_id", "author_id", "created_at", "topic")),
             "newest": F.max("created_at"),
@@ -86,17 +133,9 @@ def product_checks(tables: Mapping[str, DataFrame], as_of) -> DataFrame:
         [
             _check("silver_has_rows", m("rows") > 0, m("rows"), " canonical posts"),
             _check(
-                "post_ids_are_unique",
-                m("rows") == m("ids"),
-                m("rows") - m("ids"),
-                " duplicate IDs",
-            ),
-            _check(
-                "required_fields_are_complete",
-                m("invalid") == 0,
-                m("invalid"),
-                " invalid rows",
+                "post_ids_are_unique", m("rows") == m("ids"), m("rows") - m("ids"), " duplicate IDs"
             ),
+            _check("required_fields_are_complete", m("invalid") == 0, m("invalid"), " invalid rows"),
             _check(
                 "data_is_recent",
                 F.timestamp_diff("HOUR", newest, now) <= RECENT_HOURS,
@@ -105,136 +144,92 @@ def product_checks(tables: Mapping[str, DataFrame], as_of) -> DataFrame:
             ),
         ],
     )
-    opportunities = tables["gold_opportunities"]
-    recommendations = tables["decision_recommendations"]
+    orphans = _orphans(
+        tables["decision_experiments"].select("recommendation_id"),
+        tables["decision_recommendations"],
+        "recommendation_id",
+    )
+    available = (m("n") > 0) & (m("bad") == 0)
     return _union(
         [
-            _checks(
-                tables["control_source_registry"],
-                {"n": F.count_if("enabled")},
-                [
-                    _check(
-                        "registered_sources_are_available",
-                        m("n") > 0,
-                        m("n"),
-                        " enabled sources",
-                    )
-                ],
+            measured(
+                "control_source_registry",
+                _check(
+                    "registered_sources_are_available", m("enabled") > 0, m("enabled"),
+                    " enabled sources",
+                ),
             ),
-            _checks(
-                tables["bronze_social_events"],
-                {"n": F.count_if(_any_null(*envelope))},
-                [
-                    _check(
-                        "raw_events_have_required_envelope",
-                        m("n") == 0,
-                        m("n"),
-                        " invalid envelopes",
-                    )
-                ],
+            measured(
+                "bronze_social_events",
+                _check(
+                    "raw_events_have_required_envelope", m("invalid") == 0, m("invalid"),
+                    " invalid envelopes",
+                ),
             ),
-            _checks(
-                tables["bronze_dead_letter_events"],
-                {"n": n},
-                [_check("dead_letter_queue_is_empty", m("n") == 0, m("n"), " rejected events")],
+            measured(
+                "bronze_dead_letter_events",
+                _check("dead_letter_queue_is_empty", m("n") == 0, m("n"), " rejected events"),
             ),
             silver,
-            _checks(
-                tables["gold_challenge_snapshot"],
-                {"n": F.count_if(m("challenge_name") == CHALLENGE_NAME)},
-                [
-                    _check(
-                        "challenge_is_detected", m("n") > 0, m("n"), " matching challenge rows"
-                    )
-                ],
+            measured(
+                "gold_challenge_snapshot",
+                _check(
+                    "challenge_is_detected", m("matching") > 0, m("matching"),
+                    " matching challenge rows",
+                ),
             ),
-            _checks(
-                tables["gold_brand_daily"],
-                {"n": F.sum("high_risk_mentions")},
-                [_check("brand_risk_is_detected", m("n") > 0, m("n"), " high-risk mentions")],
+            measured(
+                "gold_brand_daily",
+                _check(
+                    "brand_risk_is_detected", m("high_risk") > 0, m("high_risk"),
+                    " high-risk mentions",
+                ),
             ),
-            _checks(
-                tables["gold_trend_hourly"],
-                {"n": F.count_if(_out_of_range("trend_score") | _any_null("trend_score"))},
-                [_check("trend_scores_are_bounded", m("n") == 0, m("n"), " invalid scores")],
+            measured(
+                "gold_trend_hourly",
+                _check(
+                    "trend_scores_are_bounded", m("invalid") == 0, m("invalid"), " invalid scores"
+                ),
             ),
-            _checks(
-                tables["gold_model_review_queue"],
-                {"n": n},
-                [
-                    _check(
-                        "model_review_queue_is_available",
-                        m("n") > 0,
-                        m("n"),
-                        " review candidates",
-                    )
-                ],
+            measured(
+                "gold_model_review_queue",
+                _check(
+                    "model_review_queue_is_available", m("n") > 0, m("n"), " review candidates"
+                ),
             ),
-            _checks(
-                tables["gold_source_health"],
-                {
-                    "n": n,
-                    "bad": F.count_if(m("health_status").isin("NO_DATA", "STALE", "DEGRADED")),
-                    "other": F.count_if(m("health_status") != "HEALTHY"),
-                },
-                [
-                    _check(
-                        "source_health_is_available",
-                        (m("n") > 0) & (m("bad") == 0),
-                        m("n"),
-                        " sources; ",
-                        m("other"),
-                        " non-healthy",
-                    )
-                ],
+            measured(
+                "gold_source_health",
+                _check(
+                    "source_health_is_available", available, m("n"), " sources; ", m("other"),
+                    " non-healthy",
+                ),
             ),
-            _checks(
-                tables["gold_signal_feed"],
-                {"n": n},
-                [
-                    _check(
-                        "experience_signal_feed_is_available",
-                        m("n") > 0,
-                        m("n"),
-                        " actionable signals",
-                    )
-                ],
+            measured(
+                "gold_signal_feed",
+                _check(
+                    "experience_signal_feed_is_available", m("n") > 0, m("n"),
+                    " actionable signals",
+                ),
             ),
-            _checks(
-                opportunities,
-                {
-                    "n": n,
-                    "bad": F.count_if(_out_of_range("opportunity_score", "confidence_score")),
-                },
-                [
-                    _check(
-                        "opportunity_scores_are_bounded",
-                        (m("n") > 0) & (m("bad") == 0),
-                        m("n"),
-                        " opportunities; ",
-                        m("bad"),
-                        " invalid scores",
-                    )
-                ],
+            measured(
+                "gold_opportunities",
+                _check(
+                    "opportunity_scores_are_bounded", available, m("n"), " opportunities; ",
+                    m("bad"), " invalid scores",
+                ),
             ),
             _lineage_check(
-                "recommendations_have_evidence_and_parent", recommendations, opportunities
+                "recommendations_have_evidence_and_parent",
+                tables["decision_recommendations"],
+                tables["gold_opportunities"],
             ),
             _checks(
-                _orphans(
-                    tables["decision_experiments"].select("recommendation_id"),
-                    recommendations,
-                    "recommendation_id",
-                ),
-                {"n": n, "bad": F.count_if("_orphan")},
+                orphans,
+                {"n": F.count(F.lit(1)), "bad": F.count_if("_orphan")},
                 [
                     _check(
-                        "experiments_require_approved_recommendations",
-                        m("bad") == 0,
-                        m("n"),
-                        " experiments; ",
-                        m("bad"),
-                        " orphaned",
+                        "experiments_require_approved_recommendations", m("bad") == 0, m("n"),
+                        " experiments; ", m("bad"), " orphaned",
                     )
                 ],
             ),

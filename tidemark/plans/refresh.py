@@ -1,12 +1,17 @@
 """The scheduled runs: ingestion, analytics refresh, governance and decision loop.
 
-Stages communicate through stored tables, as separate jobs would: enriched posts are
-computed once and read by six consumers, and no stage recomputes the lineage of another.
+Stages communicate through stored tables, as separate jobs would. Posts and facts are brought up to date
+by the days that new rows touch; no stage recomputes the lineage of another.
 """
 
 from __future__ import annotations
 
-from tidemark.operators import envelope, health, lifecycle, metrics, posts, signals
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.operators import health, lifecycle, metrics, posts, signals
+from tidemark.operators.incremental import DAY, latest_of
+from tidemark.plans import incremental
 from tidemark.plans.warehouse import Warehouse
 from tidemark.streaming import ingest
 
@@ -30,60 +35,37 @@ def ingest_landed(
         )
 
 
-def refresh_bronze(w: Warehouse) -> None:
-    """Quarantine, accepted posts and accepted trends out of the delivered events.
+def refresh_facts(w: Warehouse, as_of) -> list[str]:
+    """Posts, facts and scores of the days that new rows touch, then the marts over them.
 
-    Each event type is read with its own pushed-down filter, so every accepted delivery
-    is shuffled once, for its deduplication.
+    Marts of the current state read window state, hours and counts, never all posts; the days of
+    posts that were rewritten are returned.
     """
-    events = w.table("bronze_social_events")
-    contracts = w.durable("control_event_contracts")
-    registry = w.durable("control_source_registry")
-    w.replace(
-        "bronze_dead_letter_events", envelope.dead_letter(events, contracts, registry)
-    )
-    accepted = {
-        kind: posts.dedup_deliveries(
-            envelope.accept_events(events, contracts, registry, types)
-        )
-        for kind, types in (
-            ("posts", envelope.POST_EVENT_TYPES),
-            ("trends", envelope.TREND_EVENT_TYPES),
-        )
-    }
-    w.replace("bronze_social_posts", envelope.parse_post_payload(accepted["posts"]))
-    w.replace("bronze_social_trends", envelope.parse_trend_payload(accepted["trends"]))
+    days = incremental.refresh_increment(w)
+    trends, challenges = (w.table(f"gold_{kind}_state") for kind in ("trend", "challenge"))
+    w.view("bronze_social_posts", "bronze_accepted_posts", "post_id IS NOT NULL", (DAY, incremental.DELIVERED))
+    named = "trend_name IS NOT NULL AND woeid IS NOT NULL"
+    observed = w.view("bronze_social_trends", "bronze_accepted_trends", named, (DAY,))
+    w.replace("gold_trending_topics", metrics.trending_topics(observed, as_of))
+    trend_now = w.replace("gold_trend_snapshot", newest_state(trends))
+    challenge_now = w.replace("gold_challenge_snapshot", newest_state(challenges))
+    w.replace("gold_executive_kpis", incremental.executive_kpis(w))
+    w.replace("gold_source_health", incremental.source_health(w, as_of))
+    brand = w.table("gold_brand_daily").drop(DAY)
+    w.replace("gold_signal_feed", signals.signal_feed(trend_now, challenge_now, brand))
+    return days
 
 
-def refresh_facts(w: Warehouse, as_of) -> None:
-    """Canonical posts and every fact, snapshot and signal derived from them."""
-    silver = w.replace(
-        "silver_social_posts",
-        posts.silver_posts(w.table("bronze_social_posts")),
-        sort_by=("tenant_id", "created_at"),
-    )
-    w.replace(
-        "gold_trending_topics", metrics.trending_topics(w.table("bronze_social_trends"), as_of)
-    )
-    hourly = w.replace("gold_topic_hourly", metrics.topic_hourly(silver))
-    trends = w.replace("gold_trend_hourly", metrics.trend_hourly(hourly))
-    challenges = w.replace("gold_challenge_hourly", metrics.challenge_hourly(silver))
-    brand = w.replace("gold_brand_daily", metrics.brand_daily(silver))
-    trend_now = w.replace("gold_trend_snapshot", metrics.trend_snapshot(trends))
-    challenge_now = w.replace(
-        "gold_challenge_snapshot", metrics.challenge_snapshot(challenges)
-    )
-    w.replace("gold_executive_kpis", metrics.executive_kpis(silver))
-    w.replace(
-        "gold_source_health",
-        health.source_health(
-            w.table("bronze_social_events"),
-            w.table("bronze_dead_letter_events"),
-            w.durable("control_source_registry"),
-            as_of,
-        ),
-    )
-    w.replace("gold_signal_feed", signals.signal_feed(trend_now, challenge_now, brand))
+def newest_state(states: DataFrame) -> DataFrame:
+    """The latest row of every entity, out of the newest snapshot of its state."""
+    newest = states.agg(F.max(DAY)).scalar()
+    return latest_of(states.filter(F.col(DAY) == newest))
+
+
+def rebuild_facts(w: Warehouse, as_of) -> list[str]:
+    """All facts anew from all ingested rows."""
+    w.drop(*incremental.BUILT, incremental.PROGRESS)
+    return refresh_facts(w, as_of)
 
 
 def refresh_operations(w: Warehouse, as_of) -> None:
@@ -155,7 +137,6 @@ def refresh_decisions(w: Warehouse, as_of) -> None:
 
 def refresh_all(w: Warehouse, as_of) -> None:
     """The full scheduled run after ingestion."""
-    refresh_bronze(w)
     refresh_facts(w, as_of)
     if w.exists("bronze_connector_runs"):
         refresh_operations(w, as_of)

@@ -1,6 +1,7 @@
 """Registered queries over the given tables, and their SQL oracles."""
 
 from tidemark.queries import (  # noqa: F401 - importing registers the queries
+    carried,
     decisions,
     delivery,
     facts,

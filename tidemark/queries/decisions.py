@@ -9,15 +9,17 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from tidemark import schemas
 from tidemark.functions import scoring
-from tidemark.operators import control, lifecycle, metrics, posts, quality
+from tidemark.operators import control, lifecycle, metrics, quality
 from tidemark.operators.envelope import dead_letter
-from tidemark.operators.signals import latest_brand_day, signal_feed
+from tidemark.operators.signals import latest_brand_day
 from tidemark.queries import tables as t
 from tidemark.queries.delivery import health, operations
 from tidemark.queries.facts import opportunity_table
 from tidemark.queries.oracles import six
 from tidemark.queries.registry import query
+from tidemark.queries.stored import Stored
 
 
 # --- control tables ------------------------------------------------------------------
@@ -650,34 +652,29 @@ def evaluate_artifacts(spark, folder):
 # --- checks and alerts ---------------------------------------------------------------
 
 
-def _check_tables(spark, folder):
-    silver = t.silver(spark, folder)
-    deliveries, registry = t.deliveries(spark, folder), t.registry(spark)
-    trends = metrics.trend_hourly(metrics.topic_hourly(silver))
-    challenges = metrics.challenge_snapshot(metrics.challenge_hourly(silver))
-    brand = metrics.brand_daily(silver)
-    return {
-        "control_source_registry": registry,
-        "bronze_social_events": deliveries,
-        "bronze_dead_letter_events": dead_letter(deliveries, t.contracts(spark), registry),
-        "silver_social_posts": silver,
-        "gold_challenge_snapshot": challenges,
-        "gold_brand_daily": brand,
-        "gold_trend_hourly": trends,
-        "gold_model_review_queue": posts.review_queue(silver),
-        "gold_source_health": health(spark, folder),
-        "gold_signal_feed": signal_feed(metrics.trend_snapshot(trends), challenges, brand),
-        "gold_opportunities": _part_opportunities(spark, folder),
-        "decision_recommendations": t.recommendations(spark, folder),
-        "decision_experiments": t.experiments(spark, folder),
-        "gold_connector_operations": operations(spark, folder),
-    }
+def _product_tables(spark, folder) -> Stored:
+    """Tables that several others rest on are stored, and those whose counts are observed instead of scanned."""
+    kept = (
+        "silver_social_posts", "gold_trend_hourly", "gold_trend_snapshot", "gold_challenge_snapshot",
+        "gold_brand_daily", "decision_recommendations",
+    )
+    return Stored(spark, folder, kept, {
+        "gold_opportunities": lambda m: _part_opportunities(spark, folder),
+        "decision_recommendations": lambda m: t.recommendations(spark, folder),
+        "decision_experiments": lambda m: t.experiments(spark, folder),
+        "gold_connector_operations": lambda m: operations(spark, folder),
+    })
 
 
 def _one(name: str, passed: str, detail: str, source: str) -> str:
     return f"SELECT '{name}' AS check_name, {passed} AS passed, {detail} AS detail FROM {source}"
 
 
+# Recommendations beside the opportunity that they name.
+_LINEAGE = """recommendations_v r LEFT JOIN (SELECT 'opp-' || p_partkey AS parent FROM part) o
+  ON o.parent = r.opportunity_id"""
+_BAD_LINEAGE = "count(*) FILTER (o.parent IS NULL OR r.evidence_ref IS NULL)"
+
 _PRODUCT_CHECKS = "\nUNION ALL ".join(
     [
         _one(
@@ -742,16 +739,20 @@ _PRODUCT_CHECKS = "\nUNION ALL ".join(
             "count(*) || ' actionable signals'", "feed_v",
         ),
         _one(
-            "opportunity_scores_are_bounded", "true",
-            "count(*) || ' opportunities; 0 invalid scores'", "part",
+            "opportunity_scores_are_bounded",
+            "count(*) > 0 AND count(*) FILTER (p_size * 2 NOT BETWEEN 0 AND 100) = 0",
+            "count(*) || ' opportunities; ' || count(*) FILTER (p_size * 2 NOT BETWEEN 0 AND 100) "
+            "|| ' invalid scores'", "part",
         ),
         _one(
-            "recommendations_have_evidence_and_parent", "true",
-            "count(*) || ' recommendations; 0 invalid records'", "part",
+            "recommendations_have_evidence_and_parent", f"{_BAD_LINEAGE} = 0",
+            f"count(*) || ' recommendations; ' || {_BAD_LINEAGE} || ' invalid records'", _LINEAGE,
         ),
         _one(
-            "experiments_require_approved_recommendations", "true",
-            "count(DISTINCT l_partkey) || ' experiments; 0 orphaned'", "lineitem",
+            "experiments_require_approved_recommendations",
+            "count(*) FILTER (r.recommendation_id IS NULL) = 0",
+            "count(*) || ' experiments; ' || count(*) FILTER (r.recommendation_id IS NULL) || ' orphaned'",
+            "experiments_v e LEFT JOIN recommendations_v r USING (recommendation_id)",
         ),
     ]
 )
@@ -759,48 +760,93 @@ _PRODUCT_CHECKS = "\nUNION ALL ".join(
 
 @query("product_checks", _PRODUCT_CHECKS)
 def product_checks(spark, folder):
-    return quality.product_checks(_check_tables(spark, folder), t.AS_OF)
-
-
-_EXTERNAL_CHECKS = "\nUNION ALL ".join(
-    [
-        _one(
-            "source_is_registered", "false", "'0 enabled source registrations'",
-            "(SELECT count(*) FROM registry_v)",
-        ),
-        _one(
-            "latest_collection_succeeded",
-            "count(*) FILTER (status = 'SUCCESS' AND run_age_minutes <= 180) = 1",
-            "'status=' || max(status) || ', age_minutes=' || max(run_age_minutes)",
-            "operations_v WHERE tenant_id = 't0' AND source_id = '1-URGENT'",
-        ),
-        _one(
-            "quota_headroom_is_positive", "max(search_calls_remaining) > 0",
-            "'search_remaining=' || max(search_calls_remaining) || ', core_remaining=' "
-            "|| max(core_units_remaining) || ', requests_remaining=-1'",
-            "operations_v WHERE tenant_id = 't0' AND source_id = '1-URGENT'",
-        ),
-        _one(
-            "source_has_delivered_events", "count(*) > 0", "count(*) || ' delivered events'",
-            "deliveries_v WHERE tenant_id = 't0' AND source_id = '1-URGENT'",
-        ),
-        _one(
-            "source_dead_letter_is_empty", "count(*) = 0", "count(*) || ' rejected events'",
-            "dead_letter_v WHERE tenant_id = 't0' AND source_id = '1-URGENT'",
-        ),
-        _one(
-            "decision_records_have_valid_lineage", "true",
-            "count(*) || ' recommendations; 0 invalid records'",
-            "recommendations_v WHERE tenant_id = 't0'",
-        ),
-    ]
-)
+    """Checks of stored tables: most from counts observed while the tables were written."""
+    stored = _product_tables(spark, folder)
+    tables = stored.tables(
+        "control_source_registry", "bronze_social_events", "bronze_dead_letter_events",
+        "silver_social_posts", "gold_challenge_snapshot", "gold_brand_daily", "gold_trend_hourly",
+        "gold_model_review_queue", "gold_source_health", "gold_signal_feed", "gold_opportunities",
+        "decision_recommendations", "decision_experiments",
+    )
+    return quality.product_checks(tables, t.AS_OF, stored.observed())
+
+
+def _external_sql(source: str) -> str:
+    """The six gates; two more sources are registered, one of them switched off."""
+    own = f"WHERE tenant_id = 't0' AND source_id = '{source}'"
+    registered = """(SELECT tenant_id, source_id, enabled FROM registry_v
+      UNION ALL VALUES ('t0', '2-HIGH', true), ('t0', '3-MEDIUM', false))"""
+    return "\nUNION ALL ".join(
+        [
+            _one(
+                "source_is_registered", "count(*) FILTER (enabled) = 1",
+                "count(*) FILTER (enabled) || ' enabled source registrations'", f"{registered} {own}",
+            ),
+            _one(
+                "latest_collection_succeeded",
+                "count(*) FILTER (status = 'SUCCESS' AND run_age_minutes <= 180) = 1",
+                "'status=' || max(status) || ', age_minutes=' || max(run_age_minutes)",
+                f"operations_v {own}",
+            ),
+            _one(
+                "quota_headroom_is_positive", "max(search_calls_remaining) > 0",
+                "'search_remaining=' || max(search_calls_remaining) || ', core_remaining=' "
+                "|| max(core_units_remaining) || ', requests_remaining=-1'", f"operations_v {own}",
+            ),
+            _one(
+                "source_has_delivered_events", "count(*) > 0", "count(*) || ' delivered events'",
+                f"deliveries_v {own}",
+            ),
+            _one(
+                "source_dead_letter_is_empty", "count(*) = 0", "count(*) || ' rejected events'",
+                f"dead_letter_v {own}",
+            ),
+            _one(
+                "decision_records_have_valid_lineage", f"{_BAD_LINEAGE} = 0",
+                f"count(*) || ' recommendations; ' || {_BAD_LINEAGE} || ' invalid records'",
+                f"{_LINEAGE} WHERE r.tenant_id = 't0'",
+            ),
+        ]
+    )
+
+
+def _external(spark, folder, source: str):
+    more = t.registry(spark).filter("tenant_id = 't0' AND source_id = 'src-reddit'")
+    both = F.explode(F.array(
+        F.struct(F.lit("2-HIGH").alias("id"), F.lit(True).alias("on")),
+        F.struct(F.lit("3-MEDIUM").alias("id"), F.lit(False).alias("on")),
+    ))
+    more = more.withColumn("x", both).withColumns(
+        {"source_id": F.col("x.id"), "enabled": F.col("x.on")}
+    ).select(*schemas.SOURCE_REGISTRY.names)
+    deliveries, registry = t.deliveries(spark, folder), t.registry(spark)
+    tables = {
+        "control_source_registry": registry.unionByName(more),
+        "gold_connector_operations": operations(spark, folder),
+        "bronze_social_events": deliveries,
+        "bronze_dead_letter_events": dead_letter(deliveries, t.contracts(spark), registry),
+        "decision_recommendations": t.recommendations(spark, folder),
+        "gold_opportunities": _part_opportunities(spark, folder),
+    }
+    return quality.external_checks(tables, t.TENANT, source)
 
 
-@query("external_checks", _EXTERNAL_CHECKS)
+@query("external_checks", _external_sql("1-URGENT"))
 def external_checks(spark, folder):
     """Gates of a source that runs collections but is not registered."""
-    return quality.external_checks(_check_tables(spark, folder), t.TENANT, "1-URGENT")
+    return _external(spark, folder, "1-URGENT")
+
+
+@query("external_checks_registered", _external_sql("2-HIGH"))
+def external_checks_registered(spark, folder):
+    """Gates of a registered, enabled source."""
+    return _external(spark, folder, "2-HIGH")
+
+
+@query("external_checks_disabled", _external_sql("3-MEDIUM"))
+def external_checks_disabled(spark, folder):
+    """Gates of a source that is registered but switched off."""
+    return _external(spark, folder, "3-MEDIUM")
 
 
 @query(

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scoring, text
 from tidemark.operators import metrics, posts, signals
+from tidemark.plans import read_packs
 from tidemark.queries import tables as t
 from tidemark.queries.oracles import six
 from tidemark.queries.registry import query
+from tidemark.queries.stored import Stored
 
 _HOURLY = (
     "tenant_id, hour_ts, topic, post_count, creator_count, platform_count, geography_count, "
@@ -404,22 +406,8 @@ def extract_hashtags(spark, folder):
       FROM feed_v WHERE tenant_id = 't0' GROUP BY signal_key""",
 )
 def dashboard_measures(spark, folder):
-    from tidemark.plans import read_packs
-    from tidemark.queries.delivery import health
-
-    silver = t.silver(spark, folder)
-    trends = metrics.trend_snapshot(metrics.trend_hourly(metrics.topic_hourly(silver)))
-    challenges = metrics.challenge_snapshot(metrics.challenge_hourly(silver))
-    brand = metrics.brand_daily(silver)
-    return t.plain(
-        read_packs.dashboard_measures(
-            {
-                "gold_trend_snapshot": trends,
-                "gold_challenge_snapshot": challenges,
-                "gold_brand_daily": brand,
-                "gold_source_health": health(spark, folder),
-                "gold_signal_feed": signals.signal_feed(trends, challenges, brand),
-            },
-            t.TENANT,
-        )
-    )
+    """The charted measures over stored marts; the feed rests on three of them."""
+    snapshots = ("gold_trend_snapshot", "gold_challenge_snapshot", "gold_brand_daily")
+    stored = Stored(spark, folder, snapshots)
+    tables = stored.tables(*snapshots, "gold_source_health", "gold_signal_feed")
+    return t.plain(read_packs.dashboard_measures(tables, t.TENANT))

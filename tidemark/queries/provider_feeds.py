@@ -137,6 +137,18 @@ def map_instagram_media(spark, folder):
     return t.plain(rows.select(*_POST, "author_username", "permalink", "media_type"))
 
 
+@query(
+    "unlinked_media",
+    """SELECT tenant_id, post_id AS object_id, 'missing_linked_account' AS reason FROM posts_v
+    WHERE tenant_id = 't1'""",
+)
+def unlinked_media(spark, folder):
+    """The media of a tenant whose page has lost its account."""
+    pages = t.instagram_account_pages(spark).filter("tenant_id <> 't1'")
+    rows = providers.unlinked_media(t.instagram_pages(spark, folder), providers.linked_accounts(pages))
+    return rows.select("tenant_id", "object_id", "reason")
+
+
 _COMMENT = """tenant_id, comment_id AS post_id, role AS author_id, text AS content_text,
   TIMESTAMP '2024-01-10' AS created_at, 0::BIGINT AS views, likes"""
 

@@ -13,7 +13,7 @@ from tidemark.operators.envelope import dead_letter, envelope_to_record
 from tidemark.queries import decisions
 from tidemark.queries import tables as t
 from tidemark.queries.registry import query
-from tidemark.sources import files, marts
+from tidemark.sources import files, tables
 from tidemark.streaming import ingest
 
 _PARTS = """(SELECT 't' || (p_partkey % 3) AS tenant_id, 'opp-' || p_partkey AS opportunity_id,
@@ -86,6 +86,17 @@ def source_status(spark, folder):
     return serving.source_statuses(_statuses(spark, folder), "t0").summary
 
 
+@query(
+    "source_status_items",
+    """SELECT 't0' AS tenant_id, source_id, CASE WHEN status = 'SUCCESS' THEN 'healthy' ELSE 'failing' END
+      AS status, completed_at AS last_success_at
+    FROM runs_v WHERE tenant_id = 't0' AND source_id = '2-HIGH'""",
+)
+def source_status_items(spark, folder):
+    """The status rows of one source behind the verdict."""
+    return t.plain(serving.source_statuses(_statuses(spark, folder), "t0", "2-HIGH").items)
+
+
 @query(
     "tenant_scope",
     "SELECT post_id, platform FROM posts_v WHERE tenant_id = 't1'",
@@ -164,18 +175,18 @@ def table_row_counts(spark, folder):
 
 @query(
     "conform_columns",
-    """SELECT count(*) AS row_count, count(posts_discovered) AS posts_discovered,
-      count(videos_discovered) AS videos_discovered
-    FROM (SELECT *, NULL AS posts_discovered FROM runs_v)""",
+    """SELECT run_id, tenant_id, source_id, completed_at, status, videos_discovered,
+      NULL::BIGINT AS posts_discovered, NULL::BIGINT AS trends_discovered, 'kept' AS note FROM runs_v""",
 )
 def conform_columns(spark, folder):
     """Run records of an older shape, read as the declared one."""
     old = t.runs(spark, folder).drop("posts_discovered", "trends_discovered")
-    rows = files.conform(old, schemas.CONNECTOR_RUN)
-    return rows.agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.count("posts_discovered").alias("posts_discovered"),
-        F.count("videos_discovered").alias("videos_discovered"),
+    rows = files.conform(old.withColumn("note", F.lit("kept")), schemas.CONNECTOR_RUN)
+    return t.plain(
+        rows.select(
+            "run_id", "tenant_id", "source_id", "completed_at", "status", "videos_discovered",
+            F.col("posts_discovered").cast("bigint"), F.col("trends_discovered").cast("bigint"), "note",
+        )
     )
 
 
@@ -188,10 +199,10 @@ def publish_replace(spark, folder):
     hourly = metrics.topic_hourly(t.silver(spark, folder)).select(
         "tenant_id", "topic", "hour_ts", "post_count"
     )
-    mart = files.new_folder(spark, "mart-replace")
-    marts.publish_replace(hourly.filter("topic = 'lifestyle'"), mart)
-    marts.publish_replace(hourly, mart)
-    return t.plain(marts.read_mart(spark, mart))
+    mart = _managed(spark, "gold_topic_hourly")
+    tables.publish_replace(hourly.filter("topic = 'lifestyle'"), mart)
+    tables.publish_replace(hourly, mart)
+    return t.plain(tables.read_mart(spark, mart))
 
 
 @query(
@@ -205,13 +216,28 @@ def publish_merge(spark, folder):
     brand = metrics.brand_daily(t.silver(spark, folder)).select(
         "tenant_id", "metric_date", "brand", "mentions"
     )
-    mart = files.new_folder(spark, "mart-merge")
+    mart = _managed(spark, "gold_brand_daily")
     keys = ("tenant_id", "metric_date", "brand")
-    marts.publish_merge(brand.filter("metric_date < '2024-01-20'"), mart, keys)
+    tables.publish(brand.filter("metric_date < '2024-01-20'"), mart, keys)
     later = brand.filter("metric_date < '2024-01-10' OR metric_date >= '2024-01-20'")
     bonus = F.when(F.col("metric_date") < "2024-01-10", F.lit(1000)).otherwise(F.lit(0))
-    marts.publish_merge(later.withColumn("mentions", F.col("mentions") + bonus), mart, keys)
-    return t.plain(marts.read_mart(spark, mart))
+    tables.publish(later.withColumn("mentions", F.col("mentions") + bonus), mart, keys)
+    return t.plain(tables.read_mart(spark, mart).select(*brand.columns))
+
+
+@query(
+    "merge_by_part",
+    """SELECT run_id, tenant_id, CASE WHEN tenant_id = 't1' THEN 'REVIEWED' ELSE status END AS status
+    FROM runs_v""",
+)
+def merge_by_part(spark, folder):
+    """Runs merged by their id: one tenant's runs are updated, another's are new."""
+    runs = t.runs(spark, folder).select("run_id", "tenant_id", "status")
+    table = _managed(spark, "runs")
+    tables.publish(runs.filter("tenant_id <> 't2'"), table, ["run_id"])
+    reviewed = F.when(F.col("tenant_id") == "t1", F.lit("REVIEWED")).otherwise(F.col("status"))
+    tables.publish(runs.filter("tenant_id <> 't0'").withColumn("status", reviewed), table, ["run_id"])
+    return tables.read_mart(spark, table).select(*runs.columns)
 
 
 @query(
@@ -316,6 +342,53 @@ def stream_runs(spark, folder):
     )
 
 
+@query(
+    "stream_continuous",
+    """SELECT run_id, tenant_id, source_id, completed_at, status, search_calls_remaining
+    FROM runs_v""",
+)
+def stream_continuous(spark, folder):
+    """Run records taken in by a query that goes on while more of them land."""
+    landing, bronze = (files.new_folder(spark, n) for n in ("cont-landing", "cont-bronze"))
+    runs = t.runs(spark, folder)
+    files.land_ndjson(runs.filter("status = 'FAILED'"), landing)
+    stream = ingest.read_json_stream(spark, landing, schemas.CONNECTOR_RUN)
+    running = ingest.append_available(
+        stream, files.new_folder(spark, "cont-checkpoint"), path=bronze, processing_time="100 milliseconds"
+    )
+    try:
+        running.processAllAvailable()
+        files.land_ndjson(runs.filter("status <> 'FAILED'"), landing)
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return t.plain(
+        spark.read.parquet(bronze).select(
+            "run_id", "tenant_id", "source_id", "completed_at", "status", "search_calls_remaining"
+        )
+    )
+
+
+@query(
+    "stream_batches",
+    """SELECT run_id, tenant_id, source_id, completed_at, status, search_calls_remaining
+    FROM runs_v""",
+)
+def stream_batches(spark, folder):
+    """Run records in batches that replace themselves; all of them are replayed from a lost checkpoint."""
+    landing, table = files.new_folder(spark, "batch-landing"), _managed(spark, "runs")
+    files.land_ndjson(t.runs(spark, folder), landing)
+    stream = ingest.read_json_stream(spark, landing, schemas.CONNECTOR_RUN, 1000)
+    for _ in range(2):
+        checkpoint = files.new_folder(spark, "batch-checkpoint")
+        ingest.write_batches(stream, checkpoint, table).awaitTermination()
+    return t.plain(
+        spark.table(table).select(
+            "run_id", "tenant_id", "source_id", "completed_at", "status", "search_calls_remaining"
+        )
+    )
+
+
 @query(
     "stream_malformed",
     """SELECT 'missing_event_id,missing_idempotency_key,missing_tenant_id,missing_source_id,'

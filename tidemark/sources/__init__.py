@@ -1 +1 @@
-"""Landing files, tables, marts and provider JSON."""
+"""Landing files, catalog tables and provider JSON."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import schemas
-
+from tidemark.sources import tables
 
 FILES_PER_TRIGGER = 10_000
 #: Bronze is laid out by day of ingestion, so that a run reads the days it lacks.
@@ -62,6 +62,30 @@ def append_available(
     return writer.toTable(table) if table else writer.start(path)
 
 
+#: Partition of a batch in a table that ``write_batches`` fills.
+BATCH = "batch"
+
+
+def write_batches(
+    stream: DataFrame, checkpoint: str, table: str, processing_time: str | None = None
+):
+    """Write every micro-batch as a partition of its own, named by its number; the started query.
+
+    A batch that Spark replays, because a run was lost between writing and noting it, replaces its
+    own partition: the table holds every batch exactly once. Without ``processing_time`` the query takes in
+    what has landed and stops; with it, it goes on, a batch per interval.
+    """
+
+    def write(rows: DataFrame, number: int) -> None:
+        part = f"{number:012d}"
+        tables.overwrite_parts(rows.withColumn(BATCH, F.lit(part)), table, BATCH, [part])
+        stream.sparkSession.catalog.refreshTable(table)  # batches run in a session of their own
+
+    trigger = {"processingTime": processing_time} if processing_time else {"availableNow": True}
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(**trigger).start()
+
+
 def _drain(stream: DataFrame, checkpoint: str, table: str | None, path: str | None) -> None:
     append_available(stream, checkpoint, table=table, path=path).awaitTermination()
 
