@@ -94,18 +94,32 @@ def test_training_raises_the_likelihood_and_beats_the_base(spark, folder):
     assert rows.score.sum() > rows.base_score.sum()
 
 
-def test_symbol_probabilities_sum_to_one(spark, folder):
-    """Over all training words and one unseen word per class."""
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    totals = hmm_scoring.word_totals(hmm_scoring.corpus_blocks(docs))
-    symbols = hmm_scoring.alphabet(totals, frequent=50, buckets=20)
-    rows = [(bytes(r.word), r.c) for r in totals.filter("c > 0").collect()]
-    own = symbols.symbols([w for w, _ in rows])
-    share = 10 ** symbols.within(own, np.array([c for _, c in rows]))
-    sums = np.bincount(own, share, minlength=len(symbols.totals))
-    unseen = 1 / (symbols.totals + symbols.kinds + 1)
-    unseen[: len(symbols.frequent)] = 0
-    assert np.allclose(sums + unseen, 1)
+def test_chunks_and_stretches_change_no_count(small_model, monkeypatch):
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(1, 40, 60)
+    symbols = rng.integers(0, 5, lengths.sum())
+    whole = hmm_scoring._gathered(small_model, symbols, lengths)
+    exact = hmm_scoring.expected_counts(small_model, symbols, lengths, np.ones(60, bool))
+    assert all(np.allclose(a, b, rtol=1e-4) for a, b in zip(whole, exact))
+    monkeypatch.setattr(hmm_scoring, "CHUNK", 70)
+    assert all(np.allclose(a, b, rtol=1e-4) for a, b in zip(hmm_scoring._gathered(small_model, symbols, lengths), exact))
+    cut, opening = hmm_scoring._stretches(np.array([1, 1024, 1025, 3000]))
+    assert cut.tolist() == [1, 1024, 1024, 1, 1024, 1024, 952] and opening.tolist() == [True] * 3 + [False, True, False, False]
+
+
+def learned_words(blocks, symbols, model):
+    """(probability by state, count, expected counts) of every word of the blocks, as the scores see them."""
+    news, out = model.news.toPandas(), {}
+    fixed = hmm_scoring.WordModel(model.symbols, model.sums, None)
+    for _, block in blocks.toPandas().iterrows():
+        own, counts, sums = hmm_scoring.block_words(
+            block, news[news["at"] == block.block], symbols, len(model.symbols.start)
+        )
+        emits = hmm_scoring.word_emissions(own, counts, sums, symbols, fixed)
+        for word, *found in zip(map(bytes, block.words), emits, counts, sums):
+            assert word not in out or all(np.array_equal(a, b) for a, b in zip(found, out[word]))
+            out[word] = found
+    return out
 
 
 def test_every_training_word_is_learned_by_state(spark, folder):
@@ -116,27 +130,47 @@ def test_every_training_word_is_learned_by_state(spark, folder):
         blocks = hmm_scoring.corpus_blocks(docs.coalesce(1), size)
         totals = hmm_scoring.word_totals(blocks)
         symbols = hmm_scoring.alphabet(totals, frequent=50, buckets=20)
-        known, model, fits = hmm_scoring.links(blocks), hmm_scoring.first_model(symbols), []
-        for _ in range(3):
-            model, fit = hmm_scoring.word_step(blocks, known, symbols, model)
-            fits.append(fit)
-        assert fits == sorted(fits) and np.allclose(model.moves.sum(1), 1)
-        news, learned, counts = model.counts.toPandas(), {}, {}
-        for _, block in blocks.toPandas().iterrows():
-            own, sums, _ = hmm_scoring._news(block, news[news["at"] == block.block], len(model.start))
-            learned.update(zip(map(bytes, block.words), sums))
-            counts.update(zip(map(bytes, block.words), own))
+        known = hmm_scoring.links(blocks, symbols)
+        coarse = hmm_scoring.train(blocks, symbols, rounds=3)
+        model = hmm_scoring.word_counts(blocks, known, symbols, coarse)
+        words = learned_words(blocks, symbols, model)
         want = {bytes(r.word): r.c for r in totals.collect()}
-        assert counts == want and len(want) > 200
-        assert np.allclose([learned[w].sum() for w in want], list(want.values()), rtol=1e-4, atol=1e-4)
-        seen = [w for w in want if want[w]]
-        emits = hmm_scoring._word_emissions(
-            np.array([learned[w] for w in seen] + [np.zeros(len(model.start))]),
-            np.array([want[w] for w in seen] + [0]), model.share, symbols.tokens, symbols.distinct,
-        )
-        assert np.allclose(emits.sum(0), 1, rtol=1e-4)
-        found.append(np.array([learned[w] for w in sorted(want)]))
-    assert blocks.count() == 1 and np.allclose(*found, rtol=1e-2, atol=1e-2)
+        assert {w: x[1] for w, x in words.items()} == want and len(want) > 200
+        rare = [w for w in want if w not in symbols.frequent and want[w]]
+        assert len(rare) > 100
+        assert np.allclose([words[w][2].sum() for w in rare], [want[w] for w in rare], rtol=2e-4)
+        classes = symbols.symbols(rare) - len(symbols.frequent)
+        sums = np.zeros((symbols.buckets, 6))
+        np.add.at(sums, classes, np.array([words[w][0] for w in rare]))
+        shares = hmm_scoring.class_shares(symbols, coarse)
+        unseen = coarse.emits[len(symbols.frequent) :] * shares / model.sums
+        # All rare words and the slot for unseen ones share what the class has.
+        assert np.allclose(sums + unseen, coarse.emits[len(symbols.frequent) :], rtol=1e-6)
+        found.append((coarse, np.array([words[w][0] for w in sorted(want)])))
+    assert blocks.count() == 1 and np.allclose(found[0][0].emits, found[1][0].emits, rtol=1e-3, atol=1e-9)
+    assert np.allclose(found[0][1], found[1][1], rtol=2e-2, atol=1e-9)
+
+
+def test_scores_match_a_plain_forward_recursion(spark, corpus, plain):
+    """The whole run beside a word-by-word forward recursion under the emissions that were learned."""
+    blocks = hmm_scoring.corpus_blocks(corpus, 1 << 14)
+    symbols = hmm_scoring.alphabet(hmm_scoring.word_totals(blocks), frequent=30, buckets=10)
+    coarse = hmm_scoring.train(blocks, symbols, rounds=2)
+    model = hmm_scoring.word_counts(blocks, hmm_scoring.links(blocks, symbols), symbols, coarse)
+    words = learned_words(blocks, symbols, model)
+
+    def score(text):
+        total, now = 0.0, coarse.start
+        for i, word in enumerate(x.encode() for x in tokens(text)):
+            now = (now if i == 0 else now @ coarse.moves) * words[word][0]
+            total += math.log10(now.sum())
+            now = now / now.sum()
+        return total
+
+    got = sorted((r.n_tokens, r.score) for r in hmm_scoring.scored(blocks, symbols, model).collect())
+    want = sorted((len(tokens(t)), score(t)) for _, t in plain)
+    assert len(got) == len(want)
+    assert all(a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-9) for a, b in zip(got, want))
 
 
 def test_training_goes_on_until_the_gain_is_small():
@@ -189,3 +223,37 @@ def test_language_without_examples_or_rows(corpus, nothing):
 def test_families_come_before_languages():
     names = language.machines(["de", "en", "es", "fr", "xx"])
     assert names == [("germanic",), ("only-xx",), ("romance",), ("de", "en"), ("es", "fr")]
+    names = language.machines(["hi", "mr", "pt-BR", "pt-PT", "zh", "ja"])
+    assert ("hi", "mr") in names and ("pt-BR", "pt-PT") in names and ("zh", "ja") in names
+    assert language.family_of("tr") == language.family_of("az") and language.family_of("qq") == "only-qq"
+
+
+def test_only_the_winning_family_is_asked_for_its_pairs():
+    """Labels and scores beside an evaluation of every machine on every text."""
+    rng = np.random.default_rng(3)
+    languages = ("de", "en", "es", "fr", "it", "qq")
+    names = tuple(language.machines(list(languages)))
+    model = language.LanguageModel(
+        languages, names, rng.normal(size=(len(names), len(language.GROUPS) << language.BITS)).astype(np.float32),
+        rng.normal(size=len(names)),
+    )
+    words = ["amber", "brook", "Größe", "été", "дом", "x"]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 9))) for _ in range(60)] + ["", None, "12"]
+
+    def chance(name, text):
+        numbers, values = language.features(text)
+        n = names.index(name)
+        return 1 / (1 + math.exp(-language.STEEPNESS * (float(model.weights[n][numbers] @ values) + model.bias[n])))
+
+    labels, scores = model.predict(texts)
+    assert labels[-3:] == ["und"] * 3 and scores[-3:] == [0.0] * 3
+    for text, label, score in zip(texts[:-3], labels, scores):
+        families = sorted({language.family_of(x) for x in languages})
+        sure = [chance((f,), text) for f in families]
+        family = families[int(np.argmax(sure))]
+        members = [x for x in languages if language.family_of(x) == family]
+        votes = {x: sum(chance(p, text) if p[0] == x else 1 - chance(p, text)
+                        for p in itertools.combinations(members, 2) if x in p) for x in members}
+        best = max(members, key=lambda x: votes[x])
+        level = votes[best] / (len(members) - 1) if len(members) > 1 else 1.0
+        assert label == best and math.isclose(score, max(sure) / sum(sure) * level, rel_tol=1e-3)

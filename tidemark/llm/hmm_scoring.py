@@ -5,18 +5,20 @@ block, the token ids over the block's own vocabulary together with that vocabula
 counts. Words then meet their corpus-wide counts once per block that holds them, not once per
 token, and no task ever holds the vocabulary of the corpus.
 
-*Model.* Every state has a probability of its own for every training word, and one for all words never
-seen: (E + p q) / (S + p) with E the expected count of the word in the state, S that of all words, q the
-word's share (c + 1) / (C + V + 1) and p pseudo-counts. The counts E are a table by word and state
-that grows with the vocabulary; just the start and move matrices and S pass the driver.
+*Model.* A state emits symbols: each of the `FREQUENT` commonest words is one, all others share `BUCKETS` hash
+classes. Inside of its class every training word has a probability of its own in every state: it follows from
+J = (c + 1) (E + k r) / (c + k), with c its training count, E its expected count in the state, r the share of
+the state in its class and k = `SHRINK`; so a rare word leans on its class and a commoner one on its own counts.
+One slot in each class is for all words never seen. The counts E are a table by word and state that grows with
+the vocabulary; the symbols' table, start and moves, and the sums of J by class and state are of fixed size.
 
 *Training.* Baum-Welch: every task runs the scaled forward-backward recursion over its blocks. All training
 documents take part in every round; long ones as stretches of `STRETCH` tokens, whose first state follows
-the overall occupancy of the states. The first rounds part the states by a coarse model of fixed size, in
-which rare words share `BUCKETS` hash classes (`Alphabet`). The rounds that follow gather the counts of
-every word: a block keeps those of words that no other block holds, all others are added by word, in
-`links` that say which places of the blocks' vocabularies are the same word, and return to each block.
-Both kinds of rounds go on until one gains less than `TOLERANCE` of the log likelihood.
+the overall occupancy of the states. Rounds over the symbols part the states and go on until one gains less
+than `TOLERANCE` of the log likelihood. A last pass gathers E for every word: a block keeps those of words that
+no other block holds; the others are added up by word along `links`, which say where in the blocks'
+vocabularies a word stands, and return to each block. They travel as shares of the word's count in 16 bits.
+Blocks lie in buckets, so that messages come to them and they do not move.
 
 *Score.* The scaled forward recursion over the whole text, end included: its exact log10 probability.
 
@@ -38,13 +40,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, settle, sliced, texts
+from tidemark.llm.common import held_out, settle, shared_folder, sliced, texts
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
+#: Tokens that run through the recursions side by side.
+CHUNK = 1 << 20
 STATES = 6
 #: Least rounds; more follow until one gains less than TOLERANCE of the log likelihood.
 ROUNDS = 3
-WORD_ROUNDS = 2
 TOLERANCE = 0.005
 FREQUENT = 1 << 15
 BUCKETS = 1 << 12
@@ -53,6 +56,7 @@ PIECE = 1024
 PART_WORDS = 1 << 19
 PARTS = 64
 PRIOR = 1.0
+SHRINK = 2.0
 SEED = 11
 
 BLOCKS = (
@@ -100,18 +104,28 @@ def corpus_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, out=None) ->
 
     out = held_out(7, 2) if out is None else out
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held"), texts())
-    return settle(read.mapInArrow(encode, BLOCKS))
+    size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return _bucketed(read.mapInArrow(encode, BLOCKS), max(8, -(-size // block_bytes)))
 
 
-def _packed(ids: np.ndarray) -> bytes:
-    """Ids as compressed byte planes: all lowest bytes first, the nearly empty high ones last."""
-    planes = np.ascontiguousarray(ids.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+def _bucketed(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Blocks as a scratch table bucketed by their number: what joins them on it moves alone."""
+    spark, folder = blocks.sparkSession, shared_folder(blocks.sparkSession)
+    name = "llm_blocks_" + folder.rsplit("-", 1)[1]
+    blocks.write.bucketBy(buckets, "block").option("path", folder).saveAsTable(name)
+    return spark.table(name)
+
+
+def _packed(values: np.ndarray, kind: str = "<i4") -> bytes:
+    """Numbers as compressed byte planes: all lowest bytes first, the nearly empty high ones last."""
+    planes = np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T)
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def _tokens(ids: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(ids), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+def _tokens(packed: bytes, kind: str = "<i4") -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    planes = planes.reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def word_totals(blocks: DataFrame) -> DataFrame:
@@ -130,10 +144,15 @@ class Alphabet:
     totals: np.ndarray  # training tokens per symbol
     kinds: np.ndarray  # distinct training words per symbol
 
+    @property
+    def buckets(self) -> int:
+        return len(self.totals) - len(self.frequent)
+
     def symbols(self, words: list[bytes]) -> np.ndarray:
-        low, buckets = len(self.frequent), len(self.totals) - len(self.frequent)
-        get = self.frequent.get
-        return np.array([get(w, -1) if w in self.frequent else low + zlib.crc32(w) % buckets for w in words], np.int64)
+        low, get = len(self.frequent), self.frequent.get
+        known = np.array([get(w, -1) for w in words], np.int64)
+        classes = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % self.buckets
+        return np.where(known < 0, low + classes, known)
 
     def within(self, symbols: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """log10 probability of each word within its symbol; a frequent word is its symbol."""
@@ -192,60 +211,94 @@ def _base(symbols: Alphabet) -> np.ndarray:
     return (symbols.totals + 1) / (symbols.totals + 1).sum()
 
 
-def forward(model: Model, symbols: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> tuple:
-    """Scaled forward recursion of many sequences side by side.
+def _laid_out(lengths: np.ndarray) -> tuple:
+    """Order of work of many sequences side by side, longest first.
 
-    `first` has the distribution of each sequence's first state. Returns the scaled forward
-    probabilities, the scales, the emissions and the order of work (starts, sequences live per step).
+    Returns the order, how many sequences live at each step, where each step begins, and the place of
+    every token when all first tokens come first, then all second ones, and so on.
     """
-    ends = np.cumsum(lengths)
     order = np.argsort(-lengths, kind="stable")
-    starts = (ends - lengths)[order]
-    live = np.searchsorted(-lengths[order], -np.arange(int(lengths.max())), side="left").tolist()
-    emits = model.emits[symbols]
-    alpha, scale = np.empty_like(emits), np.empty(len(symbols))
-    now = first[order]
+    live = np.searchsorted(-lengths[order], -np.arange(int(lengths.max())), side="left")
+    offsets = np.concatenate([[0], np.cumsum(live)])
+    rank = np.empty(len(lengths), np.int64)
+    rank[order] = np.arange(len(lengths))
+    step = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return order, live.tolist(), offsets.tolist(), offsets[step] + np.repeat(rank, lengths)
+
+
+def forward(model: Model, symbols: np.ndarray, lengths: np.ndarray, first: np.ndarray, kind=np.float64) -> tuple:
+    """Scaled forward recursion of many sequences side by side, states by tokens in the order of work.
+
+    `first` has the distribution of each sequence's first state. Returns the scaled forward probabilities,
+    the scales, the emissions, the symbols in the order of work, and that order.
+    """
+    layout = order, live, offsets, to = _laid_out(lengths)
+    laid = np.empty(len(symbols), np.int64)
+    laid[to] = symbols
+    emits = np.take(np.ascontiguousarray(model.emits.T, kind), laid, axis=1)
+    alpha, scale = np.empty_like(emits), np.empty(len(symbols), kind)
+    now, moves = np.ascontiguousarray(first[order].T, kind), np.ascontiguousarray(model.moves.T, kind)
     for step, n in enumerate(live):
-        at = starts[:n] + step
-        now = (now if step == 0 else now[:n] @ model.moves) * emits[at]
-        total = now.sum(1)
-        now /= total[:, None]
-        alpha[at], scale[at] = now, total
-    return alpha, scale, emits, starts, live
+        at = slice(offsets[step], offsets[step] + n)
+        now = (now if step == 0 else moves @ now[:, :n]) * emits[:, at]
+        total = now.sum(0)
+        now /= total
+        alpha[:, at], scale[at] = now, total
+    return alpha, scale, emits, laid, layout
 
 
 def log10_probability(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """log10 probability of each sequence of symbols."""
     first = np.broadcast_to(model.start, (len(lengths), len(model.start)))
-    scale = forward(model, symbols, lengths, first)[1]
-    return np.add.reduceat(np.log10(scale), np.cumsum(lengths) - lengths)
+    _, scale, _, _, (_, _, _, to) = forward(model, symbols, lengths, first)
+    return np.add.reduceat(np.log10(scale)[to], np.cumsum(lengths) - lengths)
 
 
-def expected_counts(model: Model, symbols: np.ndarray, lengths: np.ndarray, opening: np.ndarray) -> tuple:
+def expected_counts(
+    model: Model, symbols: np.ndarray, lengths: np.ndarray, opening: np.ndarray, kind=np.float64
+) -> tuple:
     """Baum-Welch counts: first states, moves, emissions (symbol x state), log10 probability.
 
     `opening` says which sequences open a text; the others follow the states' occupancy.
     """
     first = np.where(opening[:, None], model.start, model.occupancy)
-    alpha, scale, emits, starts, live = forward(model, symbols, lengths, first)
-    moves, later = np.zeros_like(model.moves), np.zeros((0, model.moves.shape[0]))
-    gamma = alpha.copy()
+    gamma, scale, emits, laid, (order, live, offsets, _) = forward(model, symbols, lengths, first, kind)
+    states, matrix = len(model.start), np.ascontiguousarray(model.moves, kind)
+    moves, later = np.zeros((states, states)), np.zeros((states, 0), kind)
     for step in range(len(live) - 1, -1, -1):
-        n, before = live[step], starts[: live[step]] + step
-        beta = np.ones((n, model.moves.shape[0]))
-        if len(later):
-            moves += alpha[before[: len(later)]].T @ later
-            beta[: len(later)] = later @ model.moves.T
-        gamma[before] *= beta
-        later = emits[before] * beta / scale[before, None]
-    heads = (np.cumsum(lengths) - lengths)[opening]
-    emitted = np.stack(
-        [np.bincount(symbols, gamma[:, k], minlength=len(model.emits)) for k in range(gamma.shape[1])], 1
-    )
-    return gamma[heads].sum(0), moves * model.moves, emitted, float(np.log10(scale).sum())
-
-
-def _stretches(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, at = live[step], slice(offsets[step], offsets[step] + live[step])
+        beta, alive = np.ones((states, n), kind), later.shape[1]
+        if alive:
+            moves += gamma[:, offsets[step] : offsets[step] + alive] @ later.T
+            beta[:, :alive] = matrix @ later
+        gamma[:, at] *= beta
+        later = emits[:, at] * beta / scale[at]
+    heads = gamma[:, : len(order)][:, opening[order]].sum(1, dtype=float)
+    emitted = np.stack([np.bincount(laid, g, minlength=len(model.emits)) for g in gamma], 1)
+    return heads, moves * model.moves, emitted, float(np.log10(scale, dtype=float).sum())
+
+
+def _chunks(lengths: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """Runs of sequences of about CHUNK tokens, and their tokens."""
+    ends, first = np.cumsum(lengths), 0
+    while first < len(lengths):
+        before = int(ends[first] - lengths[first])
+        last = max(first + 1, int(np.searchsorted(ends, before + CHUNK, side="right")))
+        yield slice(first, last), slice(before, int(ends[last - 1]))
+        first = last
+
+
+def _gathered(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> tuple:
+    """Expected counts of whole texts, cut into stretches."""
+    cut, opening = _stretches(lengths)
+    found = None
+    for some, tokens in _chunks(cut):
+        own = expected_counts(model, symbols[tokens], cut[some], opening[some], np.float32)
+        found = own if found is None else tuple(a + b for a, b in zip(found, own))
+    return found
+
+
+def _stretches(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lengths of the training stretches and whether each opens a text."""
     pieces = -(-lengths // STRETCH)
     opening = np.zeros(int(pieces.sum()), bool)
@@ -271,8 +324,7 @@ def _step(blocks: DataFrame, symbols: Alphabet, model: Model) -> tuple[Model, fl
                 if not len(tokens):
                     continue
                 own = symbols.symbols(row["words"])[tokens]
-                cut, opening = _stretches(own, lengths[keep])
-                first, moves, emits, fit = expected_counts(model, own, cut, opening)
+                first, moves, emits, fit = _gathered(model, own, lengths[keep])
                 emitted += emits
                 head += np.vstack([first, moves])
                 loglik += fit
@@ -325,195 +377,210 @@ def train(blocks: DataFrame, symbols: Alphabet, states: int = STATES, rounds: in
     return _until_settled(lambda m: _step(blocks, symbols, m), model, ROUNDS, rounds)
 
 
-def links(blocks: DataFrame) -> DataFrame:
-    """Words of several blocks: their places in each block's vocabulary, and a number of each word in its part.
+LINKS = "part INT, at LONG, codes BINARY, owns BINARY, places BINARY"
+NEWS = "at LONG, part INT, places BINARY, totals BINARY, sums BINARY"
+SHARES = 65_535
 
-    `totals` has the training counts of these words over the corpus. A part holds about `PART_WORDS` places.
+
+def links(blocks: DataFrame, symbols: Alphabet) -> DataFrame:
+    """Rare words of several blocks, in parts of about `PART_WORDS` places by hash of the word.
+
+    A row of a block has the words' numbers in the part, their training counts in the block and their places
+    in its vocabulary; the row with `at` -1 has count and class of each word over the corpus. Frequent
+    words are left out, so no word is in more blocks than it has tokens below that bar.
     """
-    places = blocks.agg(F.sum(F.size("words")).alias("n")).first().n or 0
-    parts = max(PARTS, -(-places // PART_WORDS))
+    spark, buckets = blocks.sparkSession, symbols.buckets
     spots = blocks.select(F.col("block").alias("at"), F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x"))
-    part = F.pmod(F.xxhash64("x.words"), F.lit(parts)).cast("int").alias("part")
-    spots = spots.select(part, "at", "place", F.col("x.words").alias("word"), F.col("x.counts").alias("own"))
+    frequent = spark.createDataFrame([(bytearray(w),) for w in symbols.frequent], "word BINARY")
+    spots = spots.select("at", "place", F.col("x.words").alias("word"), F.col("x.counts").alias("own"))
+    spots = spots.join(F.broadcast(frequent), "word", "left_anti")  # at most FREQUENT words
+    places = blocks.agg(F.sum(F.size("words")).alias("n")).first().n or 0
+    part = F.pmod(F.xxhash64("word"), F.lit(max(PARTS, -(-places // PART_WORDS)))).cast("int").alias("part")
 
     def number(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["at", "place"])
-        codes, _ = pd.factorize(rows.word)
+        codes, words = pd.factorize(rows.word)
         totals = np.bincount(codes, rows.own).astype(np.int64)
-        shared = (np.bincount(codes)[codes] > 1) & (totals[codes] > 0)
-        codes, at, place = codes[shared], rows["at"].to_numpy()[shared], rows.place.to_numpy()[shared]
-        heads = np.flatnonzero(np.diff(at, prepend=-1)) if len(at) else []
-        cut = lambda x, kind: [p.astype(kind).tobytes() for p in np.split(x, heads[1:])] if len(at) else []
+        shared = (np.bincount(codes) > 1) & (totals > 0)
+        renumbered = np.cumsum(shared) - 1
+        kept = shared[codes]
+        codes, at = renumbered[codes[kept]], rows["at"].to_numpy()[kept]
+        own, place = rows.own.to_numpy()[kept], rows.place.to_numpy()[kept]
+        heads = np.flatnonzero(np.diff(at, prepend=-1)) if len(at) else np.zeros(0, np.int64)
+        cut = lambda x, kind: [_packed(p, kind) for p in np.split(x, heads[1:])] if len(at) else []
+        classes = np.array([zlib.crc32(w) % buckets for w in words[shared]], np.int64)
         return pd.DataFrame(
             {
-                "part": np.full(len(heads), rows.part.iloc[0], np.int32),
-                "at": at[heads] if len(at) else np.zeros(0, np.int64),
-                "codes": cut(codes, "<i4"),
-                "places": cut(place, "<i4"),
-                "totals": cut(totals[codes], "<i8"),
+                "part": np.full(len(heads) + 1, rows.part.iloc[0], np.int32),
+                "at": np.append(at[heads], -1),
+                "codes": [*cut(codes, "<i4"), None],
+                "owns": [*cut(own, "<i8"), _packed(totals[shared], "<i8")],
+                "places": [*cut(place, "<i4"), _packed(classes)],
             }
         )
 
-    schema = "part INT, at LONG, codes BINARY, places BINARY, totals BINARY"
-    return settle(spots.groupBy("part").applyInPandas(number, schema))
-
+    return settle(spots.select(part, "at", "place", "word", "own").groupBy("part").applyInPandas(number, LINKS))
 
-@dataclass(frozen=True)
-class WordModel:
-    """Start and moves, expected tokens per state, and the counts by word as messages to the blocks."""
-
-    start: np.ndarray
-    occupancy: np.ndarray
-    moves: np.ndarray
-    share: np.ndarray
-    counts: DataFrame  # at, part, places, totals, sums; part -1 has the words of this block alone
 
+def _shares(sums: np.ndarray, counts: np.ndarray) -> bytes:
+    """Expected counts by state as shares of the count, in 16 bits each."""
+    part = sums / np.maximum(counts, 1)[:, None]
+    return _packed(np.clip(np.rint(part * SHARES), 0, SHARES).ravel(), "<u2")
 
-NEWS = "at LONG, part INT, places BINARY, totals BINARY, sums BINARY"
 
+def _sums(shares: bytes, counts: np.ndarray, states: int) -> np.ndarray:
+    return _tokens(shares, "<u2").reshape(-1, states) * (counts[:, None] / SHARES)
 
-def _news(block: pd.Series, news: pd.DataFrame, states: int) -> tuple:
-    """Corpus-wide counts and expected counts of a block's vocabulary, and the places of each message."""
-    counts, places = np.array(block.counts, float), {}
-    sums, alone = np.zeros((len(counts), states), "<f4"), np.ones(len(counts), bool)
-    at_home = None
-    for row in news.itertuples():
-        if row.part < 0:
-            at_home = row.sums
-            continue
-        own = places[row.part] = np.frombuffer(row.places, "<i4")
-        counts[own], alone[own] = np.frombuffer(row.totals, "<i8"), False
-        if row.sums is not None:
-            sums[own] = np.frombuffer(row.sums, "<f4").reshape(-1, states)
-    places[-1] = np.flatnonzero(alone)
-    if at_home is not None:
-        sums[alone] = np.frombuffer(at_home, "<f4").reshape(-1, states)
-    return counts, sums, places
 
+def class_shares(symbols: Alphabet, model: Model) -> np.ndarray:
+    """Share of each state in each class of rare words."""
+    joint = model.emits[len(symbols.frequent) :] * model.occupancy
+    return joint / joint.sum(1, keepdims=True)
 
-def _word_emissions(sums: np.ndarray, counts: np.ndarray, share: np.ndarray, tokens: int, distinct: int) -> np.ndarray:
-    """Probability of each word in each state; all words never seen are one. PRIOR as in the coarse rounds."""
-    prior = PRIOR * (distinct + 1) * share / share.sum()
-    return (sums + np.outer((counts + 1) / (tokens + distinct + 1), prior)) / (share + prior)
 
+def _leaning(sums: np.ndarray, counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """J of words from expected counts, counts and the shares of their class; a word never seen has those of its class."""
+    own = (sums + SHRINK * shares) / (counts + SHRINK)[:, None]
+    return (counts + 1)[:, None] * own
 
-def _emissions_of(symbols: Alphabet, model: Model | WordModel):
-    """Function of (block, counts, sums) with the emissions of a block's vocabulary."""
-    if isinstance(model, Model):
 
-        def emissions(block: pd.Series, counts: np.ndarray, sums: np.ndarray) -> np.ndarray:
-            own = symbols.symbols(list(block.words))
-            return model.emits[own] * 10 ** symbols.within(own, counts)[:, None]
+@dataclass(frozen=True)
+class WordModel:
+    """The symbols' model, the sums of J by class and state, and the counts by word as messages to the blocks."""
 
-        return emissions
-    share, tokens, distinct = model.share, symbols.tokens, symbols.distinct
-    return lambda block, counts, sums: _word_emissions(sums, counts, share, tokens, distinct)
+    symbols: Model
+    sums: np.ndarray
+    news: DataFrame  # at, part, places, totals, sums; part -1 has the words of this block alone
 
 
-def _with_news(blocks: DataFrame, known: DataFrame, model: Model | WordModel, columns: list[str]):
-    """Blocks beside the messages for them. Only the coarse model has to see the words."""
-    if isinstance(model, Model):
-        columns = [*columns, "words"]
-        news = known.select("at", "part", "places", "totals", F.lit(None).cast("binary").alias("sums"))
-    else:
-        news = model.counts
-    return blocks.select("block", *columns).groupBy("block").cogroup(news.groupBy("at"))
+def _by_class(classes: np.ndarray, values: np.ndarray, buckets: int) -> np.ndarray:
+    return np.stack([np.bincount(classes, v, minlength=buckets) for v in values.T], 1)
 
 
-def word_step(blocks: DataFrame, known: DataFrame, symbols: Alphabet, model: Model | WordModel) -> tuple[WordModel, float]:
-    """One Baum-Welch round that gathers expected counts of every training word in every state."""
-    states, emissions = len(model.start), _emissions_of(symbols, model)
-    start, occupancy, transitions = model.start, model.occupancy, model.moves
+def word_counts(blocks: DataFrame, known: DataFrame, symbols: Alphabet, model: Model) -> WordModel:
+    """Expected counts of every training word in every state, gathered under a model of the symbols."""
+    states, low, buckets = len(model.start), len(symbols.frequent), symbols.buckets
+    shares = class_shares(symbols, model)
 
-    def count(block: pd.DataFrame, news: pd.DataFrame) -> pd.DataFrame:
+    def count(block: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
         row = block.iloc[0]
-        counts, sums, places = _news(row, news, states)
+        own, counts = symbols.symbols(list(row.words)), np.asarray(row.counts, np.int64)
         keep, lengths = ~np.array(row.held, bool), np.asarray(row.lengths, np.int64)
         tokens = _tokens(row.ids)[np.repeat(keep, lengths)]
-        head, loglik, emitted = np.zeros((states + 2, states)), 0.0, np.zeros_like(sums)
+        emitted = np.zeros((len(own), states))
         if len(tokens):
-            own = Model(start, occupancy, transitions, emissions(row, counts, sums))
-            cut, opening = _stretches(tokens, lengths[keep])
-            first, moves, emits, loglik = expected_counts(own, tokens, cut, opening)
-            emitted = emits.astype("<f4")
-            head = np.vstack([first, moves, emitted.sum(0, dtype=float)])
-        parts = sorted(places)
-        return pd.DataFrame(
-            {
-                "at": row.block,
-                "part": [-2, *parts],
-                "sums": [np.append(head.ravel(), loglik).tobytes(), *(emitted[places[p]].tobytes() for p in parts)],
-            }
-        )
-
-    found = _with_news(blocks, known, model, ["held", "lengths", "ids", "counts"])
+            local = Model(model.start, model.occupancy, model.moves, model.emits[own])
+            emitted = _gathered(local, tokens, lengths[keep])[2]
+        alone = (own >= low) & (counts > 0)
+        out = []
+        for part, packed in zip(places.part, places.places):
+            at = _tokens(packed)
+            alone[at] = False
+            out.append((int(part), _shares(emitted[at], counts[at])))
+        home = _shares(emitted[alone], counts[alone])
+        leaning = _leaning(_sums(home, counts[alone], states), counts[alone], shares[own[alone] - low])
+        heads = _by_class(own[alone] - low, leaning, buckets)
+        out += [(-1, home), (-2, heads.tobytes())]
+        return pd.DataFrame({"at": row.block, "part": [p for p, _ in out], "sums": [x for _, x in out]})
+
+    columns = ["block", "held", "lengths", "ids", "words", "counts"]
+    theirs = known.filter("at >= 0").select("at", "part", "places")
+    found = blocks.select(*columns).groupBy("block").cogroup(theirs.groupBy("at"))
     found = settle(found.applyInPandas(count, "at LONG, part INT, sums BINARY"))
 
+    def add(place: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+        heads = place[place["at"] < 0]
+        if not len(heads):
+            return pd.DataFrame({"at": [], "part": [], "totals": [], "sums": []})
+        counts, classes = _tokens(heads.owns.iloc[0], "<i8"), _tokens(heads.places.iloc[0])
+        total = np.zeros((len(counts), states))
+        place, got = place[place["at"] >= 0].sort_values("at"), dict(zip(sums["at"], sums.sums))
+        codes = [_tokens(x) for x in place.codes]
+        for at, own, owns in zip(place["at"], codes, place.owns):
+            total[own] += _sums(got[at], _tokens(owns, "<i8"), states)  # a word stands once in a block
+        part = int(heads.part.iloc[0])
+        rows = [(at, part, _packed(counts[c], "<i8"), _shares(total[c], counts[c])) for at, c in zip(place["at"], codes)]
+        leaning = _leaning(_sums(_shares(total, counts), counts, states), counts, shares[classes])
+        rows.append((-1 - part, -2, None, _by_class(classes, leaning, buckets).tobytes()))
+        return pd.DataFrame(rows, columns=["at", "part", "totals", "sums"])
+
+    theirs = known.select("part", "at", "codes", "owns", "places").groupBy("part")
+    theirs = theirs.cogroup(found.filter("part >= 0").groupBy("part"))
+    added = settle(theirs.applyInPandas(add, "at LONG, part INT, totals BINARY, sums BINARY"))
+
     def add_heads(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("at")  # a fixed order, so reruns add up to the same bits
         total = sum(np.frombuffer(x, float) for x in rows.sums)
         return pd.DataFrame({"g": rows.g[:1], "sums": [total.tobytes()]})
 
-    heads = found.filter("part = -2").select(F.pmod("at", F.lit(PARTS)).alias("g"), "at", "sums")
+    heads = found.select("at", "part", "sums").union(added.select("at", "part", "sums")).filter("part = -2")
+    heads = heads.select(F.pmod("at", F.lit(PARTS)).alias("g"), "at", "sums")
     heads = heads.groupBy("g").applyInPandas(add_heads, "g LONG, sums BINARY").collect()  # of fixed size
-    head = sum(np.frombuffer(bytes(r.sums), float) for r in sorted(heads, key=lambda r: r.g))
-    loglik, head = float(head[-1]), head[:-1].reshape(-1, states)
-
-    def add_words(place: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
-        place, sums = place.sort_values("at"), dict(zip(sums["at"], sums.sums))
-        codes = [np.frombuffer(x, "<i4") for x in place.codes]
-        total = np.zeros((max((int(c.max()) for c in codes if len(c)), default=-1) + 1, states))
-        for at, own in zip(place["at"], codes):
-            total[own] += np.frombuffer(sums[at], "<f4").reshape(-1, states)  # a word stands once in a block
-        total = total.astype("<f4")
-        return pd.DataFrame(
-            {
-                "at": place["at"],
-                "part": place.part,
-                "places": place.places,
-                "totals": place.totals,
-                "sums": [total[own].tobytes() for own in codes],
-            }
-        )
-
-    back = known.groupBy("part").cogroup(found.filter("part >= 0").groupBy("part")).applyInPandas(add_words, NEWS)
+    sums = shares + sum(np.frombuffer(bytes(r.sums), float).reshape(-1, states) for r in sorted(heads, key=lambda r: r.g))
     none = F.lit(None).cast("binary")
-    home = found.filter("part = -1").select("at", "part", none.alias("places"), none.alias("totals"), "sums")
-    smooth = lambda x: (x + 1) / (x + 1).sum(-1, keepdims=True)
-    share = head[-1]
-    return WordModel(smooth(head[0]), smooth(share), smooth(head[1:-1]), share, back.union(home)), loglik
+    news = known.filter("at >= 0").select("at", "part", "places", none.alias("totals"), none.alias("sums"))
+    news = news.union(added.filter("part >= 0").select("at", "part", none, "totals", "sums"))
+    news = news.union(found.filter("part = -1").select("at", "part", none, none, "sums"))
+    return WordModel(model, sums, news)
+
+
+def block_words(block: pd.Series, news: pd.DataFrame, symbols: Alphabet, states: int) -> tuple:
+    """Symbols, corpus-wide counts and expected counts (of rare words) of a block's vocabulary."""
+    own, low = symbols.symbols(list(block.words)), len(symbols.frequent)
+    counts, sums = np.asarray(block.counts, np.int64).copy(), np.zeros((len(own), states))
+    alone, home = (own >= low) & (counts > 0), None
+    counts[own < low] = symbols.totals[own[own < low]]
+    for _, rows in news.groupby("part"):
+        held = {c: next((x for x in rows[c] if x is not None), None) for c in ("places", "totals", "sums")}
+        if held["places"] is None:
+            home = held["sums"]
+            continue
+        at = _tokens(held["places"])
+        counts[at], alone[at] = _tokens(held["totals"], "<i8"), False
+        sums[at] = _sums(held["sums"], counts[at], states)
+    if home is not None:
+        sums[alone] = _sums(home, counts[alone], states)
+    return own, counts, sums
+
+
+def word_emissions(own: np.ndarray, counts: np.ndarray, sums: np.ndarray, symbols: Alphabet, model: WordModel) -> np.ndarray:
+    """Probability of each word in each state: of its symbol, and for rare words of the word in its class."""
+    emits, low = model.symbols.emits[own], len(symbols.frequent)
+    rare = own >= low
+    classes = own[rare] - low
+    leaning = _leaning(sums[rare], counts[rare], class_shares(symbols, model.symbols)[classes])
+    emits[rare] *= leaning / model.sums[classes]
+    return emits
 
 
 def scores(
-    docs: DataFrame,
-    states: int = STATES,
-    rounds: int | None = None,
-    block_bytes: int = BLOCK_BYTES,
-    word_rounds: int | None = None,
+    docs: DataFrame, states: int = STATES, rounds: int | None = None, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     blocks = corpus_blocks(docs, block_bytes)
     symbols = alphabet(word_totals(blocks))
-    known = links(blocks)
     model = train(blocks, symbols, states, rounds)
-    if symbols.tokens:
-        model = _until_settled(lambda m: word_step(blocks, known, symbols, m), model, WORD_ROUNDS, word_rounds)
-    return scored(blocks, known, symbols, model)
+    return scored(blocks, symbols, word_counts(blocks, links(blocks, symbols), symbols, model))
 
 
-def scored(blocks: DataFrame, known: DataFrame, symbols: Alphabet, model: Model | WordModel) -> DataFrame:
+def scored(blocks: DataFrame, symbols: Alphabet, model: WordModel) -> DataFrame:
     """The rows of `scores` under a model."""
-    states = len(model.start)
-    base_size, emissions = symbols.tokens + symbols.distinct + 1, _emissions_of(symbols, model)
-    train_tokens, start, occupancy, moves = symbols.tokens, model.start, model.occupancy, model.moves
+    states, hidden = len(model.symbols.start), model.symbols
+    base_size, train_tokens = symbols.tokens + symbols.distinct + 1, symbols.tokens
+    fixed = WordModel(hidden, model.sums, None)
 
     def score(block: pd.DataFrame, news: pd.DataFrame) -> pd.DataFrame:
         row = block.iloc[0]
-        counts, expected, _ = _news(row, news, states)
+        own, counts, expected = block_words(row, news, symbols, states)
+        local = Model(hidden.start, hidden.occupancy, hidden.moves, word_emissions(own, counts, expected, symbols, fixed))
         lengths, tokens = np.asarray(row.lengths, np.int64), _tokens(row.ids)
-        own = Model(start, occupancy, moves, emissions(row, counts, expected))
         starts = np.cumsum(lengths) - lengths
         sums = lambda per_word: np.add.reduceat(per_word[tokens], starts)
+        # Texts of like length run side by side.
+        order, found = np.argsort(lengths, kind="stable"), np.empty(len(lengths))
+        sorted_tokens = np.concatenate([tokens[a : a + n] for a, n in zip(starts[order], lengths[order])])
+        for some, at in _chunks(lengths[order]):
+            found[order[some]] = log10_probability(local, sorted_tokens[at], lengths[order][some])
         return pd.DataFrame(
             {
                 "doc_id": pd.array([None if pd.isna(x) else int(x) for x in row.doc_ids], "Int64"),
@@ -522,12 +589,12 @@ def scored(blocks: DataFrame, known: DataFrame, symbols: Alphabet, model: Model
                 "n_known": sums((counts > 0).astype(np.int64)),
                 "train_tokens": train_tokens,
                 "base_score": sums(np.log10((counts + 1) / base_size)),
-                "score": log10_probability(own, tokens, lengths),
+                "score": found,
             }
         )
 
     schema = (
         "doc_id LONG, held_out BOOLEAN, n_tokens LONG, n_known LONG, train_tokens LONG, base_score DOUBLE, score DOUBLE"
     )
-    columns = ["doc_ids", "held", "lengths", "ids", "counts"]
-    return _with_news(blocks, known, model, columns).applyInPandas(score, schema)
+    columns = ["block", "doc_ids", "held", "lengths", "ids", "words", "counts"]
+    return blocks.select(*columns).groupBy("block").cogroup(model.news.groupBy("at")).applyInPandas(score, schema)
