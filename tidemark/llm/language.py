@@ -79,19 +79,22 @@ def _hashed(data: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of lower-cased texts, each led by one blank and followed by four, and their bounds."""
+def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of lower-cased texts, each led by one blank; bytes a text spans, and those that count.
+
+    Four blanks behind a text count with it; three more keep its last group apart from the next text.
+    """
     parts = [x.lower().encode() for x in texts]
-    bounds = np.cumsum([0] + [len(x) + 5 for x in parts])
-    data = np.frombuffer(b"".join(b" " + x + b"    " for x in parts) + b"    ", np.uint8)
-    return LETTERS[data], bounds
+    sizes = np.array([len(x) + 5 for x in parts], np.int64)
+    data = np.frombuffer(b"".join(b" " + x + b"       " for x in parts) + b"    ", np.uint8)
+    return LETTERS[data], sizes + 3, sizes
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Sparse frequencies of one text: feature numbers and values."""
-    data, bounds = _joined([text])
-    numbers, counts = np.unique(np.concatenate([h[: bounds[1]] for h in _hashed(data)]), return_counts=True)
-    return numbers.astype(np.int64), (SCALE * counts / bounds[1]).astype(np.float64)
+    data, _, (size,) = _joined([text])
+    numbers, counts = np.unique(np.concatenate([h[:size] for h in _hashed(data)]), return_counts=True)
+    return numbers.astype(np.int64), (SCALE * counts / size).astype(np.float64)
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, cost: float = 10.0, rounds: int = 30) -> tuple:
@@ -127,31 +130,32 @@ class LanguageModel:
         labels, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
         if not known or not self.languages:
             return labels, scores
-        data, bounds = _joined([texts[i] for i in known])
-        hashed, sizes = _hashed(data), np.diff(bounds)
+        data, spans, sizes = _joined([texts[i] for i in known])
+        hashed = _hashed(data)
 
-        def chances(names: list[tuple[str, ...]], own: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
+        def chances(names: list[tuple[str, ...]], own: list[np.ndarray], rows) -> np.ndarray:
             """Chance of each machine's first side, for texts of these features."""
-            starts, out = np.cumsum(lengths) - lengths, np.ones((len(names), len(lengths)))
+            starts, counted = np.cumsum(spans[rows]) - spans[rows], sizes[rows]
+            edges, out = np.stack([starts, starts + counted], 1).ravel(), np.ones((len(names), len(counted)))
             for n, m in enumerate(map(self.names.index, names)):
-                sums = sum(self.weights[m][h] for h in own)[: lengths.sum()]
-                margins = np.add.reduceat(sums, starts) * SCALE / lengths + self.bias[m]
+                sums = sum(self.weights[m][h] for h in own)
+                margins = np.add.reduceat(sums, edges)[::2] * SCALE / counted + self.bias[m]
                 out[n] = 1 / (1 + np.exp(-STEEPNESS * np.clip(margins, -60, 60)))
             return out
 
         families = sorted({family_of(x) for x in self.languages})
-        sure = chances([(f,) for f in families] if len(families) > 1 else [], hashed, sizes)
+        sure = chances([(f,) for f in families] if len(families) > 1 else [], hashed, slice(None))
         sure = sure if len(families) > 1 else np.ones((1, len(known)))
         best = sure.argmax(0)
         share = sure.max(0) / np.maximum(sure.sum(0), 1e-12)
         for n in np.unique(best):
             # Only texts of the family meet its pairs.
             rows, members = np.flatnonzero(best == n), [x for x in self.languages if family_of(x) == families[n]]
-            mine = np.repeat(best == n, sizes)
+            mine = np.repeat(best == n, spans)
             pairs = list(combinations(members, 2))
             votes = dict.fromkeys(members, 0.0)
-            own = [h[: len(mine)][mine] for h in hashed] if pairs else []
-            for (a, b), chance in zip(pairs, chances(pairs, own, sizes[rows])):
+            own = [h[mine] for h in hashed] if pairs else []
+            for (a, b), chance in zip(pairs, chances(pairs, own, rows)):
                 votes[a] = votes[a] + chance
                 votes[b] = votes[b] + 1 - chance
             stacked = np.array([votes[x] + np.zeros(len(rows)) for x in members]) / max(1, len(members) - 1)
