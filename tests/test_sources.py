@@ -134,7 +134,7 @@ def database(spark, tmp_path):
     spark.sql(f"DROP DATABASE {name} CASCADE")
 
 
-def test_replaced_tables(spark, database):
+def test_replaced_tables(spark, database, monkeypatch):
     mart = f"{database}.mart"
     assert not tables.exists(spark, mart)
     assert tables.publish_replace(spark.range(5), mart) == 5
@@ -146,7 +146,10 @@ def test_replaced_tables(spark, database):
     assert tables.read_mart(spark, mart).count() == 2 and before.count() == 5
     found = tables.replace_table(spark.range(0), mart, metrics={"top": F.max("id")})
     assert found == {"n": 0, "top": None} and tables.read_mart(spark, mart).isEmpty()
-    assert len(tables._versions(spark, mart)) == 2
+    assert len(tables._versions(spark, mart)) == 3
+    monkeypatch.setattr(tables, "KEEP_DAYS", -1)
+    tables.publish_replace(spark.range(1), mart)
+    assert len(tables._versions(spark, mart)) == 2 and tables.read_mart(spark, mart).count() == 1
 
 
 def test_failed_publish_leaves_the_mart(spark, database):

@@ -1,8 +1,8 @@
 """Tables of the session catalog: replaced as a whole, overwritten by part, merged by part.
 
 * `replace_table` writes a new table and lets the view of the published name show it, so a run may
-  read what it replaces and a failed run leaves the name as it was. The table shown before stays
-  until the next replacement, for readers that began with it.
+  read what it replaces and a failed run leaves the name as it was. Tables superseded stay for `KEEP_DAYS`,
+  for readers that began with them.
 * `overwrite_parts` rewrites the partitions it is given and no others (dynamic partition overwrite).
 * `merge_table` upserts by key and rewrites only partitions that hold a source key. A key's partition
   is derived from the key (its day, or a hash bucket), so neither side is searched for it, the target
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
 from collections.abc import Sequence
 from contextlib import contextmanager
@@ -29,6 +30,8 @@ from tidemark.sources.files import qualified
 #: Partition column of merged tables, and the hash buckets of keys without a day.
 PART = "part"
 BUCKETS = 64
+#: Days that a superseded table stays.
+KEEP_DAYS = 7
 #: Table property that holds what was observed while the table was written.
 OBSERVED = "tidemark.observed"
 #: Partition values that go into a scan's filter at once: days or buckets, never rows.
@@ -67,6 +70,11 @@ def _versions(spark: SparkSession, table: str) -> list[str]:
     return sorted(f"{database}.{r.tableName}" for r in rows)
 
 
+def _written(version: str) -> int:
+    """When a version was begun, in milliseconds."""
+    return int(version.rsplit("__v", 1)[1].split("_")[0])
+
+
 def replace_table(
     df: DataFrame, table: str, keep_when_empty: bool = False, metrics: dict[str, Column] | None = None
 ) -> dict:
@@ -79,8 +87,8 @@ def replace_table(
     spark = df.sparkSession
     database, name = table.split(".")
     before = _versions(spark, table)
-    number = int(before[-1].rsplit("__v", 1)[1].split("_")[0]) + 1 if before else 1
-    version = f"{database}.{name}__v{number:09d}_{uuid.uuid4().hex}"
+    now = max(time.time_ns() // 10**6, *(_written(v) + 1 for v in before[-1:]), 0)
+    version = f"{database}.{name}__v{now:015d}_{uuid.uuid4().hex}"
     observed = Observation()
     exprs = [F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in (metrics or {}).items())]
     df.observe(observed, *exprs).write.format("parquet").saveAsTable(version)
@@ -95,8 +103,9 @@ def replace_table(
         kept = json.dumps(found, default=str).replace("'", "\\'")
         spark.sql(f"ALTER TABLE {_quoted(version)} SET TBLPROPERTIES ('{OBSERVED}' = '{kept}')")
     spark.sql(f"CREATE OR REPLACE VIEW {_quoted(table)} AS SELECT * FROM {_quoted(version)}")
-    for old in before[:-1]:
-        spark.sql(f"DROP TABLE IF EXISTS {_quoted(old)}")
+    for old, successor in zip(before, before[1:]):
+        if _written(successor) < now - KEEP_DAYS * 86_400_000:
+            spark.sql(f"DROP TABLE IF EXISTS {_quoted(old)}")
     return found
 
 
