@@ -36,6 +36,7 @@ BATCH = 2_000
 END_ID = 1
 #: Letters that are in normal form and whose case has no exceptions.
 LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+LETTERS = frozenset(filter(LATIN, map(chr, range(256))))
 
 SEGMENT = (
     "part INT, seq INT, n_tokens LONG, doc_ids ARRAY<LONG>, ends BINARY, "
@@ -139,19 +140,24 @@ class WordEncoder:
 
     def _parts(self, word: str) -> tuple[str, str]:
         core = word.rstrip(".,")
-        if not core or not LATIN(core[-1]):
+        if not core or core[-1] not in LETTERS:
             core = word
         tail = word[len(core) :]
-        return core.lower() if LATIN(core) or core.isascii() and not self.added(core) else core, tail
+        if core.isascii():
+            lowered = core.isalpha() or not self.added(core)
+        else:
+            lowered = LATIN(core)
+        return core.lower() if lowered else core, tail
 
     def _ask(self, cores: list[str]) -> None:
-        simple = [c for c in cores if LATIN(c)]
+        simple, rest = [], []
+        for core in cores:
+            (simple if (core.isalpha() if core.isascii() else LATIN(core)) else rest).append(core)
         for i in range(0, len(simple), BATCH):
             own = simple[i : i + BATCH]
             found = self.letters.encode(" ".join(own), add_special_tokens=False)
             lengths = np.bincount(np.array(found.word_ids, np.int64), minlength=len(own))
             self.cores.add(own, np.array(found.ids, np.uint32), lengths)
-        rest = [c for c in cores if not LATIN(c)]
         for i in range(0, len(rest), BATCH):
             own = rest[i : i + BATCH]
             ids = [x.ids for x in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
