@@ -2,15 +2,19 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, line_dedup, substring_dedup
 from tidemark.llm.cuckoo import CuckooFilter
 
+from .conftest import prose
+
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -176,3 +180,18 @@ def test_symbols_that_occur_once_never_hide_a_repeat():
     spots = [i for s, e in zip(words.starts, words.ends) for i in range(s, e - width + 1)]
     seen = Counter(tuple(flat[i : i + width]) for i in spots)
     assert {i for i in spots if seen[tuple(flat[i : i + width])] > 1} <= starts
+
+
+def test_a_block_is_worked_on_in_slices_of_bounded_memory():
+    size = 6 << 20
+    texts = [prose(n, 2_000) for n in range(20)]
+    texts = (texts * (size // sum(map(len, texts)) + 1)) + [""]
+    docs = pd.DataFrame({"block": 0, "doc_id": pd.array(range(len(texts)), "Int64"), "text": texts})
+    none = pd.DataFrame({"h": np.zeros(0, np.int64)})
+    whole = substring_dedup._screened(docs, none.h.to_numpy())
+    tracemalloc.start()
+    parts = substring_dedup._screen(docs, none)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    pd.testing.assert_frame_equal(parts, whole)
+    assert peak < 25 * size

@@ -40,7 +40,8 @@ from tidemark.llm.common import KEY, keyed, settle, sliced, texts
 
 WINDOW = 35
 BLOCK_BYTES = 12 << 20
-SLICE_BYTES = 6 << 20
+#: What is split into words at a time: a worker takes about 40 bytes per byte of it.
+SLICE_BYTES = 2 << 20
 ROUNDS = ("runs", "pairs", "pairs", "pairs", "pairs", "pairs")
 LONGEST = 12
 TESTED = 3
@@ -194,13 +195,22 @@ def _symbol_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
+def _by_slice(work, docs: pd.DataFrame, *more) -> pd.DataFrame:
+    """The work over slices of a block's documents; each text is worked on by itself."""
+    sizes = docs.text.str.len().to_numpy(np.int64)
+    numbers = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+    return pd.concat([work(own, *more) for _, own in docs.groupby(numbers)] or [work(docs, *more)], ignore_index=True)
+
+
 def _screen(docs: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
     """Candidate windows of a block's documents; a document without any is finished."""
-    raw = [x.encode() for x in docs.text]
-    words = Words(raw)
+    return _by_slice(_screened, docs, np.sort(shared.h.to_numpy()))
+
+
+def _screened(docs: pd.DataFrame, known: np.ndarray) -> pd.DataFrame:
+    words = Words([x.encode() for x in docs.text])
     symbols = recompress(words)
     own = tested(symbols)
-    known = np.sort(shared.h.to_numpy())
     names = symbols.name.view(np.int64)
     at = np.minimum(np.searchsorted(known, names), max(0, len(known) - 1))
     once = own & (known[at] != names if len(known) else True)
@@ -246,11 +256,17 @@ def _window_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _strip(docs: pd.DataFrame, once: pd.DataFrame) -> pd.DataFrame:
     """Texts of a block without the words that a repeated window covers."""
+    return _by_slice(_stripped, docs, _named(once.g.to_numpy(np.int64), once.h.to_numpy(np.int64)))
+
+
+def _named(g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return np.stack([g, h], 1).view([("g", np.int64), ("h", np.int64)]).ravel()
+
+
+def _stripped(docs: pd.DataFrame, alone: np.ndarray) -> pd.DataFrame:
     words = Words([x.encode() for x in docs.text])
     starts = _window_starts(words, list(docs.starts))
-    g, h = window_names(words, starts)
-    pairs = np.stack([g, h], 1).view([("g", np.int64), ("h", np.int64)]).ravel()
-    alone = np.rec.fromarrays([once.g.to_numpy(np.int64), once.h.to_numpy(np.int64)], names="g,h").astype(pairs.dtype)
+    pairs = _named(*window_names(words, starts))
     starts = starts[~np.isin(pairs, alone)]
     edge = np.zeros(len(words.first) + 1, np.int64)
     np.add.at(edge, starts, 1)
