@@ -351,3 +351,16 @@ def test_added_tokens_count_in_their_own_case_alone():
     ids, ends = token_files.WordEncoder(tokenizer_path()).encode(texts)
     for text, a, b in zip(texts, [0, *ends], ends):
         assert ids[a:b].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_words_met_often_outlive_a_full_cache(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHED_WORDS", 300)
+    encoder, learned = token_files.WordEncoder(tokenizer_path()), []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda words: (learned.extend(words), learn(words)))
+    for n in range(12):
+        text = "amber brook, cedar. " + " ".join(f"w{n}x{i}" for i in range(100))
+        ids, ends = encoder.encode([text, "amber"])
+        whole = [encoder.tokenizer.encode(x, add_special_tokens=False).ids + [token_files.END_ID] for x in (text, "amber")]
+        assert ids.tolist() == whole[0] + whole[1] and ends.tolist() == [len(whole[0]), len(ids)]
+    assert len(encoder.words.number) <= 510 and learned.count("amber") == learned.count("brook,") == 1

@@ -18,10 +18,11 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -91,16 +92,27 @@ class Levels:
 
 
 class _Pieces:
-    """Id sequences end to end, with the number of each key's sequence."""
+    """Id sequences end to end, with the number of each key's sequence and how many calls met it."""
 
     def __init__(self):
         self.number: dict[str, int] = {}
-        self.flat, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.flat, self.start, self.uses = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def add(self, keys: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
         self.number.update(zip(keys, range(len(self.number), len(self.number) + len(keys))))
         self.flat = np.concatenate([self.flat, flat])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths, dtype=np.int64)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(keys), np.int32)])
+
+    def trim(self) -> None:
+        """Forget what a single call met, and at least half of all."""
+        often = np.argsort(-self.uses, kind="stable")[: len(self.uses) // 2]
+        kept = np.sort(often[self.uses[often] > 1])
+        keys = list(self.number)
+        self.number = {keys[i]: n for n, i in enumerate(kept.tolist())}
+        self.flat, lengths = self.joined(kept)
+        self.start = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        self.uses = self.uses[kept] // 2
 
     def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The sequences of these numbers, end to end, and their lengths."""
@@ -133,9 +145,6 @@ class WordEncoder:
         self.letters.normalizer = None
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), as_bytes])
-        self._reset()
-
-    def _reset(self) -> None:
         self.words, self.cores = _Pieces(), _Pieces()
 
     def _parts(self, word: str) -> tuple[str, str]:
@@ -153,34 +162,47 @@ class WordEncoder:
         simple, rest = [], []
         for core in cores:
             (simple if (core.isalpha() if core.isascii() else LATIN(core)) else rest).append(core)
+        flat, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for i in range(0, len(simple), BATCH):
             own = simple[i : i + BATCH]
             found = self.letters.encode(" ".join(own), add_special_tokens=False)
-            lengths = np.bincount(np.array(found.word_ids, np.int64), minlength=len(own))
-            self.cores.add(own, np.array(found.ids, np.uint32), lengths)
+            lengths.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(own)))
+            flat.append(np.array(found.ids, np.uint32))
         for i in range(0, len(rest), BATCH):
-            own = rest[i : i + BATCH]
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
-            flat = np.array(list(chain.from_iterable(ids)), np.uint32)
-            self.cores.add(own, flat, np.array([len(x) for x in ids], np.int64))
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(rest[i : i + BATCH], add_special_tokens=False)]
+            flat.append(np.array(list(chain.from_iterable(ids)), np.uint32))
+            lengths.append(np.array([len(x) for x in ids], np.int64))
+        self.cores.add(simple + rest, np.concatenate(flat), np.concatenate(lengths))
 
     def _learn(self, words: list[str]) -> None:
-        parts = list(chain.from_iterable(map(self._parts, words)))
+        # Most words are ASCII letters alone: a core without a tail.
+        parts = [(x.lower(), "") if x.isascii() and x.isalpha() else self._parts(x) for x in words]
+        parts = list(chain.from_iterable(parts))
         self._ask(list(set(parts).difference(self.cores.number)))
         numbers = np.fromiter(map(self.cores.number.__getitem__, parts), np.int64, len(parts))
+        self.cores.uses[numbers] += 1
         flat, lengths = self.cores.joined(numbers)
         self.words.add(words, flat, lengths.reshape(-1, 2).sum(1))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each closed by END_ID, and the offset behind each text."""
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each closed by END_ID, and the offset behind each text.
+
+        Arrow splits the texts and finds their distinct words; Python meets each of those once.
+        """
         if len(self.words.number) > CACHED_WORDS:
-            self._reset()
-        split = [x.replace("\n", " ").split(" ") for x in texts]
-        counts = np.array([len(x) for x in split], np.int64)
-        if new := list(set(chain.from_iterable(split)).difference(self.words.number)):
-            self._learn(new)
-        numbers = map(self.words.number.__getitem__, chain.from_iterable(split))
-        ids, lengths = self.words.joined(np.fromiter(numbers, np.int64, int(counts.sum())))
+            self.words.trim()
+            self.cores.trim()
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        counts = pc.list_value_length(split).to_numpy().astype(np.int64)
+        found = split.flatten().dictionary_encode()
+        own = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = np.fromiter(map(self.words.number.get, own, repeat(-1)), np.int64, len(own))
+        if len(new := np.flatnonzero(known < 0)):
+            known[new] = len(self.words.number) + np.arange(len(new))
+            self._learn([own[i] for i in new.tolist()])
+        self.words.uses[known] += 1
+        ids, lengths = self.words.joined(known[found.indices.to_numpy()])
         ends = np.cumsum(lengths)[np.cumsum(counts) - 1]
         return np.insert(ids, ends, END_ID).astype(np.uint32), ends + np.arange(1, len(texts) + 1)
 
@@ -197,7 +219,7 @@ def _segments(tokenizer_path: str, segment_bytes: int):
 
         encoder, part, seq = word_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for piece in sliced(batches, "text", segment_bytes):
-            ids, ends = encoder.encode(piece.column("text").to_pylist())
+            ids, ends = encoder.encode(piece.column("text"))
             code = Levels.encode(ids)
             row = {
                 "part": part,
