@@ -3,14 +3,16 @@
 import itertools
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import hmm_scoring, language
-from tidemark.llm.common import held_out
+from tidemark.llm.common import held_out, sliced
 
 
 @pytest.fixture(scope="module")
@@ -257,3 +259,20 @@ def test_only_the_winning_family_is_asked_for_its_pairs():
         best = max(members, key=lambda x: votes[x])
         level = votes[best] / (len(members) - 1) if len(members) > 1 else 1.0
         assert label == best and math.isclose(score, max(sure) / sum(sure) * level, rel_tol=1e-3)
+
+
+def test_prediction_takes_bounded_memory_and_slices_change_nothing():
+    rng = np.random.default_rng(1)
+    names = (("germanic",), ("romance",), ("de", "en"))
+    model = language.LanguageModel(
+        ("de", "en", "fr"), names, rng.normal(size=(3, 3 << language.BITS)).astype(np.float32), np.zeros(3)
+    )
+    texts = [f"{n} amber brook cedar delta ember fjord " * 40 for n in range(3_000)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    tracemalloc.start()
+    found = [model.predict(x.column("text").to_pylist()) for x in sliced([batch], "text", language.SLICE_BYTES)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    labels, scores = model.predict(texts)
+    assert [x for own, _ in found for x in own] == labels and [x for _, own in found for x in own] == scores
