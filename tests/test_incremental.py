@@ -241,3 +241,19 @@ def test_bitmaps_count_across_runs(spark, rows):
     maps = incremental.hour_bitmaps(seen, known, "hour_ts")
     got = incremental.distinct_counts(maps, {"c": "creators", "d": "none"}).collect()
     assert sorted(tuple(r) for r in got) == [("t", 2, 0), ("u", 1, 0)]
+
+
+def test_payloads_are_made_by_all_tasks(spark, tmp_path):
+    made = spark.range(3000).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-05 00:00:00' + make_dt_interval(0, 0, 0, id) AS ts", "id % 50 AS user_id",
+        "'signup' AS event_type", "CAST(id AS DOUBLE) AS value", "'{\"k\": 1}' AS props",
+    )
+    made.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    held = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = t.deliveries(spark, str(tmp_path), full_payload=True).filter("event_id NOT LIKE 'r%'")
+        dealt = rows.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held)
+    assert len(dealt) > 1 and sum(r["count"] for r in dealt) == 3000

@@ -72,7 +72,7 @@ def posts(spark: SparkSession, folder: str) -> DataFrame:
     return _posts(spark, folder).drop("_kind", "_event", "_user")
 
 
-def _posts(spark: SparkSession, folder: str) -> DataFrame:
+def _posts(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
     e = F.col("event_id")
     kind = F.col("event_type")
     platform = _pick(e % 3, (0, "youtube"), (1, "reddit"), other="tiktok")
@@ -92,7 +92,10 @@ def _posts(spark: SparkSession, folder: str) -> DataFrame:
         F.col("user_id") % 5, (0, "PT-11"), (1, "PT-13"), (2, "PT-15"), (3, "NO-46"),
         other="IE-G",
     )
-    return load(spark, folder, "events").select(
+    events = load(spark, folder, "events")
+    if spread:
+        events = events.repartition("event_id", "ts", "user_id")
+    return events.select(
         e.cast("string").alias("event_id"),
         F.concat(F.lit("t"), F.col("user_id") % 3).alias("tenant_id"),
         F.concat(F.lit("src-"), platform).alias("source_id"),
@@ -145,10 +148,11 @@ def silver(spark: SparkSession, folder: str) -> DataFrame:
 def deliveries(spark: SparkSession, folder: str, full_payload: bool = False) -> DataFrame:
     """At-least-once deliveries with defects; every tenth event is delivered again.
 
-    ``full_payload`` carries the post as JSON instead of the event's own props.
+    ``full_payload`` carries the post as JSON instead of the event's own props. That is many times the
+    event's size, so the events are dealt out before it is made: their file may be one small row group.
     """
     e, user = F.col("_event"), F.col("_user")
-    base = _posts(spark, folder)
+    base = _posts(spark, folder, spread=full_payload)
     payload = F.col("source_payload")
     if full_payload:
         # As the output of a generator the JSON is opaque to constraint inference, which
