@@ -364,3 +364,14 @@ def test_words_met_often_outlive_a_full_cache(monkeypatch):
         whole = [encoder.tokenizer.encode(x, add_special_tokens=False).ids + [token_files.END_ID] for x in (text, "amber")]
         assert ids.tolist() == whole[0] + whole[1] and ends.tolist() == [len(whole[0]), len(ids)]
     assert len(encoder.words.number) <= 510 and learned.count("amber") == learned.count("brook,") == 1
+
+
+def test_long_words_fill_a_cache_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHED_BYTES", 1 << 20, raising=False)
+    encoder = token_files.WordEncoder(tokenizer_path())
+    for n in range(16):
+        texts = [f"amber {chr(97 + n)}" + "brook" * 40_000, "Amber."]
+        ids, ends = encoder.encode(texts)
+        whole = [encoder.tokenizer.encode(x, add_special_tokens=False).ids + [token_files.END_ID] for x in texts]
+        assert ids.tolist() == whole[0] + whole[1] and ends.tolist() == [len(whole[0]), len(ids)]
+    assert sum(map(len, encoder.words.number)) < 1_500_000 and "amber" in encoder.words.number

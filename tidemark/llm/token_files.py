@@ -33,6 +33,9 @@ CHUNK_BITS = 8
 RANK_BLOCK = 512
 SEGMENT_BYTES = 2 << 20
 CACHED_WORDS = 500_000
+#: What a worker's caches may hold, a word's place in them (string, number, tables) counted beside its letters and ids.
+CACHED_BYTES = 96 << 20
+WORD_BYTES = 150
 BATCH = 2_000
 END_ID = 1
 #: Letters that are in normal form and whose case has no exceptions.
@@ -97,12 +100,18 @@ class _Pieces:
     def __init__(self):
         self.number: dict[str, int] = {}
         self.flat, self.start, self.uses = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.letters = 0
+
+    def held(self) -> int:
+        """Bytes, about."""
+        return WORD_BYTES * len(self.number) + self.letters + self.flat.nbytes
 
     def add(self, keys: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
         self.number.update(zip(keys, range(len(self.number), len(self.number) + len(keys))))
         self.flat = np.concatenate([self.flat, flat])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths, dtype=np.int64)])
         self.uses = np.concatenate([self.uses, np.zeros(len(keys), np.int32)])
+        self.letters += sum(map(len, keys))
 
     def trim(self) -> None:
         """Forget what a single call met, and at least half of all."""
@@ -113,6 +122,7 @@ class _Pieces:
         self.flat, lengths = self.joined(kept)
         self.start = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         self.uses = self.uses[kept] // 2
+        self.letters = sum(map(len, self.number))
 
     def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The sequences of these numbers, end to end, and their lengths."""
@@ -131,7 +141,8 @@ class WordEncoder:
     and a mark, which joins the stop); so a word is asked for as a core and a tail. Cores of Latin-1 letters are lowered here and have nothing left to normalise or split:
     many of them go in one call to the same model. All others take the whole tokenizer: those of
     ASCII lowered, unless an added token stands in them in any case, since the tokenizer looks for
-    added tokens before it lowers. The caches live as long as the Python worker and are bounded.
+    added tokens before it lowers. The caches live as long as the Python worker and are bounded by bytes,
+    words being of any length.
     """
 
     def __init__(self, path: str):
@@ -176,7 +187,7 @@ class WordEncoder:
 
     def _learn(self, words: list[str]) -> None:
         # Most words are ASCII letters alone: a core without a tail.
-        parts = [(x.lower(), "") if x.isascii() and x.isalpha() else self._parts(x) for x in words]
+        parts = [(x if x.islower() else x.lower(), "") if x.isascii() and x.isalpha() else self._parts(x) for x in words]
         parts = list(chain.from_iterable(parts))
         self._ask(list(set(parts).difference(self.cores.number)))
         numbers = np.fromiter(map(self.cores.number.__getitem__, parts), np.int64, len(parts))
@@ -189,7 +200,7 @@ class WordEncoder:
 
         Arrow splits the texts and finds their distinct words; Python meets each of those once.
         """
-        if len(self.words.number) > CACHED_WORDS:
+        if len(self.words.number) > CACHED_WORDS or self.words.held() + self.cores.held() > CACHED_BYTES:
             self.words.trim()
             self.cores.trim()
         texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
@@ -233,6 +244,8 @@ def _segments(tokenizer_path: str, segment_bytes: int):
             }
             yield pa.RecordBatch.from_pylist([row], schema=_ARROW)
             seq += 1
+            # What a slice took goes back, or the worker keeps the most that any slice took.
+            pa.default_memory_pool().release_unused()
 
     return encode
 
