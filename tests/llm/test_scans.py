@@ -2,11 +2,13 @@
 
 import hashlib
 import re
+import string
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -353,6 +355,31 @@ def test_added_tokens_count_in_their_own_case_alone():
         assert ids[a:b].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_words_that_share_letters_are_asked_for_once(monkeypatch):
+    """Case and punctuation behind a word's letters cost no call of their own."""
+    encoder, asked = token_files.WordEncoder(tokenizer_path()), []
+    ask = encoder._ask
+    monkeypatch.setattr(encoder, "_ask", lambda cores: (asked.extend(cores), ask(cores)))
+    words = [f"{w}{t}" for w in ("brook", "Brook", "\xc9T\xc9", "\xe9t\xe9") for t in ["", *string.punctuation, "!?", ".\")"]]
+    texts = [" ".join(words), "BROOK'' brook?!"]
+    ids, ends = encoder.encode(texts)
+    for text, a, b in zip(texts, [0, *ends], ends):
+        assert ids[a:b].tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1]
+    assert sorted(x for x in asked if any(map(str.isalpha, x))) == ["brook", "\xe9t\xe9"]
+
+
+def test_letters_separators_and_tails_in_any_order():
+    tokenizer, rng = Tokenizer.from_file(tokenizer_path()), np.random.default_rng(5)
+    pieces = [*"aZ\xc0\xd7\xdf\xf7\xff\xaa\xb5\xc3\u0130\u0338\u0301\u03a3\u4e2d\x01\x1c\x00\t7", *string.punctuation, "'s", "ing", "\U0001f600", "<|endoftext|>"]
+    texts = [" ".join("".join(rng.choice(pieces, rng.integers(0, 6))) for _ in range(40)) for _ in range(300)]
+    texts += ["a\x01b \x01 \x01\x01 7", "\x01", ""]
+    encoder = token_files.WordEncoder(tokenizer_path())
+    for some in (texts[:150], texts[150:], texts[:20]):
+        ids, ends = encoder.encode(pa.array(["skipped", *some])[1:])
+        for text, a, b in zip(some, [0, *ends], ends):
+            assert ids[a:b].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], text
+
+
 def test_words_met_often_outlive_a_full_cache(monkeypatch):
     monkeypatch.setattr(token_files, "CACHED_WORDS", 300)
     encoder, learned = token_files.WordEncoder(tokenizer_path()), []

@@ -15,10 +15,11 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,20 +28,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import shared_folder, sliced, texts
+from tidemark.llm.common import column_bytes, shared_folder, sliced, texts
 
 CHUNK_BITS = 8
 RANK_BLOCK = 512
 SEGMENT_BYTES = 2 << 20
 CACHED_WORDS = 500_000
-#: What a worker's caches may hold, a word's place in them (string, number, tables) counted beside its letters and ids.
+#: What a worker's caches may hold, a word's place in them (tables, a call's hash of it) counted beside its letters and ids.
 CACHED_BYTES = 96 << 20
-WORD_BYTES = 150
-BATCH = 2_000
+WORD_BYTES = 60
+BATCH = 500
 END_ID = 1
 #: Letters that are in normal form and whose case has no exceptions.
 LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 LETTERS = frozenset(filter(LATIN, map(chr, range(256))))
+LATIN_AND_TAIL = re.compile(f"[A-Za-zÀ-ÖØ-öø-ÿ]*[{re.escape(string.punctuation)}]*").fullmatch
+#: The same letters by bytes of UTF-8: one of ASCII, or a lead byte and a second one.
+ASCII_LETTER = np.array([chr(x) in LETTERS and x < 128 for x in range(256)])
+LATIN_LEAD = 0xC3
+LATIN_SECOND = np.array([0x80 <= x < 0xC0 and chr(x + 0x40) in LETTERS for x in range(256)])
+#: A word that stands for itself alone; a word that holds it is asked for by itself.
+SEPARATOR = "\x01"
 
 SEGMENT = (
     "part INT, seq INT, n_tokens LONG, doc_ids ARRAY<LONG>, ends BINARY, "
@@ -95,34 +103,40 @@ class Levels:
 
 
 class _Pieces:
-    """Id sequences end to end, with the number of each key's sequence and how many calls met it."""
+    """Id sequences end to end, with their keys in an Arrow array and how many calls met each."""
 
     def __init__(self):
-        self.number: dict[str, int] = {}
+        self.keys = pa.array([], pa.large_string())
         self.flat, self.start, self.uses = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int32)
-        self.letters = 0
+
+    @property
+    def number(self) -> dict[str, int]:
+        """The number of each key's sequence."""
+        return {x: n for n, x in enumerate(self.keys.to_pylist())}
 
     def held(self) -> int:
         """Bytes, about."""
-        return WORD_BYTES * len(self.number) + self.letters + self.flat.nbytes
+        return WORD_BYTES * len(self.keys) + self.keys.nbytes + self.flat.nbytes
+
+    def find(self, keys: pa.Array, since: int = 0) -> np.ndarray:
+        """The numbers of keys among those added since, -1 for others."""
+        found = pc.index_in(keys, value_set=self.keys[since:]).fill_null(-1).to_numpy().astype(np.int64)
+        return np.where(found < 0, found, found + since)
 
-    def add(self, keys: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
-        self.number.update(zip(keys, range(len(self.number), len(self.number) + len(keys))))
+    def add(self, keys: pa.Array, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.keys = pa.concat_arrays([self.keys, keys])
         self.flat = np.concatenate([self.flat, flat])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths, dtype=np.int64)])
         self.uses = np.concatenate([self.uses, np.zeros(len(keys), np.int32)])
-        self.letters += sum(map(len, keys))
 
     def trim(self) -> None:
         """Forget what a single call met, and at least half of all."""
         often = np.argsort(-self.uses, kind="stable")[: len(self.uses) // 2]
         kept = np.sort(often[self.uses[often] > 1])
-        keys = list(self.number)
-        self.number = {keys[i]: n for n, i in enumerate(kept.tolist())}
+        self.keys = self.keys.take(pa.array(kept))
         self.flat, lengths = self.joined(kept)
         self.start = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         self.uses = self.uses[kept] // 2
-        self.letters = sum(map(len, self.number))
 
     def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The sequences of these numbers, end to end, and their lengths."""
@@ -137,9 +151,11 @@ class WordEncoder:
 
     Its pre-tokenizer drops white space, and no token, normalisation or merge reaches across it, so
     the ids of a text are those of its words between blanks and line ends, in order. Nor does
-    one reach from a Latin-1 letter to a full stop or comma behind it (other letters may lower to a letter
-    and a mark, which joins the stop); so a word is asked for as a core and a tail. Cores of Latin-1 letters are lowered here and have nothing left to normalise or split:
-    many of them go in one call to the same model. All others take the whole tokenizer: those of
+    one reach from a Latin-1 letter to ASCII punctuation that ends the word, unless an added token does (other
+    letters may lower to a letter and a mark, which joins a stop); so a word is asked for as a core and a tail.
+    Cores of Latin-1 letters are parted and lowered by their bytes, all words of a call at once, and have nothing
+    left to normalise or split: many of them go in one call to the same model, and the vocabulary tells by its end marks
+    which id ends a word. All others take the whole tokenizer, with a separator between them: those of
     ASCII lowered, unless an added token stands in them in any case, since the tokenizer looks for
     added tokens before it lowers. The caches live as long as the Python worker and are bounded by bytes,
     words being of any length.
@@ -151,11 +167,16 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        added = (x.content for x in self.tokenizer.get_added_tokens_decoder().values())
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE).search
+        self.tails = "" if any(map(LATIN_AND_TAIL, added)) else string.punctuation
         self.letters.normalizer = None
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), as_bytes])
+        vocabulary, mark = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[n for x, n in vocabulary.items() if mark and x.endswith(mark)]] = True
+        self.separator = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         self.words, self.cores = _Pieces(), _Pieces()
 
     def _parts(self, word: str) -> tuple[str, str]:
@@ -169,55 +190,105 @@ class WordEncoder:
             lowered = LATIN(core)
         return core.lower() if lowered else core, tail
 
+    @staticmethod
+    def _each(tokenizer, cores: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [x.ids for x in tokenizer.encode_batch_fast(cores, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(ids)), np.uint32), np.array([len(x) for x in ids], np.int64)
+
+    def _letters(self, cores: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of cores of letters and their lengths; an id with an end mark is a core's last."""
+        ids = self.letters.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids
+        ids = np.array(ids, np.uint32)
+        lengths = np.diff(np.flatnonzero(self.closes[ids]), prepend=-1)
+        return (ids, lengths) if len(lengths) == len(cores) else self._each(self.letters, cores)
+
+    def _others(self, cores: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any cores and their lengths, parted by the separator's one id."""
+        between = f" {SEPARATOR} "
+        text = between.join([*cores, ""])
+        if len(self.separator) == 1 and text.count(SEPARATOR) == len(cores):
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(ids == self.separator[0])
+            if len(at) == len(cores):
+                return np.delete(ids, at), np.diff(at, prepend=-1) - 1
+        return self._each(self.tokenizer, cores)
+
     def _ask(self, cores: list[str]) -> None:
         simple, rest = [], []
         for core in cores:
             (simple if (core.isalpha() if core.isascii() else LATIN(core)) else rest).append(core)
+        found = [self._letters(simple[i : i + BATCH]) for i in range(0, len(simple), BATCH)]
+        found += [self._others(rest[i : i + BATCH]) for i in range(0, len(rest), BATCH)]
         flat, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for i in range(0, len(simple), BATCH):
-            own = simple[i : i + BATCH]
-            found = self.letters.encode(" ".join(own), add_special_tokens=False)
-            lengths.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(own)))
-            flat.append(np.array(found.ids, np.uint32))
-        for i in range(0, len(rest), BATCH):
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(rest[i : i + BATCH], add_special_tokens=False)]
-            flat.append(np.array(list(chain.from_iterable(ids)), np.uint32))
-            lengths.append(np.array([len(x) for x in ids], np.int64))
-        self.cores.add(simple + rest, np.concatenate(flat), np.concatenate(lengths))
+        for ids, own in found:
+            flat.append(ids)
+            lengths.append(own)
+        self.cores.add(pa.array(simple + rest, pa.large_string()), np.concatenate(flat), np.concatenate(lengths))
 
     def _learn(self, words: list[str]) -> None:
-        # Most words are ASCII letters alone: a core without a tail.
-        parts = [(x if x.islower() else x.lower(), "") if x.isascii() and x.isalpha() else self._parts(x) for x in words]
-        parts = list(chain.from_iterable(parts))
-        self._ask(list(set(parts).difference(self.cores.number)))
-        numbers = np.fromiter(map(self.cores.number.__getitem__, parts), np.int64, len(parts))
-        self.cores.uses[numbers] += 1
-        flat, lengths = self.cores.joined(numbers)
-        self.words.add(words, flat, lengths.reshape(-1, 2).sum(1))
+        held = pa.array(words, pa.large_string())
+        cores = pc.ascii_rtrim(held, self.tails) if self.tails else held
+        lowered, simple = _lowered(cores)
+        behind = pc.subtract(pc.binary_length(held), pc.binary_length(cores)).to_numpy()
+        tailed, others = np.flatnonzero(simple & (behind > 0)), np.flatnonzero(~simple)
+        tails = [words[i][-n:] for i, n in zip(tailed.tolist(), behind[tailed].tolist())]
+        rest = list(chain.from_iterable(self._parts(words[i]) for i in others.tolist()))
+        simple = np.flatnonzero(simple)
+        parts = pa.concat_arrays([pa.array(["", *tails, *rest], pa.large_string()), lowered.take(pa.array(simple))])
+        found = parts.dictionary_encode()
+        known = self.cores.find(found.dictionary)
+        if len(new := np.flatnonzero(known < 0)):
+            asked, before = found.dictionary.take(pa.array(new)), len(self.cores.keys)
+            self._ask(asked.to_pylist())
+            known[new] = self.cores.find(asked, before)
+        self.cores.uses[known] += 1
+        known = known[found.indices.to_numpy()]
+        # Core and tail of each word; without a tail, the empty one.
+        numbers = np.full((len(words), 2), known[0])
+        numbers[tailed, 1] = known[1 : 1 + len(tails)]
+        numbers[others] = known[1 + len(tails) : 1 + len(tails) + len(rest)].reshape(-1, 2)
+        numbers[simple, 0] = known[1 + len(tails) + len(rest) :]
+        flat, lengths = self.cores.joined(numbers.ravel())
+        self.words.add(held, flat, lengths.reshape(-1, 2).sum(1))
 
     def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by END_ID, and the offset behind each text.
 
-        Arrow splits the texts and finds their distinct words; Python meets each of those once.
+        Arrow splits the texts, finds their distinct words and which of them the cache holds.
         """
-        if len(self.words.number) > CACHED_WORDS or self.words.held() + self.cores.held() > CACHED_BYTES:
+        if len(self.words.keys) > CACHED_WORDS or self.words.held() + self.cores.held() > CACHED_BYTES:
             self.words.trim()
             self.cores.trim()
         texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         counts = pc.list_value_length(split).to_numpy().astype(np.int64)
         found = split.flatten().dictionary_encode()
-        own = found.dictionary.to_numpy(zero_copy_only=False).tolist()
-        known = np.fromiter(map(self.words.number.get, own, repeat(-1)), np.int64, len(own))
+        known = self.words.find(found.dictionary)
         if len(new := np.flatnonzero(known < 0)):
-            known[new] = len(self.words.number) + np.arange(len(new))
-            self._learn([own[i] for i in new.tolist()])
+            known[new] = len(self.words.keys) + np.arange(len(new))
+            self._learn(found.dictionary.take(pa.array(new)).to_pylist())
         self.words.uses[known] += 1
         ids, lengths = self.words.joined(known[found.indices.to_numpy()])
         ends = np.cumsum(lengths)[np.cumsum(counts) - 1]
         return np.insert(ids, ends, END_ID).astype(np.uint32), ends + np.arange(1, len(texts) + 1)
 
 
+def _lowered(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words with their Latin-1 letters lowered, by bytes of UTF-8, and which are of such letters alone."""
+    data, offsets = column_bytes(words)
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    follows = np.concatenate([[False], data[:-1] == LATIN_LEAD])
+    letter = np.where(follows, LATIN_SECOND[data], ASCII_LETTER[data])
+    # A lead byte counts as its letter does.
+    letter[:-1] |= follows[1:] & letter[1:]
+    lengths = np.diff(offsets)
+    letters = np.diff(np.concatenate([[0], np.cumsum(letter, dtype=np.int64)])[offsets])
+    upper = letter & np.where(follows, data < 0x9F, (data >= ord("A")) & (data <= ord("Z")))
+    low = data + (upper * np.uint8(0x20))
+    buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(low)]
+    return pa.Array.from_buffers(pa.large_string(), len(words), buffers), (lengths > 0) & (letters == lengths)
+
+
 @cache
 def word_encoder(path: str) -> WordEncoder:
     """One encoder per Python worker: the tasks that follow know its words already."""
